@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from crossgrain.llm.ctw import op3_ctw
+from crossgrain.llm.decontaminate import op1_decontamination
+from crossgrain.llm.langid import op6_langid
+from crossgrain.llm.lzprint import op9_lzprint
+from crossgrain.llm.packing import op10_packing
+from crossgrain.llm.secret_scan import op2_secrets
 from crossgrain.llm.simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op8_simhash,)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_ctw, op6_langid, op8_simhash, op9_lzprint, op10_packing)}
 
 ORACLES: dict[str, str] = {}
