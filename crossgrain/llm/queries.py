@@ -9,7 +9,10 @@ from crossgrain.llm.lzprint import op9_lzprint
 from crossgrain.llm.packing import op10_packing
 from crossgrain.llm.secret_scan import op2_secrets
 from crossgrain.llm.simhash import op8_simhash
+from crossgrain.llm.suffix_dedup import op7_suffix_dedup
+from crossgrain.llm.surrogates import op4_surrogates
+from crossgrain.llm.warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_ctw, op6_langid, op8_simhash, op9_lzprint, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_ctw, op4_surrogates, op5_warc, op6_langid, op7_suffix_dedup, op8_simhash, op9_lzprint, op10_packing)}
 
 ORACLES: dict[str, str] = {}
