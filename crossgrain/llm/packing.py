@@ -163,7 +163,8 @@ def fill_gaps(patterns: list[Pattern], size: int, slack: float) -> list[Pattern]
         takers, room = [], 0
         while heap and room < donor.used:
             taker = heapq.heappop(heap)[2]
-            takers.append(taker)
+            put(Pattern(taker.pieces, taker.used, max(0, taker.count - n)))
+            takers.append(Pattern(taker.pieces, taker.used, min(taker.count, n)))
             room += size - taker.used
         if room < donor.used:
             done.append(Pattern(donor.pieces, donor.used, n))
