@@ -10,8 +10,9 @@ with probability under ``alpha`` (Bonferroni over the three) is dropped.
 
 Short ordinary strings also pass such tests, so what passes must be unlikely as
 ordinary text: the ratio of its probability under the encoding to that under the
-corpus' own first-order character model (counted over all documents) bounds the
-chance of an ordinary string looking so random (Markov), and grows with length.
+corpus' own first-order character model (counted over all documents, candidates
+left out) bounds the chance of an ordinary string looking so random (Markov's
+inequality), and grows with length.
 Over all candidates of the corpus the Benjamini-Hochberg step-up rule on these
 bounds keeps the share of false discoveries under ``fdr``, in each group of
 strings of similar length. What travels to the driver is fixed in size: one
@@ -118,7 +119,9 @@ class Ordinary:
     """First-order character model of the corpus: log10 probabilities of a character after another."""
 
     def __init__(self, pairs: np.ndarray) -> None:
-        counts = pairs.reshape(N_CHARS, N_CHARS) + 0.5
+        counts = pairs.reshape(N_CHARS, N_CHARS).astype(np.float64)
+        single = counts.sum(0) + 0.5
+        counts += single / single.sum()  # unseen pairs fall back to the character's own frequency
         self.log = np.log10(counts / counts.sum(1, keepdims=True))
 
     def evidence(self, token: str, encoding: int) -> float:
@@ -144,9 +147,15 @@ def survey(docs: DataFrame, *, least: int) -> DataFrame:
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             tokens: Counter[str] = Counter()
+            ordinary = []
             for text in texts:
-                tokens.update(m[0].rstrip("=") for m in pattern.finditer(text))
-            code = _CODE[np.frombuffer("\n".join(texts).encode(), np.uint8)]
+                at = 0
+                for m in pattern.finditer(text):
+                    tokens[m[0].rstrip("=")] += 1
+                    ordinary.append(text[at : m.start()])
+                    at = m.end()
+                ordinary.append(text[at:])
+            code = _CODE[np.frombuffer("\n".join(ordinary).encode(), np.uint8)]
             if len(code) > 1:
                 pairs += np.bincount(code[:-1] * np.uint16(N_CHARS) + code[1:], minlength=len(pairs))
             yield pa.record_batch([pa.nulls(len(tokens), pa.int32()), pa.array(list(tokens), pa.string()), pa.array(list(tokens.values()), pa.int64())], names=["pair", "token", "n"])
