@@ -89,9 +89,13 @@ def test_suffix_dedup_ids_that_repeat(spark):
     long = "".join(rng.choice("abcdefgh ") for _ in range(400))
     rows = [(1, long), (1, long), (1, long[100:350] + "z"), (None, long[50:300]), (None, None)]
     got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, ROWS)).collect()
-    removed = sorted((r.doc_id is None, len(r.data), sum(s.end - s.start for s in r.spans)) for r in got)
     assert len(got) == 5
-    assert (True, 250, 0) in removed and removed.count((False, 400, 250)) == 2 and (False, 251, 250) in removed
+    order = sorted({(i or 0, (t or "").encode()) for i, t in rows})
+    want = covered([(k, data) for k, (_, data) in enumerate(order)], 100)
+    for r in got:
+        k = order.index((r.doc_id or 0, bytes(r.data)))
+        assert sum(s.end - s.start for s in r.spans) == want[k].sum()
+    assert suffix_dedup.repeated_passages(spark.createDataFrame([], ROWS)).count() == 0
 
 
 # ---- SimHash -------------------------------------------------------------------------------------
