@@ -143,26 +143,24 @@ def fill_gaps(patterns: list[Pattern], size: int, slack: float) -> list[Pattern]
     padding = sum((size - p.used) * p.count for p in patterns)
     done: list[Pattern] = [p for p in patterns if p.used == size]
     order = 0
-    heap: list[tuple[int, int, Pattern]] = []
+    heap: list[tuple[int, int, Pattern]] = []  # packs of whole tails
+    holders: list[tuple[int, int, Pattern]] = []  # packs with a piece of a cut tail, which is cut at one time only
 
     def put(p: Pattern) -> None:
         nonlocal order
         if p.count:
-            heapq.heappush(heap, (p.used, order := order + 1, p))
+            heapq.heappush(holders if any(len(s.cuts) > 1 for s, _ in p.pieces) else heap, (p.used, order := order + 1, p))
 
     for p in patterns:
         if p.used < size:
             put(p)
     while heap and padding > slack * total:
         donor = heapq.heappop(heap)[2]
-        if any(len(s.cuts) > 1 for s, _ in donor.pieces):  # a tail is cut at one time only
-            done.append(donor)
-            continue
         n = max(1, donor.count // 8)
         put(Pattern(donor.pieces, donor.used, donor.count - n))
         takers, room = [], 0
-        while heap and room < donor.used:
-            taker = heapq.heappop(heap)[2]
+        while (holders or heap) and room < donor.used:
+            taker = heapq.heappop(holders or heap)[2]
             put(Pattern(taker.pieces, taker.used, max(0, taker.count - n)))
             takers.append(Pattern(taker.pieces, taker.used, min(taker.count, n)))
             room += size - taker.used
@@ -198,7 +196,7 @@ def fill_gaps(patterns: list[Pattern], size: int, slack: float) -> list[Pattern]
             else:
                 done.append(filled)
         padding -= size * n_now
-    return done + [p for _, _, p in heap]
+    return done + [p for _, _, p in heap + holders]
 
 
 def plan(histogram: dict[int, int], size: int, slack: float = 0.002) -> Plan:
