@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from crossgrain.plans import books, evaluation, expressions, features, market, pit, quality, signals, streams  # noqa: F401
+from crossgrain.plans import allocation, books, evaluation, expressions, features, market, pit, quality, signals, streams  # noqa: F401
