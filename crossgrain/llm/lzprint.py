@@ -21,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,56 +38,77 @@ class Parse:
     """The dictionary and hashes of a text parsed so far; more text may be added."""
 
     def __init__(self, seed: int = 0) -> None:
-        self.seed, self.phrases, self.open = seed, set(), b""
+        self.seed, self.known, self.open, self.longest = seed, {b"": None}, b"", 1
+        self.done = np.empty(0, np.uint64)  # hashes of the first phrases
+
+    @property
+    def phrases(self) -> set[bytes]:
+        return set(self.known) - {b""}
 
     def add(self, data: bytes) -> Parse:
-        """Reads on; an unfinished phrase is kept open. The dictionary holds each phrase's beginnings, so lengths are probed upwards."""
-        phrases = self.phrases
+        """Reads on; an unfinished phrase is kept open.
+
+        The dictionary holds each phrase's beginnings, so the longest known string is found from the last length, up or down.
+        """
+        known, longest = self.known, self.longest
         data = self.open + data
-        at, n = 0, len(data)
-        guess = 4
-        while at < n:
-            # the longest known string at ``at``: from the last length go up or down
-            size = guess
-            if data[at : at + size] in phrases and at + size <= n:
-                size += 1
-                while at + size <= n and data[at : at + size] in phrases:
-                    size += 1
+        at, n, size = 0, len(data), 3
+        while at + longest < n:  # no known string reaches the end
+            end = at + size
+            phrase = data[at:end]
+            if phrase in known:
+                while phrase in known:
+                    end += 1
+                    phrase = data[at:end]
             else:
-                size = min(size, n - at)
-                while size > 1 and data[at : at + size - 1] not in phrases:
-                    size -= 1
-                if at + size <= n and data[at : at + size] in phrases:
-                    size += 1
-            if at + size > n:
+                while (shorter := data[at : end - 1]) not in known:
+                    phrase = shorter
+                    end -= 1
+            known[phrase] = None
+            size = end - at
+            if size > longest:
+                longest = size
+            at, size = end, size - 1 or 1
+        while at < n:
+            end = at + 1
+            while end <= n and data[at:end] in known:
+                end += 1
+            if end > n:
                 break
-            phrases.add(data[at : at + size])
-            at += size
-            guess = max(1, size - 1)
-        self.open = data[at:]
+            known[data[at:end]] = None
+            longest = max(longest, end - at)
+            at = end
+        self.open, self.longest = data[at:], longest
         return self
 
     def copy(self) -> Parse:
+        """The same state; hashes made so far are shared."""
+        self._hash()
         out = Parse(self.seed)
-        out.phrases, out.open = set(self.phrases), self.open
+        out.known, out.open, out.longest, out.done = dict(self.known), self.open, self.longest, self.done
         return out
 
-    def hashes(self, size: int) -> np.ndarray:
-        """The ``size`` smallest hashes of the phrases, an unfinished last one included, in order."""
-        found = {*self.phrases, self.open} if self.open else self.phrases
+    def _hash(self) -> None:
+        new = islice(self.known, 1 + len(self.done), None)
         digest, seed = xxhash.xxh64_digest, self.seed
-        every = np.frombuffer(b"".join([digest(p, seed) for p in found]), ">u8")
-        if len(every) > size:
-            every = np.partition(every, size - 1)[:size]
-        return np.unique(every.astype(np.uint64))
+        made = np.frombuffer(b"".join([digest(p, seed) for p in new]), ">u8").astype(np.uint64)
+        self.done = np.concatenate([self.done, made]) if len(self.done) else made
+
+    def hashes(self, size: int) -> np.ndarray:
+        """The ``size`` smallest hashes of the phrases, in order; an unfinished phrase is in the dictionary already."""
+        self._hash()
+        return np.unique(np.partition(self.done, size - 1)[:size] if len(self.done) > size else self.done)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """Estimated Jaccard similarity of two phrase sets from their smallest hashes."""
+    """Estimated Jaccard similarity of two phrase sets from their smallest hashes, each in order."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    least = np.union1d(a, b)[:size]
-    return float(np.isin(np.intersect1d(a, b, assume_unique=True), least).sum() / len(least))
+    both = np.concatenate([a, b])
+    both.sort()
+    again = both[1:] == both[:-1]
+    union = both[np.concatenate([[True], ~again])][:size]
+    return float((both[1:][again] <= union[-1]).sum() / len(union))
 
 
 def digest_of(hashes: np.ndarray) -> str:
@@ -146,16 +168,20 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                         yield last, row
                     last = row
 
-        after: tuple[str, np.ndarray] | None = None  # the next document's text and hashes, if just made
+        def parsed(text: str) -> tuple[str, Parse, np.ndarray]:
+            """A text, the parse of its first three quarters, and the hashes of all of it."""
+            head = len(text) - len(text) // 4
+            begun = Parse(seed).add(text[:head].encode())
+            return text, begun, begun.copy().add(text[head:].encode()).hashes(size)
+
+        now: tuple[str, Parse, np.ndarray] | None = None  # the next document, if just parsed
         out = []
         for (doc_id, text, _, _), (_, following, _, _) in pairs():
-            n = len(text)
-            tail = n // 4
-            begun = Parse(seed).add(text[: n - tail].encode())
-            changed = begun.copy().add(following[:tail].encode()).hashes(size)
-            own = after[1] if after and after[0] == text else begun.add(text[n - tail :].encode()).hashes(size)
-            after = (following, own if following == text else Parse(seed).add(following.encode()).hashes(size))
-            out.append((doc_id, n, text[: n - tail] + following[:tail], digest_of(own), digest_of(changed), likeness(own, changed, size), likeness(own, after[1], size)))
+            _, begun, own = now if now and now[0] == text else parsed(text)
+            now = parsed(following)
+            tail = len(text) // 4
+            changed = begun.add(following[:tail].encode()).hashes(size)
+            out.append((doc_id, len(text), text[: len(text) - tail] + following[:tail], digest_of(own), digest_of(changed), likeness(own, changed, size), likeness(own, now[2], size)))
             if len(out) == 500:
                 yield _rows(out, names)
                 out = []
