@@ -3,7 +3,7 @@
 Detected entities are replaced by keyed surrogates of their own type and format:
 
 - e-mail addresses keep their separators, letter case, digits' places and top
-  level domain; common mail hosts and the domain's shape stay plausible;
+  level domain;
 - telephone numbers keep sign, country code, brackets and spacing;
 - card numbers keep their issuer digit, grouping and a valid check digit;
 - IPv4 addresses stay addresses, their octets of the same number of digits;
@@ -30,19 +30,20 @@ in order, whatever they are called; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, written
+from crossgrain.llm.common import read_table, spread, written
 
 #: Patterns by type. A mention is given the first type whose pattern it is whole.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-CARD = r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?![\d])"
+CARD = r"(?<!\d)(?<!\d\.)(?:\d{4}[ \-]?){3}\d{4}(?![\d])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+IPV4 = r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+PHONE = r"(?<!\w)(?<!\d\.)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
 
 #: Forms of address by gender, fixed values; those of no gender have names of either.
 ADDRESS = {
@@ -99,11 +100,16 @@ def normal_form(kind: Column, word: Column) -> Column:
     return out.when(kind == "phone", F.right(digits, F.lit(10))).when(kind == "ip", word).otherwise(digits)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, although ``use`` names it in a loop."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _draws(key: str, kind: Column, entity: Column, turn: Column) -> Column:
-    """64 numbers from 0 to 65535: two SHA-256 digests of key, type, entity and round."""
+    """64 numbers from 0 to 65535: four SHA-256 digests of key, type, entity and round."""
     said = lambda part: F.sha2(F.concat_ws("\u001f", F.lit(key), kind, entity, turn.cast("string"), F.lit(part)), 256)
     digest = F.concat(said("a"), said("b"), said("c"), said("d"))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    return _once(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(d, i * 4 + 1, F.lit(4)), 16, 10).cast("int")))
 
 
 def _at(draws: Column, i: Column) -> Column:
@@ -168,7 +174,10 @@ def _name(draws: Column, gender: Column, script: Column, turn: Column) -> Column
 
 def candidate(key: str, kind: Column, entity: Column, gender: Column, script: Column, turn: Column) -> Column:
     """The surrogate's normal form that an entity draws in a round."""
-    draws = _draws(key, kind, F.concat_ws("\u001f", entity, gender), turn)
+    return _once(_draws(key, kind, F.concat_ws("\u001f", entity, gender), turn), lambda draws: _drawn(draws, kind, entity, gender, script, turn))
+
+
+def _drawn(draws: Column, kind: Column, entity: Column, gender: Column, script: Column, turn: Column) -> Column:
     out = F.when(kind == "email", _mail(draws, entity)).when(kind == "card", _luhn(F.left(_digits(draws, entity, 1), F.lit(15))))
     out = out.when(kind == "ip", _octets(draws, entity)).when(kind == "name", _name(draws, gender, script, turn))
     return out.otherwise(_digits(draws, entity))
@@ -183,7 +192,7 @@ def surrogates(entities: DataFrame, *, key: str, most_rounds: int = 40) -> DataF
     """
     spark = entities.sparkSession
     script = script_of(F.col("entity"))
-    left = written(entities, "entities")
+    left = written(entities.repartition(spread(spark), "kind", "entity"), "entities")
     real = left.select("kind", F.col("entity").alias("drawn")).distinct()
     given: DataFrame | None = None
     for turn in range(most_rounds):
