@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import decontaminate, langid, packing, simhash, surrogates
+from crossgrain.llm import decontaminate, langid, neardup, packing, surrogates
 from crossgrain.llm.common import read_table, written
 
 
@@ -26,8 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest id; of rows that share an id, one."""
-    groups = simhash.near_duplicates(docs)
+    """Keeps of each group of near-duplicates the document of the smallest id; of rows that share an id, one.
+
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+    """
+    groups = neardup.near_duplicates(docs, width=5, share=0.8)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crossgrain.llm import induced, lzprint, simhash, suffix_dedup
+from crossgrain.llm import induced, lzprint, neardup, simhash, suffix_dedup
 
 ROWS = "doc_id long, text string"
 
@@ -223,3 +223,50 @@ def test_fingerprint_edge_rows(spark):
     assert [r.fingerprint for r in lzprint.fingerprints(docs).collect()] == ["", ""]
     assert [r.near_next for r in lzprint.edited_pairs(docs).collect()] == [1.0, 1.0]
     assert lzprint.edited_pairs(docs.where("false")).count() == 0
+
+
+# ---- near-duplicates of the pipeline -------------------------------------------------------------
+
+
+def plain_groups(rows):
+    """rows (id, text) -> id: smallest id over links of 0.8 between sets of five-word shingles."""
+    sets, group = [], {i: i for i, _ in rows}
+    for k, (i, text) in enumerate(rows):
+        words = (text or "").encode().lower().split()
+        own = {tuple(words[a : a + 5]) for a in range(max(1, len(words) - 4))} if words else set()
+        for (j, _), other in zip(rows[:k], sets):
+            if own == other or 5 * len(own & other) >= 4 * len(own | other):
+                a, b = sorted((group[i], group[j]))
+                group = {x: a if g == b else g for x, g in group.items()}
+        sets.append(own)
+    return group
+
+
+@pytest.mark.parametrize("block_texts", [2_000, 3])
+def test_near_duplicates_match_brute_force(spark, block_texts):
+    rng, rows = random.Random(8), [(900, None), (901, " "), (902, "one two"), (903, "ONE two"), (904, "one two three")]
+    for _ in range(12):  # edits that leave likenesses on both sides of 0.8, and chains
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 200))]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words)))
+            base = words if rng.random() < 0.3 else list(words)
+            for _ in range(rng.randint(0, 5)):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(5000)}"
+            words = base
+    for k in range(1, 8):  # exactly 0.8: of 100 shingles each, ten and a little more are changed
+        words = [f"e{k}_{i}" for i in range(94)]
+        rows += [(2000 + k, " ".join(words)), (3000 + k, " ".join([*words[:-10], *(f"y{i}" for i in range(10))]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.near_duplicates(docs, block_texts=block_texts).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_groups(rows)
+    assert neardup.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = plain_groups([(r.doc_id, r.text) for r in docs.collect()])
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
