@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -48,27 +49,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A run of white space from this length on is left to ``tokenizers``: ``tiktoken`` fails on a million characters of it.
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"\s+")
+
+
 def encoder(path: str):
-    """text -> ids, as ``tokenizers`` gives them for the file without special tokens.
+    """text -> ids, as ``tokenizers`` gives them for the file with ``add_special_tokens=False``.
 
     A ``.json`` file with a ``.tiktoken`` file of the same vocabulary beside it is
-    encoded by ``tiktoken``, which gives the same ids several times faster.
+    encoded by ``tiktoken``, which gives the same ids several times faster. The
+    file's added tokens are found in texts too, as ``tokenizers`` does.
     """
     from pathlib import Path
 
-    ranks = Path(path).with_suffix(".tiktoken")
-    if ranks.exists():
-        import public_tokenizers
-        import tiktoken
-
-        with ranks.open("rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda text: whole.encode(text, add_special_tokens=False).ids
+    exact = lambda text: whole.encode(text, add_special_tokens=False).ids
+    ranks = Path(path).with_suffix(".tiktoken")
+    added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    if not ranks.exists() or any(t.lstrip or t.rstrip or t.single_word for t in whole.get_added_tokens_decoder().values()):
+        return exact
+    import public_tokenizers
+    import tiktoken
+
+    with ranks.open("rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACE.finditer(text)):
+            return exact(text)
+        try:
+            return fast.encode(text, allowed_special="all")
+        except BaseException as e:  # a panic of tiktoken is no Exception
+            if type(e).__name__ != "PanicException" and not isinstance(e, Exception):
+                raise
+            return exact(text)
+
+    return encode
 
 
 @dataclass

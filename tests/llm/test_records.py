@@ -214,6 +214,16 @@ def test_packing_edge_rows(spark):
     assert packing.pack(rows.where("false")).count() == 0
 
 
+def test_encoder_gives_the_ids_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.encoder(packing.default_tokenizer())
+    spaces = [c * n for c in (" ", "\n") for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, 1_000_000)]
+    for text in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", " <|endoftext|", "", *spaces, *(f"a{x}b" for x in spaces)]:
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
 # ---- the pipeline --------------------------------------------------------------------------------
 
 
