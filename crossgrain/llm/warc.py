@@ -40,9 +40,13 @@ _NAMES = [f.split()[0] for f in RECORD.split(", ")]
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 #: Elements whose content is no text, and elements that end a line; fixed values.
-HIDDEN = ("script", "style", "noscript", "template", "head")
+HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
-_PART = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+_TITLED = r"<title(?=[\s/>])[^>]*>(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*)"
+#: A head ends with its tag, or before the first text or element that cannot be in one: its end tag may be left out.
+_HEAD = rf"<head(?=[\s/>])[^>]*>(?:\s+|{_COMMENT}|{_TITLED}|<(?P<inner>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=inner)\s*>|\Z)|</?(?:meta|link|base|basefont|bgsound|noframes|title|{'|'.join(HIDDEN)})(?=[\s/>])[^>]*>)*+(?:</head\s*>)?"
+_PART = re.compile(rf"{_COMMENT}|(?P<head>{_HEAD})|<(?P<hidden>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)|</?(?P<tag>[a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.DOTALL | re.IGNORECASE)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
@@ -64,7 +68,7 @@ def plain_text(page: str) -> str:
     """The page's text: no markup, hidden parts or comments; a line for each block, single spaces."""
 
     def gap(m: re.Match[str]) -> str:
-        return "\n" if (m[2] or "").lower() in BLOCKS else " " if m[1] else ""
+        return "\n" if (m["tag"] or "").lower() in BLOCKS else " " if m["head"] or m["hidden"] else ""
 
     text = html.unescape(_PART.sub(gap, page.replace("\n", " ")))
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()

@@ -94,6 +94,15 @@ def test_plain_text_and_metadata():
     assert warc.plain_text("") == warc.plain_text("<script>x") == ""
 
 
+def test_a_head_may_lack_its_end_tag():
+    assert warc.plain_text("<html><head><title>t</title><body><p>All the text</p>") == "All the text"
+    assert warc.plain_text("<head><meta charset=utf-8><!-- x --><title>t</title>\n<style>p{}</style><script>'<p>'</script><p>One<div>two</div>") == "One\ntwo"
+    assert warc.plain_text("<head><title>t</title>Bare text<p>and more") == "Bare text\nand more"
+    assert warc.plain_text("<head><title>t<meta name=a><body>Text") == warc.plain_text("<head><title>t</head>Text") == "Text"
+    assert warc.plain_text("<head><title>the <b> tag</title></head><header>Top</header><svg><title>icon</title></svg>") == "Top\nicon"
+    assert warc.plain_text("<head>" + "<meta>" * 50_000 + "<p>x") == "x"
+
+
 def test_derivatives_are_linked_and_digested(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE, "q"), (2, None, None, "q"), (1, "http://a/", PAGE, "q")], "page_id long, url string, html string, record_id string")
     source = {r.record_id: r for r in warc.responses(pages).collect()}
