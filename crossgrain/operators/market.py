@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import erfc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +95,69 @@ def chronological_split(rows: DataFrame, shares: tuple[float, float] = (0.70, 0.
     return rows.withColumns({"_i": i, "_n": n}).withColumn("role", F.when(F.col("_i") < F.floor(F.col("_n") * shares[0]), "train").when(F.col("_i") < F.floor(F.col("_n") * shares[1]), "validation").otherwise("test")).drop("_i", "_n")
 
 
-def pair_tests(prices: DataFrame, names: int) -> DataFrame:
-    """(a, b, hedge, t): Dickey-Fuller statistics of log-price spreads of all pairs of a universe of ``names`` symbols with whole histories.
-
-    The universe is fixed beforehand, so the pairs are too; each date's rows meet by the equi-join on date.
+#: Symbols of a block; two blocks meet in one task.
+PAIR_BLOCK = 256
+#: MacKinnon's response surface for the test of two series with a constant: where the polynomials hold, and these; fixed values.
+_TAU_LOW, _TAU_TURN, _TAU_HIGH = -18.86, -2.62, 0.92
+_TAU_SMALL, _TAU_LARGE = (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)
+
+
+def cointegration_p(t: np.ndarray) -> np.ndarray:
+    """MacKinnon's approximate p-value of a residual's Dickey-Fuller statistic."""
+    z = np.where(t <= _TAU_TURN, np.polynomial.polynomial.polyval(t, _TAU_SMALL), np.polynomial.polynomial.polyval(t, _TAU_LARGE))
+    p = np.array([erfc(-x / 2**0.5) / 2 for x in z])
+    return np.where(np.isnan(t), np.nan, np.where(t > _TAU_HIGH, 1.0, np.where(t < _TAU_LOW, 0.0, p)))
+
+
+def _pairs(own: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """hedge, t, p_value, spread_mean, spread_std of all pairs ``own`` x ``other`` of the rows of log prices, from sums of products."""
+    n = x.shape[1]
+    mx, my = x.mean(1)[:, None], y.mean(1)[None, :]
+    xc, yc = x - mx, y - my.T
+    both, yy = xc @ yc.T, (yc * yc).sum(1)[None, :]
+    with np.errstate(all="ignore"):
+        hedge = (both + n * mx * my) / (yy + n * my * my)
+        x0, y0, dx, dy = (v - v.mean(1)[:, None] for v in (xc[:, :-1], yc[:, :-1], np.diff(x), np.diff(y)))
+        square = lambda a, b: ((a * a).sum(1)[:, None] - 2 * hedge * (a @ b.T) + hedge**2 * (b * b).sum(1)[None, :])
+        sxx, syy = square(x0, y0), square(dx, dy)
+        sxy = (x0 * dx).sum(1)[:, None] - hedge * (x0 @ dy.T + dx @ y0.T) + hedge**2 * (y0 * dy).sum(1)[None, :]
+        rho = sxy / sxx
+        t = rho / np.sqrt((syy - rho * sxy) / ((n - 3) * sxx))
+        std = np.sqrt(square(xc, yc) / (n - 1))
+    found = [v[own, other] for v in (hedge, t, mx - hedge * my, std)]
+    p = cointegration_p(found[1]) if n >= 30 else np.full(len(own), np.nan)
+    return [*found[:2], p, *found[2:]]
+
+
+def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b, hedge, t, p_value, spread_mean, spread_std): Dickey-Fuller tests of log-price spreads of all pairs of symbols with whole histories.
+
+    Every pair a < b of complete symbols is tested. A symbol is one row, and two blocks of symbols meet in one task, where a
+    pair's sums are matrix products. Under 30 dates there is no p-value.
     """
+    logs = prices.select("symbol", "date", F.log("close").alias("p"))
     dates = prices.agg(F.count_distinct("date").alias("_all"))
-    whole = prices.groupBy("symbol").agg(F.count("close").alias("_n")).crossJoin(F.broadcast(dates)).where("_n = _all").orderBy("symbol").limit(names).select("symbol")
-    p = prices.join(F.broadcast(whole), "symbol").select("symbol", "date", F.log("close").alias("p"))
-    both = p.select(F.col("symbol").alias("a"), "date", F.col("p").alias("x")).join(p.select(F.col("symbol").alias("b"), "date", F.col("p").alias("y")), "date").where("a < b")
-    hedge = both.groupBy("a", "b").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).alias("hedge"))
-    w = Window.partitionBy("a", "b").orderBy("date")
-    s = both.join(hedge, ["a", "b"]).withColumn("s", F.col("x") - F.col("hedge") * F.col("y"))
-    s = s.withColumns({"s0": F.lag("s").over(w), "ds": F.col("s") - F.lag("s").over(w)}).where("s0 is not null")
-    g = s.groupBy("a", "b", "hedge").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("ds", "s0").alias("rho"), F.regr_sxx("ds", "s0").alias("sxx"), F.regr_syy("ds", "s0").alias("syy"), F.regr_sxy("ds", "s0").alias("sxy"))
-    error = F.sqrt(F.try_divide(F.col("syy") - F.col("rho") * F.col("sxy"), (F.col("n") - 2) * F.col("sxx")))
-    return g.select("a", "b", "hedge", F.try_divide(F.col("rho"), error).alias("t"))
+    rows = logs.where("p is not null").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "p"))).alias("_s")).crossJoin(F.broadcast(dates)).where("size(_s) = _all")
+    blocks = rows.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    own = rows.crossJoin(F.broadcast(blocks)).select("symbol", F.col("_s.p").alias("p"), "_n", F.pmod(F.xxhash64("symbol"), "_n").cast("int").alias("own"))
+    cells = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.least("own", "_o").alias("low"), F.greatest("own", "_o").alias("high"), "own", "symbol", "p")
+
+    def test(cell: pa.Table) -> pa.Table:
+        names, first = cell.column("symbol").to_pylist(), np.array(cell.column("own").to_pylist())
+        order = sorted(range(len(names)), key=names.__getitem__)
+        names, first = [names[k] for k in order], first[order]
+        x = np.array(cell.column("p").to_pylist(), float)[order]
+        a, b = np.triu_indices(len(names), 1)
+        if cell.column("low")[0] != cell.column("high")[0]:
+            a, b = (v[first[a] != first[b]] for v in (a, b))
+        found = [pa.array(v, mask=~np.isfinite(v)) for v in _pairs(a, b, x, x)]
+        return pa.table([pa.array(np.array(names, object)[a], pa.string()), pa.array(np.array(names, object)[b], pa.string()), *found], names=["a", "b", "hedge", "t", "p_value", "spread_mean", "spread_std"])
+
+    return cells.groupBy("low", "high").applyInArrow(test, "a string, b string, hedge double, t double, p_value double, spread_mean double, spread_std double")
+
+
+def selected_pairs(tests: DataFrame, *, level: float = 0.05, most: int = 50) -> DataFrame:
+    """``selected`` for the ``most`` pairs of the smallest p-values among those within ``level`` over the number of pairs tested."""
+    tested = tests.agg((F.lit(level) / F.count(F.lit(1))).alias("_level"))
+    best = tests.crossJoin(F.broadcast(tested)).where("p_value <= _level and spread_std > 0").orderBy("p_value", "t", "a", "b").limit(most).select("a", "b", F.lit(True).alias("_in"))
+    return tests.join(F.broadcast(best), ["a", "b"], "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_in")

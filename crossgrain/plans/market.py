@@ -240,4 +240,4 @@ def flow_states(spark, sf):
 
 @query("M3_pair_tests")
 def m3(spark, sf):
-    return out(market.pair_tests(bars(spark, sf, "month"), 20))
+    return out(market.selected_pairs(market.pair_tests(bars(spark, sf, "month"))))

@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crossgrain.functions import expressions as X
 from crossgrain.functions.frames import as_of, bucket, folded, percentile_rank, rounding
-from crossgrain.operators import features, metrics, pit, quality, signals
+from crossgrain.operators import features, market, metrics, pit, quality, signals
 from crossgrain.sources.bars import BAR, bars, normalized
 
 
@@ -107,3 +108,31 @@ def test_results_do_not_depend_on_partitions(spark, sf):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def plain_pair(x, y):
+    """hedge, Dickey-Fuller t by least squares, spread mean and deviation."""
+    hedge = (x @ y) / (y @ y)
+    s = x - hedge * y
+    design = np.column_stack([np.ones(len(s) - 1), s[:-1]])
+    fit, *_ = np.linalg.lstsq(design, np.diff(s), rcond=None)
+    rest = np.diff(s) - design @ fit
+    error = np.sqrt(rest @ rest / (len(s) - 3) * np.linalg.inv(design.T @ design)[1, 1])
+    return hedge, fit[1] / error, s.mean(), s.std(ddof=1)
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_all_pairs_of_whole_histories_are_tested(spark, block):
+    rng = np.random.default_rng(2)
+    logs = {f"s{k}": 3 + np.cumsum(rng.normal(0, 0.02, 80)) for k in range(29)}
+    logs["t0"] = 1.1 * logs["s7"] + rng.normal(0, 0.002, 80)  # tied to s7
+    rows = [(s, day(i), float(np.exp(v))) for s, p in logs.items() for i, v in enumerate(p)] + [("gap", day(i), 5.0) for i in range(79)]
+    tests = market.pair_tests(spark.createDataFrame(rows, "symbol string, date date, close double"), block)
+    got = {(r.a, r.b): r for r in market.selected_pairs(tests).collect()}
+    assert set(got) == {(a, b) for a in logs for b in logs if a < b}
+    for (a, b), r in got.items():
+        assert (r.hedge, r.t, r.spread_mean, r.spread_std) == pytest.approx(plain_pair(logs[a], logs[b]), rel=1e-6, abs=1e-9)
+        assert not r.selected or r.p_value <= 0.05 / len(got)
+    assert got["s7", "t0"].selected
+    assert sum(r.selected for r in market.selected_pairs(tests, level=435.0, most=10).collect()) == 10
+    assert market.cointegration_p(np.array([-3.90, -3.34, -3.04, 2.0, -30.0])) == pytest.approx([0.01, 0.05, 0.10, 1, 0], abs=2e-3)
