@@ -3,25 +3,36 @@
 Detected entities are replaced by keyed surrogates of their own type and format:
 
 - e-mail addresses keep their separators, letter case, digits' places and top
-  level domain;
-- telephone numbers keep sign, country code, brackets and spacing;
-- card numbers keep their issuer digit, grouping and a valid check digit;
-- IPv4 addresses stay addresses, their octets of the same number of digits;
+  level domain; addresses of one domain stay addresses of one domain;
+- telephone numbers keep sign, country code, brackets and spacing: international
+  ones (a plus sign and 8 to 15 digits in any groups), 3-3-4 digits, and five pairs
+  that begin with 0; other national forms and bare digits are not told from numbers;
+- card numbers (16 digits in fours, 15 as 4-6-5) keep their issuer digit, grouping
+  and a valid check digit;
+- IBANs with a valid check keep country, letters' and digits' places and grouping,
+  and a valid check;
+- IPv4 and IPv6 addresses stay addresses, their parts of the same length;
 - US social security numbers keep their grouping;
 - names after a form of address (Mr, Mrs, Frau, Señora, г-н, ...) get names of the
-  same gender and script, word for word, with the same capitals.
-
-An entity is its normal form (an e-mail address in lower case, a number's digits,
-a name word in lower case with its gender), so all its mentions in all documents
-get the same surrogate, whatever their format. Distinct entities get distinct
-surrogates: all candidates are compared, and an entity whose candidate is taken,
-by an earlier entity or as a real entity of the corpus, draws again; each round
-is a join over the entities that are left. Surrogates come from SHA-256 over the
-key, the type, the entity and the round.
-
-Only texts with an entity are taken apart. Mentions are keyed by the text's hash,
-so copies are worked on once; a text is joined to its replacements and put
-together again by position.
+  same gender and script, word for word, with the same capitals; so does a name of
+  two words that the same text repeats without the form of address. A word's gender is that of
+  the forms of address it follows as a first name anywhere in the corpus; none,
+  where they disagree or there are none. Other untitled names stay.
+
+An entity is its normal form (an address in lower case, a number's digits, a name's
+word in lower case), so all its mentions in all documents get the same surrogate,
+whatever their format. Distinct entities get distinct surrogates: all candidates
+are compared, and an entity whose candidate is taken, by an earlier entity or as a
+real entity of the corpus, draws again; each round is a join over the entities that
+are left. From round ``WIDER`` on, draws of formats with few members are longer
+(octets of any length, more letters); a format with no room at all is an error.
+Surrogates come from SHA-256 over the key, the type, the entity and the round. The
+key is the caller's secret: who has it can tell which entity a surrogate stands for.
+
+The patterns run over each text once; only texts with an entity are taken apart.
+Mentions are keyed by the text's hash, so copies are worked on once; a text is
+joined to its replacements and put together again by position. Texts or entities
+that a large part of the rows share are dealt to many tasks (``spread_join``).
 
 Defined cases: a null text stays null; an empty text and one without entities
 stay as they are; equal rows get equal texts; all columns of ``docs`` are kept,
@@ -30,20 +41,26 @@ in order, whatever they are called; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, spread, written
+from crossgrain.llm.common import as_row, named, read_table, spread, spread_join, written
 
 #: Patterns by type. A mention is given the first type whose pattern it is whole.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-CARD = r"(?<!\d)(?<!\d\.)(?:\d{4}[ \-]?){3}\d{4}(?![\d])"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{2,24}"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IPV6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{4}:|(?:[0-9A-Fa-f]{1,4}:){2,6})(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])"
+CARD = r"(?<!\d)(?<!\d\.)(?:(?:\d{4}[ \-]?){3}\d{4}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IPV4 = r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-PHONE = r"(?<!\w)(?<!\d\.)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+PHONE = r"(?<![\w+])(?<!\d\.)(?:\+\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,6}|(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|0\d(?:[ .\-]\d{2}){4})(?!\d)"
+
+#: Country codes of telephones by their first digits, fixed values: one or two digits, and three else.
+COUNTRY_CODE = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
 #: Forms of address by gender, fixed values; those of no gender have names of either.
 ADDRESS = {
@@ -52,11 +69,18 @@ ADDRESS = {
     "n": ("Dr", "Prof"),
 }
 _TITLES = "|".join(sorted((t for ts in ADDRESS.values() for t in ts), key=len, reverse=True))
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])"
-PATTERNS = {"email": EMAIL, "card": CARD, "ssn": SSN, "ip": IPV4, "phone": PHONE, "name": NAME}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_INITIALS = "".join(sorted({t[0] for ts in ADDRESS.values() for t in ts}))
+_WORD = r"\p{Lu}\p{Ll}+"
+NAME = rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
+PATTERNS = {"email": EMAIL, "iban": IBAN, "ip6": IPV6, "card": CARD, "ssn": SSN, "ip": IPV4, "phone": PHONE, "name": NAME}
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("card", "ssn", "ip", "phone"))
+#: All of them; what can only begin with a digit, a sign or a bracket is tried only there.
+ANY = rf"(?:{EMAIL})|(?:(?=[A-Z]{{2}}\d){IBAN})|(?:(?=[0-9A-Fa-f]{{1,4}}:){IPV6})|(?=[\d+(])(?:{_NUMBERS})|(?:{NAME})"
 #: A cheap sign that a text may hold any of them.
-HINT = rf"@|\d[ .\-]?\d|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"@|\d[ .\-/]?\(?\d|[0-9A-Fa-f]:|(?=[{_INITIALS}])(?:{_TITLES})\.? \p{{Lu}}"
+
+#: The round from which draws of formats with few members are longer.
+WIDER = 8
 
 #: Syllables of surrogate names by script, and endings by script and gender; fixed values.
 SYLLABLES = {
@@ -69,13 +93,18 @@ ENDINGS = {
 }
 
 
+def _titled(mention: Column) -> Column:
+    return F.regexp_extract(mention, r"^([^ .]+)", 1).isin(*(t for ts in ADDRESS.values() for t in ts)) & mention.contains(" ")
+
+
 def kind_of(mention: Column) -> Column:
-    """The type of a whole mention."""
-    out = F.when(mention.rlike(f"^(?:{EMAIL})$"), "email")
-    digits = F.regexp_replace(mention, r"\D", "")
-    out = out.when(mention.rlike(r"^(?:\d{4}[ \-]?){3}\d{4}$"), "card").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-    out = out.when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when((F.length(digits) >= 10) & mention.rlike(r"^[\d+(]"), "phone")
-    return out.otherwise("name")
+    """The type of a whole mention; null for a number that its type's check or length rules out."""
+    digits = F.length(F.regexp_replace(mention, r"\D", ""))
+    out = F.when(mention.contains("@"), "email").when(mention.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$"), F.when(_remainder(F.replace(mention, F.lit(" "), F.lit(""))) == 1, "iban"))
+    out = out.when(mention.rlike(r"^[0-9A-Fa-f]+:[0-9A-Fa-f:]+$"), "ip6")
+    out = out.when(mention.rlike(rf"^(?:{CARD})$"), "card").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
+    out = out.when(mention.startswith("+"), F.when(digits.between(8, 15), "phone"))
+    return out.when(mention.rlike(r"^[\d(]"), "phone").otherwise("name")
 
 
 def gender_of(mention: Column) -> Column:
@@ -89,15 +118,21 @@ def script_of(word: Column) -> Column:
 
 
 def words_of(kind: Column, mention: Column) -> Column:
-    """The entities of a mention: its name words, or itself."""
-    names = F.filter(F.split(mention, " "), lambda w, i: i > 0)
-    return F.when(kind == "name", names).otherwise(F.array(mention))
+    """(kind, word, given, entity) of what is replaced in a mention: a name's words, an address's mailbox and domain, or itself."""
+    names = F.split(F.when(_titled(mention), F.regexp_replace(mention, r"^[^ ]+ ", "")).otherwise(mention), " ")
+    own = lambda k, word, given, entity: F.struct(k.alias("kind"), word.alias("word"), given.alias("given"), entity.alias("entity"))
+    low, no = F.lower(mention), F.lit(False)
+    name = F.transform(names, lambda w, i: own(kind, w, (i == 0) & (F.size(names) > 1), F.lower(w)))
+    mail = F.array(own(F.lit("mailbox"), F.split_part(mention, F.lit("@"), F.lit(1)), no, low), own(F.lit("domain"), F.split_part(mention, F.lit("@"), F.lit(2)), no, F.split_part(low, F.lit("@"), F.lit(2))))
+    return F.when(kind == "name", name).when(kind == "email", mail).otherwise(F.array(own(kind, mention, no, normal_form(kind, mention))))
 
 
-def normal_form(kind: Column, word: Column) -> Column:
-    digits = F.regexp_replace(word, r"\D", "")
-    out = F.when(kind.isin("email", "name"), F.lower(word))
-    return out.when(kind == "phone", F.right(digits, F.lit(10))).when(kind == "ip", word).otherwise(digits)
+def normal_form(kind: Column, mention: Column) -> Column:
+    """A number's digits (a telephone's without country code or leading 0), an address as it is."""
+    digits = F.regexp_replace(mention, r"\D", "")
+    number = F.when(mention.startswith("+"), F.regexp_replace(digits, rf"^(?:{COUNTRY_CODE})", "")).otherwise(F.regexp_replace(digits, "^0", ""))
+    out = F.when(kind == "phone", number).when(kind == "ip", mention).when(kind == "ip6", F.lower(mention))
+    return out.when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(digits)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -117,45 +152,84 @@ def _at(draws: Column, i: Column) -> Column:
 
 
 def _digits(draws: Column, entity: Column, keep: int = 0) -> Column:
-    """Digits for digits, from the ``keep``-th on; the first of the rest is not zero."""
+    """Digits for digits, from the ``keep``-th on; the first of the rest is zero only if it was."""
 
     def one(c: Column, i: Column) -> Column:
         own = _at(draws, i)
-        return F.when(i < keep, c).when(i == keep, (own % 9 + 1).cast("string")).otherwise((own % 10).cast("string"))
+        return F.when((i < keep) | ((i == keep) & (c == "0")), c).when(i == keep, (own % 9 + 1).cast("string")).otherwise((own % 10).cast("string"))
 
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
 def _luhn(number: Column) -> Column:
-    """15 digits and their check digit."""
+    """A number and its check digit."""
     digits = F.transform(F.split(number, ""), lambda c: c.cast("int"))
-    doubled = F.transform(digits, lambda d, i: F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d))
+    doubled = F.transform(digits, lambda d, i: F.when((F.size(digits) - i) % 2 == 1, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d))
     total = F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
     return F.concat(number, ((10 - total % 10) % 10).cast("string"))
 
 
-def _octets(draws: Column, entity: Column) -> Column:
-    """Octets of as many digits, from 1 to 223 in the first place and to 255 in the others."""
+def _remainder(iban: Column) -> Column:
+    """An IBAN modulo 97, its first four characters last and letters as 10 to 35."""
+    chars = F.split(F.concat(F.substring(iban, 5, F.lit(40)), F.left(iban, F.lit(4))), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(chars, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _iban(draws: Column, entity: Column) -> Column:
+    """Letters for letters and digits for digits after the check, which is made anew."""
+    body = _alike(draws, F.substring(entity, 5, F.lit(40)))
+    country = F.left(entity, F.lit(2))
+    check = 98 - _remainder(F.concat(country, F.lit("00"), body))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
+def _alike(draws: Column, text: Column) -> Column:
+    """Letters for letters, digits for digits."""
+    letters = {"abcdefghijklmnopqrstuvwxyz": "[a-z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ": "[A-Z]"}
+
+    def one(c: Column, i: Column) -> Column:
+        own = _at(draws, i) + i
+        out = F.when(c.rlike("[0-9]"), (own % 10).cast("string"))
+        for known, pattern in letters.items():
+            out = out.when(c.rlike(pattern), F.substring(F.lit(known), (own % 26 + 1).cast("int"), F.lit(1)))
+        return out.otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _hex(draws: Column, entity: Column) -> Column:
+    """Hexadecimal digits for such, none of them 0."""
+    known = F.lit("123456789abcdef")
+    return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(known, ((_at(draws, i) + i) % 15 + 1).cast("int"), F.lit(1)))), "")
+
+
+def _octets(draws: Column, entity: Column, turn: Column) -> Column:
+    """Octets of as many digits, from 1 to 223 in the first place and to 255 in the others; of any number from round ``WIDER`` on."""
 
     def one(o: Column, i: Column) -> Column:
-        own, n = _at(draws, i), F.length(o)
+        own, n = _at(draws, i), F.when(turn < WIDER, F.length(o)).otherwise(0)
         top = F.when(i == 0, F.lit(223)).otherwise(F.lit(255))
-        return F.when(n == 1, own % 9 + 1).when(n == 2, own % 90 + 10).otherwise(own % (top - 99) + 100).cast("string")
+        return F.when(n == 0, own % top + 1).when(n == 1, own % 9 + 1).when(n == 2, own % 90 + 10).otherwise(own % (top - 99) + 100).cast("string")
 
     return F.array_join(F.transform(F.split(entity, r"\."), one), ".")
 
 
-def _mail(draws: Column, entity: Column) -> Column:
-    """Letters for letters and digits for digits up to the last label, which stays."""
-    head = F.regexp_extract(entity, r"^(.*)\.[a-z]+$", 1)
-    last = F.regexp_extract(entity, r"(\.[a-z]+)$", 1)
+def _more(draws: Column, turn: Column) -> Column:
+    """Letters that a word gains from round ``WIDER`` on."""
+    more = F.sequence(F.lit(1), F.greatest(turn - WIDER + 1, F.lit(1)))
+    return F.when(turn < WIDER, "").otherwise(F.array_join(F.transform(more, lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (_at(draws, i + 30) % 26 + 1).cast("int"), F.lit(1))), ""))
+
+
+def _mailbox(draws: Column, entity: Column, turn: Column) -> Column:
+    """What stands before the sign, beside the entity's own domain, within which it is to be distinct."""
+    return F.concat(_alike(draws, F.split_part(entity, F.lit("@"), F.lit(1))), _more(draws, turn), F.lit("@"), F.split_part(entity, F.lit("@"), F.lit(2)))
 
-    def one(c: Column, i: Column) -> Column:
-        own = _at(draws, i) + i
-        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (own % 26 + 1).cast("int"), F.lit(1))
-        return F.when(c.rlike("[a-z]"), letter).when(c.rlike("[0-9]"), (own % 10).cast("string")).otherwise(c)
 
-    return F.concat(F.array_join(F.transform(F.split(head, ""), one), ""), last)
+def _domain(draws: Column, entity: Column, turn: Column) -> Column:
+    """The last label stays."""
+    head, last = F.regexp_extract(entity, r"^(.*)(\.[a-z]+)$", 1), F.regexp_extract(entity, r"^(.*)(\.[a-z]+)$", 2)
+    return F.concat(_alike(draws, head), _more(draws, turn), last)
 
 
 def _name(draws: Column, gender: Column, script: Column, turn: Column) -> Column:
@@ -174,12 +248,13 @@ def _name(draws: Column, gender: Column, script: Column, turn: Column) -> Column
 
 def candidate(key: str, kind: Column, entity: Column, gender: Column, script: Column, turn: Column) -> Column:
     """The surrogate's normal form that an entity draws in a round."""
-    return _once(_draws(key, kind, F.concat_ws("\u001f", entity, gender), turn), lambda draws: _drawn(draws, kind, entity, gender, script, turn))
+    return _once(_draws(key, kind, entity, turn), lambda draws: _drawn(draws, kind, entity, gender, script, turn))
 
 
 def _drawn(draws: Column, kind: Column, entity: Column, gender: Column, script: Column, turn: Column) -> Column:
-    out = F.when(kind == "email", _mail(draws, entity)).when(kind == "card", _luhn(F.left(_digits(draws, entity, 1), F.lit(15))))
-    out = out.when(kind == "ip", _octets(draws, entity)).when(kind == "name", _name(draws, gender, script, turn))
+    out = F.when(kind == "mailbox", _mailbox(draws, entity, turn)).when(kind == "domain", _domain(draws, entity, turn))
+    out = out.when(kind == "card", _luhn(F.left(_digits(draws, entity, 1), F.length(entity) - 1))).when(kind == "iban", _iban(draws, entity))
+    out = out.when(kind == "ip", _octets(draws, entity, turn)).when(kind == "ip6", _hex(draws, entity)).when(kind == "name", _name(draws, gender, script, turn))
     return out.otherwise(_digits(draws, entity))
 
 
@@ -205,50 +280,74 @@ def surrogates(entities: DataFrame, *, key: str, most_rounds: int = 40) -> DataF
         left = written(left.join(given, ["kind", "gender", "entity"], "left_anti"), "entities")
         if left.isEmpty():
             return given
-    # what is left after so many rounds, in a full space: the entity's whole digest, which no other has
-    rest = left.select("kind", "gender", "entity", F.sha2(F.concat_ws("\u001f", F.lit(key), "kind", "gender", "entity"), 256).alias("surrogate"))
-    return given.union(rest) if given is not None else spark.createDataFrame([], "kind string, gender string, entity string, surrogate string")
+    raise ValueError(f"no distinct surrogates left after {most_rounds} rounds for the types {sorted(r.kind for r in left.select('kind').distinct().collect())}")
 
 
 def rendered(kind: Column, word: Column, surrogate: Column) -> Column:
-    """A surrogate in the format of the mention it stands for."""
+    """A surrogate in the format of the word it stands for."""
     chars = F.split(word, "")
     n = F.length(F.regexp_replace(word, r"\D", ""))
-    # numbers: the surrogate's digits into the mention's places, counted from the right; what is beyond stays (country codes)
+    # numbers: the surrogate's digits into the word's places, counted from the right; what is beyond stays (country codes)
     place = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), r"\D", "")) - n + F.length(surrogate))
     digits = F.array_join(F.zip_with(chars, place, lambda c, p: F.when(c.rlike(r"\d") & (p > 0), F.substring(surrogate, p, F.lit(1))).otherwise(c)), "")
-    # words: the mention's capitals
-    cased = F.array_join(F.zip_with(F.split(surrogate, ""), chars, lambda s, c: F.when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(F.coalesce(s, F.lit("")))), "")
-    odd = F.length(surrogate) == 64
-    return F.when(odd | (kind == "ip"), surrogate).when(kind == "email", cased).when(kind == "name", F.initcap(surrogate)).otherwise(digits)
+    # words: the word's capitals
+    own = F.when(kind == "mailbox", F.split_part(surrogate, F.lit("@"), F.lit(1))).otherwise(surrogate)
+    cased = F.array_join(F.zip_with(F.split(own, ""), chars, lambda s, c: F.when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(F.coalesce(s, F.lit("")))), "")
+    # an IBAN: its characters with the word's spaces
+    at = F.transform(chars, lambda c, i: F.length(F.replace(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), F.lit(" "), F.lit(""))))
+    spaced = F.array_join(F.zip_with(chars, at, lambda c, p: F.when(c == " ", c).otherwise(F.substring(surrogate, p, F.lit(1)))), "")
+    return F.when(kind == "ip", surrogate).when(kind.isin("mailbox", "domain", "ip6"), cased).when(kind == "name", F.initcap(surrogate)).when(kind == "iban", spaced).otherwise(digits)
 
 
-def pseudonymized(docs: DataFrame, *, text_col: str = "text", key: str = "crossgrain", counts_col: str | None = None) -> DataFrame:
+def genders(words: DataFrame) -> DataFrame:
+    """(entity, gender) of name words: the one gender of the forms of address that they follow as first names."""
+    sure = F.when(F.col("given") & F.col("gender").isin("m", "f"), F.col("gender"))
+    return words.where("kind = 'name'").groupBy("entity").agg(F.when(F.min(sure) == F.max(sure), F.min(sure)).otherwise("n").alias("gender"))
+
+
+def found_in(text: Column) -> Column:
+    """(pattern, mentions): what ``ANY`` finds, and a pattern with the names of two words among it, null if there are none."""
+    said = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    titled = rf"^(?:{_TITLES})\.? {_WORD} {_WORD}$"
+
+    def repeated(mentions: Column) -> Column:
+        full = F.array_distinct(F.transform(F.filter(mentions, lambda m: m.rlike(titled)), lambda m: F.regexp_replace(m, r"^[^ ]+ ", "")))
+        pattern = F.when(F.size(full) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{N}])")))
+        return F.struct(pattern.alias("pattern"), mentions.alias("mentions"))
+
+    return _once(said, repeated)
+
+
+def pseudonymized(docs: DataFrame, *, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced; ``counts_col`` adds the number of mentions."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("mentions", F.coalesce(found, F.array().cast("array<string>")))
-    # a text's digest is worked out only where it is used: where there are mentions
-    hit = rows.where(F.size("mentions") > 0).withColumn("digest", F.sha2(F.encode("text", "utf-8"), 256))
-    mentions = written(hit.groupBy("digest").agg(F.first("mentions").alias("mentions")), "mentions")
-    said = mentions.select("digest", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
-    said = said.withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("mention"))).otherwise(""))
-    words = said.select("digest", "at", "kind", "gender", "mention", F.posexplode(words_of(F.col("kind"), F.col("mention"))).alias("part", "word"))
-    words = words.withColumn("entity", normal_form(F.col("kind"), F.col("word")))
-    table = surrogates(words.select("kind", "gender", "entity").distinct(), key=key)
-    new = words.join(table, ["kind", "gender", "entity"]).withColumn("new", rendered(F.col("kind"), F.col("word"), F.col("surrogate")))
+    found = docs.select(as_row(docs), named(text_col).alias("text")).withColumn("found", found_in(F.col("text")))
+    own = F.coalesce("found.pattern", F.lit(ANY))
+    again = F.when(F.col("found.pattern").isNotNull(), F.regexp_extract_all("text", "found.pattern", F.lit(0))).otherwise(F.col("found.mentions"))
+    rows = found.select("row", "text", F.coalesce(again, F.array().cast("array<string>")).alias("mentions"), own.alias("pattern"))
+    rows = rows.withColumn("digest", F.when(F.size("mentions") > 0, F.sha2(F.encode("text", "utf-8"), 256)))
+    gaps = F.when(F.col("digest").isNotNull(), F.split("text", F.col("pattern")))
+    rows = written(rows.select("row", F.size("mentions").alias("n"), F.when(F.col("digest").isNotNull(), F.col("mentions")).alias("mentions"), gaps.alias("gaps"), "digest"), "mentions")
+    hit = rows.where("digest is not null")
+    said = hit.groupBy("digest").agg(F.first("mentions").alias("mentions")).select("digest", F.posexplode("mentions").alias("at", "mention"))
+    said = said.withColumn("kind", kind_of(F.col("mention"))).withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("mention"))))
+    words = said.where("kind is not null").select("digest", "at", "gender", "mention", F.posexplode(words_of(F.col("kind"), F.col("mention"))).alias("part", "w"))
+    words = written(words.select("digest", "at", "part", "mention", "gender", "w.*"), "words")
+    named_as = genders(words)
+    entities = words.select("kind", "entity").distinct().join(named_as, "entity", "left").select("kind", F.when(F.col("kind") == "name", F.col("gender")).otherwise("").alias("gender"), "entity")
+    table = surrogates(entities, key=key).select("kind", "entity", "surrogate")
+    new = spread_join(words, table, ["kind", "entity"]).withColumn("new", rendered(F.col("kind"), F.col("word"), F.col("surrogate")))
     new = new.groupBy("digest", "at").agg(F.first("mention").alias("mention"), F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("part", "new"))).alias("parts"))
-    joined = F.array_join(F.col("parts.new"), " ")
-    whole = F.when(F.col("kind") == "name", F.concat(F.regexp_extract("mention", r"^([^ ]+ )", 1), joined)).otherwise(joined)
-    new = new.select("digest", "at", whole.alias("new")).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new"))
-    new = written(new.select("digest", F.col("new.new").alias("new")), "replacements")
-    gaps = F.split("text", ANY)
-    pieces = F.zip_with(gaps, F.col("new"), lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
-    done = hit.join(new, "digest").select("row", F.array_join(pieces, "").alias("text"), F.size("mentions").alias("n"))
-    same = rows.where(F.size("mentions") == 0).select("row", "text", F.lit(0).alias("n"))
+    joined = F.when(F.col("kind").isin("mailbox", "domain"), F.array_join("parts.new", "@")).otherwise(F.array_join("parts.new", " "))
+    whole = F.when((F.col("kind") == "name") & _titled(F.col("mention")), F.concat(F.regexp_extract("mention", r"^([^ ]+ )", 1), joined)).otherwise(joined)
+    new = new.select("digest", "at", whole.alias("new")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"))
+    new = written(new, "replacements")
+    done = spread_join(hit.select("row", "n", "mentions", "gaps", "digest"), hit.select("digest").distinct().join(new, "digest", "left"), ["digest"])
+    said_at = F.transform("mentions", lambda m, i: F.coalesce(F.try_element_at("new", i), m))
+    pieces = F.zip_with("gaps", said_at, lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+    done = done.select("row", F.array_join(pieces, "").alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("n"))
+    same = rows.where("digest is null").select("row", F.col("row").getField(text_col).alias("text"), F.lit(0).alias("n"))
     cell = lambda c: F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
-    return done.union(same).select(*map(cell, columns), *([F.col("n").cast("long").alias(counts_col)] if counts_col else []))
+    return done.union(same).select(*map(cell, docs.columns), *([F.greatest("n", F.lit(0)).cast("long").alias(counts_col)] if counts_col else []))
 
 
 def entities_left(text: Column) -> Column:
@@ -256,7 +355,12 @@ def entities_left(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in PATTERNS.values()])
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The session's ``spark.crossgrain.surrogate.key``; where it has none, one drawn for this run alone, whose surrogates nobody can trace."""
+    return spark.conf.get("spark.crossgrain.surrogate.key", None) or secrets.token_hex(32)
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, text with surrogates, n_entities."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymized(docs, counts_col="n_entities")
+    return pseudonymized(docs, key=secret_key(spark), counts_col="n_entities")
