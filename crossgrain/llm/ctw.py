@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, remainder_is, spread, written
+from crossgrain.llm.common import keyed, read_table, remainder_is, spread, written
 
 START, END_OF_TEXT = 0xFE, 0xFF
 #: The end token, which is no word: words hold no line feed.
@@ -370,8 +370,8 @@ def scores(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
         cols = [left.column("doc_id"), left.column("learn"), *(pa.array(sizes[:, i]) for i in range(3)), pa.array(np.full(n, total, np.int64)), pa.array(base, pa.float64()), pa.array(score)]
         return pa.table(cols, names=["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kind = rows.schema["doc_id"].dataType
+    schema = keyed("doc_id", kind, "learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 

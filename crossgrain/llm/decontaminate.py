@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, written
+from crossgrain.llm.common import as_row, keyed, named, read_table, unpacked, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -217,8 +217,8 @@ def summary(found: DataFrame) -> DataFrame:
             ]
             yield pa.record_batch(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    kind = found.schema["doc_id"].dataType
+    return found.mapInArrow(run, keyed("doc_id", kind, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, most: int = 0, **options) -> DataFrame:
@@ -227,10 +227,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, most: int = 0, **option
     ``options`` are those of ``contamination``.
     """
     text_col = options.pop("text_col", "text")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = contamination(keyed, items, id_col="row", text_col="text", **options)
+    rows = docs.select(as_row(docs), named(text_col).alias("text"))
+    found = contamination(rows, items, id_col="row", text_col="text", **options)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return found.where(hit <= most).select("doc_id.*")
+    return unpacked(found.where(hit <= most).withColumnRenamed("doc_id", "row"), docs)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

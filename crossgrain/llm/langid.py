@@ -27,9 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, remainder_is
+from crossgrain.llm.common import keyed, read_table, remainder_is
 
 UNKNOWN = "und"
+#: Prototypes' dimension, and the likeness that unrelated vectors of it seldom pass: three standard deviations of chance.
+DIM = 1024
+NOISE = 3 / DIM**0.5
+#: A text of fewer distinct n-grams may be in a learned language and yet be no liker to it than chance.
+FEW_GRAMS = 20
 #: Texts are folded to letter codes in blocks of about this many characters.
 BLOCK_CHARS = 1 << 20
 #: n-grams whose vectors are held ready in a task.
@@ -150,7 +155,7 @@ def gram_counts(docs: DataFrame, *, size: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, size: int = 3, seed: int = 11, most_languages: int = 2000) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, size: int = 3, seed: int = 11, most_languages: int = 2000) -> dict[str, np.ndarray]:
     """The unit prototype of every language of the labelled rows."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
@@ -174,7 +179,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str | Column = "doc_id", text_col: str = "text", size: int = 3, seed: int = 11) -> DataFrame:
-    """(doc_id, lang_pred, score, margin): the nearest prototype, its cosine (0 if negative) and the lead over the second."""
+    """(doc_id, lang_pred, score, margin, grams): the nearest prototype, its cosine (0 if negative), the lead over the second, and the text's distinct n-grams."""
     names = sorted(prototypes)
     dim = len(prototypes[names[0]]) if names else 1
     sent = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, dim))
@@ -187,19 +192,24 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str
             for text in batch.column(1).to_pylist():
                 grams, counts = table.letters.counts(text or "")
                 if not len(grams) or not names:
-                    found.append((UNKNOWN, 0.0, 0.0))
+                    found.append((UNKNOWN, 0.0, 0.0, len(grams)))
                     continue
                 profile = table.bundle(grams, counts)
                 cosines = sent @ profile / (np.linalg.norm(profile) or 1.0)
                 best = int(np.argmax(cosines))
                 second = float(np.delete(cosines, best).max(initial=0.0))
                 score = min(1.0, max(0.0, float(cosines[best])))
-                found.append((names[best], score, max(0.0, score - second)))
-            cols = zip(*found) if found else ((), (), ())
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64())))], names=["doc_id", "lang_pred", "score", "margin"])
+                found.append((names[best], score, max(0.0, score - second), len(grams)))
+            cols = zip(*found) if found else ((), (), (), ())
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.int64())))], names=["doc_id", "lang_pred", "score", "margin", "grams"])
 
     rows = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, margin double")
+    return rows.mapInArrow(run, keyed("doc_id", rows.schema[0].dataType, "lang_pred string, score double, margin double, grams long"))
+
+
+def understood() -> Column:
+    """True for a row of ``identify`` that is in a learned language: it has letters, and more than chance in common with one if it has n-grams enough to tell."""
+    return (F.col("lang_pred") != UNKNOWN) & ((F.col("grams") < FEW_GRAMS) | (F.col("score") > NOISE))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, spread
+from crossgrain.llm.common import keyed, read_table, spread
 
 SIZE = 256
 
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([digest_of(Parse(seed).add(x or b"").hashes(size)) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(run, keyed("doc_id", rows.schema[0].dataType, "fingerprint string"))
 
 
 def with_ranges(docs: DataFrame, *, ranges: int) -> DataFrame:

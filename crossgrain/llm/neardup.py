@@ -3,36 +3,51 @@
 Two texts are linked where their sets of ``width``-word shingles have a Jaccard
 likeness of at least ``share``; a group is what links connect.
 
-Equal sets are one class and collapse first. Every class gets ``BANDS`` hashes,
-each of ``ROWS`` min-hashes; classes that share one are candidates. A pair at a
-likeness of exactly 0.8 shares none with probability 5e-6, one at 0.85 with 6e-9.
+Equal sets are one class and collapse first. Candidates come from two searches.
+SimHash fingerprints of the sets that differ in at most ``radius`` bits meet in the
+BK-trees of ``simhash``; they find the closest copies. A pair at 0.8 differs in ten
+bits of 64 on average, which no cut into few bands can find whole, so every class
+also gets ``BANDS`` hashes, each of ``ROWS`` min-hashes, and classes that share one
+are candidates too. A pair at a likeness of exactly 0.8 shares none with
+probability 5e-6, one at 0.85 with 6e-9.
+
 Candidates that hang together form a bundle, and only texts in bundles are
-shuffled, once each: a task counts the shingles that each pair of a bundle has in
-common, so every link is exact. A bundle of many texts is cut into blocks, and each
-two blocks meet in a task of their own, so that no task holds a whole hot group.
+shuffled. In a small bundle a task counts the shingles that each pair has in
+common. A bundle of many texts is not compared pair by pair: the ``LEADERS`` classes
+with the most candidates are compared with all of it, in as many tasks as it has
+blocks. What links join to the largest of their groups is settled, since one link
+is enough to belong to it. The rest look for leaders among themselves as long as
+that settles half of them, and what is then left, alone, is compared block by block
+with the whole bundle. So every link is exact, none is lost, and a hot group of
+copies costs a few linear passes.
 
 Defined cases: a null, empty or white text has the empty set, and these form one
 group; a text of fewer than ``width`` words is one shingle; equal rows stay
-separate rows of one group; a null id is kept and counts as the largest.
+separate rows of one group; a null id is kept and counts as the largest; rows may
+share an id, extra columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from crossgrain.llm.common import spread, written
-from crossgrain.llm.simhash import connected
+from crossgrain.llm.common import as_row, named, spread, unpacked, written
+from crossgrain.llm.simhash import connected, local_links, majority
 
 BANDS, ROWS = 40, 6
+#: Classes that a large bundle is compared with in one pass.
+LEADERS = 8
 #: Texts and bytes of a block of a bundle.
 BLOCK_TEXTS, BLOCK_BYTES = 2_000, 8 << 20
 _FACTORS = np.random.default_rng(83).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,32 +73,41 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, place, key, bands, data): ``key`` names the set, ``place`` the row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("data"))
+    """(row, doc_id, place, key, fp, bands, text): ``key`` names the set, ``place`` the row, whose columns are all in ``row``."""
+    rows = docs.select(as_row(docs), named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, found = [], []
-            for data in batch.column(1).to_pylist():
-                own = shingles(data, width)
+            keys, fps, found = [], [], []
+            for text in batch.column(2).to_pylist():
+                own = shingles((text or "").encode(), width)
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                fps.append(majority(own.astype(">u8").view(np.uint8)))
                 found.append(bands(own))
             n = len(keys)
             lists = pa.ListArray.from_arrays(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32), np.concatenate([np.empty(0, np.int64), *found]))
-            yield pa.record_batch([batch.column(0), pa.array(np.arange(place, place + n)), pa.array(np.array(keys, np.uint64).view(np.int64)), lists, batch.column(1)], names=["doc_id", "place", "key", "bands", "data"])
+            cols = [pa.array(np.arange(place, place + n)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64)), lists]
+            yield pa.record_batch([*batch.columns[:2], *cols, batch.column(2)], names=["row", "doc_id", "place", "key", "fp", "bands", "text"])
             place += n
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, place long, key long, bands array<long>, data binary")
+    schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL("place long, key long, fp long, bands array<long>").fields, rows.schema["text"]])
+    return rows.mapInArrow(run, schema)
 
 
-def bundles(classes: DataFrame) -> DataFrame:
-    """(key, bundle) of the classes (key, bands) that have a candidate."""
+def bundles(classes: DataFrame, *, radius: int = 4) -> DataFrame:
+    """(key, bundle, degree) of the classes (key, fp, bands) that have a candidate; ``degree`` counts them, once for each band."""
     dealt = classes.select("key", F.explode("bands").alias("band"))
-    least = dealt.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low")
-    roots = written(connected(dealt.join(least, "band").select("key", "low").where("key <> low").distinct(), "key", "low"), "bundles")
-    return roots.select(F.col("node").alias("key"), F.col("root").alias("bundle")).union(roots.select("root", "root").distinct())
+    shared = written(dealt.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    edges = written(dealt.join(shared, "band"), "edges")
+    same = classes.groupBy("fp").agg(F.min("key").alias("low"))
+    near = local_links(same.select("fp"), radius=radius).join(same, "fp").select("root", F.col("low").alias("key"))
+    near = near.join(same.withColumnRenamed("fp", "root"), "root").select("key", "low")
+    equal = classes.join(same, "fp").select("key", "low")
+    roots = written(connected(edges.select("key", "low").union(near).union(equal).where("key <> low").distinct(), "key", "low"), "bundles")
+    whole = roots.select(F.col("node").alias("key"), F.col("root").alias("bundle")).union(roots.select("root", "root").distinct())
+    degrees = edges.groupBy("key").agg(F.sum("n").alias("degree"))
+    return whole.join(degrees, "key", "left").select("key", "bundle", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def likely(sets: list[np.ndarray], block: list[bool], apart: bool, share: float) -> Iterator[tuple[int, int]]:
@@ -118,35 +142,102 @@ def likely(sets: list[np.ndarray], block: list[bool], apart: bool, share: float)
                 group[group == group[x]] = group[y]
 
 
-def links(found: DataFrame, members: DataFrame, *, share: float, width: int, block_texts: int) -> DataFrame:
-    """(key, other) of verified links; ``members`` (key, place, bundle, bytes) are the candidates among the rows ``found``."""
-    sizes = members.groupBy("bundle").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "bundle").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    cells = placed.join(found.select("place", "data"), "place").select("bundle", "own", "key", "data", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("bundle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "data")
-    cells = cells.repartition(spread(found.sparkSession), "bundle", "low", "high").sortWithinPartitions("bundle", "low", "high")
+def _cells(rows: DataFrame, *, share: float, width: int) -> DataFrame:
+    """(key, other) of the links in each cell of ``rows(bundle, low, high, asks, key, text)``; where a cell has rows that ask, those with the others, else all."""
+    rows = rows.repartition(spread(rows.sparkSession), "bundle", "low", "high").sortWithinPartitions("bundle", "low", "high")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for (_, low, high), cell in groupby(rows, key=lambda r: r[:3]):
-            keys, own, sets = [], [], []
+        found = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, cell in groupby(found, key=lambda r: r[:3]):
+            keys, asks, sets = [], [], []
             for r in cell:
-                own.append(r[3] == low)
+                asks.append(r[3])
                 keys.append(r[4])
-                sets.append(shingles(r[5], width))
-            if out := [(keys[x], keys[y]) for x, y in likely(sets, own, low != high, share)]:
+                sets.append(shingles((r[5] or "").encode(), width))
+            if out := [(keys[x], keys[y]) for x, y in likely(sets, asks, any(asks), share)]:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "other"])
+
+    return rows.select("bundle", "low", "high", "asks", "key", "text").mapInArrow(run, "key long, other long")
+
+
+def _led(rows: DataFrame, *, share: float, width: int) -> DataFrame:
+    """(key, other): links of rows that do not lead to those that do, of ``rows(bundle, salt, leads, key, text)``; a salt's leaders come first."""
+    exact = Fraction(str(share))
+    over, under = exact.numerator, exact.denominator
+    rows = rows.repartition(spread(rows.sparkSession), "bundle", "salt").sortWithinPartitions("bundle", "salt", F.desc("leads"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders = None, []
+        for batch in batches:
+            out = []
+            for bundle, salt, leads, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bundle, salt) != now:
+                    now, leaders = (bundle, salt), []
+                own = shingles((text or "").encode(), width)
+                if leads:
+                    leaders.append((key, own))
+                    continue
+                for other, known in leaders:
+                    common = len(np.intersect1d(own, known, assume_unique=True))
+                    if other != key and common * under >= over * (len(own) + len(known) - common):
+                        out.append((key, other))
+            if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "other"])
 
-    return cells.mapInArrow(run, "key long, other long")
+    return rows.select("bundle", "salt", "leads", "key", "text").mapInArrow(run, "key long, other long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, width: int = 5, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """One row per document: (doc_id, key, component_id), the smallest id reachable over links."""
+def links(found: DataFrame, members: DataFrame, *, share: float, width: int, block_texts: int) -> DataFrame:
+    """(key, other) of verified links; ``members`` (key, place, bundle, bytes, degree) are the candidates among the rows ``found``."""
+    texts = found.select("place", "text")
+    sizes = members.groupBy("bundle").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = written(members.join(sizes, "bundle").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(texts, "place"), "members")
+    nought = F.lit(0)
+    small = _cells(placed.where("blocks = 1").select("bundle", nought.alias("low"), nought.alias("high"), F.lit(False).alias("asks"), "key", "text"), share=share, width=width)
+    large = placed.where("blocks > 1")
+    left = large.select("bundle", "key", "degree", "bytes", "blocks")
+    waiting = left.count()
+    all_links = [written(small, "links")]
+    while waiting:
+        turn = F.row_number().over(Window.partitionBy("bundle").orderBy(F.desc("degree"), "key"))
+        chosen = left.withColumn("_n", turn).where(F.col("_n") <= LEADERS).select("key")
+        leads = large.join(chosen, "key", "left_semi").select("bundle", F.explode(F.sequence(nought, F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("leads"), "key", "text")
+        all_links.append(written(_led(leads.union(large.select("bundle", F.col("block").alias("salt"), F.lit(False).alias("leads"), "key", "text")), share=share, width=width), "links"))
+        roots = connected(reduce(DataFrame.union, all_links), "key", "other")
+        rooted = large.select("bundle", "key", "degree", "bytes", "blocks").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        main = rooted.groupBy("bundle", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("bundle").agg(F.max_by("root", F.struct("_n", "root")).alias("main"))
+        left = written(rooted.join(main, "bundle").where("root <> main").drop("root", "main"), "left")
+        before, waiting = waiting, left.count()
+        if 2 * waiting > before or waiting <= block_texts:
+            break
+    if waiting:
+        asking = left.groupBy("bundle").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("askers"))
+        ask = large.join(left.select("key"), "key", "left_semi").join(asking, "bundle")
+        ask = ask.select("bundle", F.pmod(F.xxhash64("key", F.lit(1)), "askers").cast("int").alias("low"), F.explode(F.sequence(nought, F.col("blocks") - 1)).alias("high"), F.lit(True).alias("asks"), "key", "text")
+        told = large.join(asking, "bundle").select("bundle", F.explode(F.sequence(nought, F.col("askers") - 1)).alias("low"), F.col("block").alias("high"), F.lit(False).alias("asks"), "key", "text")
+        all_links.append(written(_cells(ask.union(told), share=share, width=width), "links"))
+    return reduce(DataFrame.union, all_links)
+
+
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, width: int = 5, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """One row per document: (row, doc_id, key, component_id, first): ``first`` for one row of each group, that of the smallest id."""
     found = written(prints(docs, id_col=id_col, text_col=text_col, width=width), "prints")
-    classes = written(found.groupBy("key", "bands").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.min(F.length("data")).alias("bytes")), "classes")
-    members = classes.select("key", "place", "bytes").join(bundles(classes), "key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    classes = written(found.groupBy("key", "fp", "bands").agg(least.alias("least"), F.min("place").alias("place"), F.min(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")), "classes")
+    members = classes.select("key", "place", "bytes").join(bundles(classes.select("key", "fp", "bands")), "key")
     roots = connected(links(found, members, share=share, width=width, block_texts=block_texts), "key", "other")
-    named = classes.join(roots, classes.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(named.join(least, "root").select("key", "component_id"), "named")
-    return found.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")
+    rooted = classes.join(roots, classes.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    heads = written(rooted.join(heads, "root").select("key", "head"), "heads")
+    same = F.col("place") == F.col("head.place")
+    return found.select("row", "doc_id", "place", "key").join(heads, "key").select("row", "doc_id", "key", F.col("head.doc_id").alias("component_id"), same.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: (doc_id, key, component_id), the smallest id reachable over links; ``options`` are those of ``grouped``."""
+    return grouped(docs, **options).select("doc_id", "key", "component_id")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """One whole row of each group, with all columns of ``docs``; ``options`` are those of ``grouped``."""
+    return unpacked(grouped(docs, **options).where("first"), docs)

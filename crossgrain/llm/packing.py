@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, written
+from crossgrain.llm.common import keyed, read_table, written
 
 SIZE = 2048
 END = 1
@@ -277,8 +277,8 @@ def tokenized(docs: DataFrame, *, id_col: str | Column = "doc_id", text_col: str
                 cols = [pa.array([r[i] for r in rest], pa.int64()) for i in range(6)]
                 yield pa.record_batch([own.column(0), pa.array(ids, pa.binary()), *cols], names=["doc_id", "ids", "n", "part", "cls", "k", "full", "k_full"])
 
-    kind = rows.schema[0].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"doc_id {kind}, ids binary, n long, part long, cls long, k long, full long, k_full long"), "tokens")
+    kind = rows.schema[0].dataType
+    return written(rows.mapInArrow(run, keyed("doc_id", kind, "ids binary, n long, part long, cls long, k long, full long, k_full long")), "tokens")
 
 
 def pack(docs: DataFrame, *, id_col: str | Column = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SIZE, end: int = END, slack: float = 0.002) -> DataFrame:
@@ -316,8 +316,8 @@ def pack(docs: DataFrame, *, id_col: str | Column = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)))
                 yield pa.record_batch([own.column(0).take(pa.array(place, pa.int64())), *cols[:2], lists, *cols[2:]], names=names)
 
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
+    kind = rows.schema[0].dataType
+    return rows.mapInArrow(run, keyed("doc_id", kind, "start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,5 +331,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in pairwise(ends.tolist())]
             yield pa.record_batch([*batch.columns[:3], pa.array(sums, pa.int64()), *batch.columns[4:]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kind = pieces.schema[0].dataType.simpleString()
-    return pieces.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    kind = pieces.schema[0].dataType
+    return pieces.mapInArrow(run, keyed("doc_id", kind, "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

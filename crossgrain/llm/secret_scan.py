@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, written
+from crossgrain.llm.common import keyed, read_table, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -224,8 +224,8 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    kind = docs.select(id_col).schema[0].dataType
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, keyed("doc_id", kind, "spans array<struct<kind:string,start:long,end:long>>"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,5 +242,5 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             base = pa.array([hashlib.sha256(said(s for s in r if s["kind"] != "random").encode()).hexdigest() for r in rows], pa.string())
             yield pa.record_batch([batch.column(0), *counts[:3], base, pa.array([said(r) for r in rows], pa.string()), counts[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    kind = found.schema["doc_id"].dataType
+    return found.mapInArrow(run, keyed("doc_id", kind, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"))

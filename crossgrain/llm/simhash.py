@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, spread, written
+from crossgrain.llm.common import keyed, read_table, spread, written
 
 #: Shards of more members than this are searched with vectors, smaller ones node by node.
 VECTOR_FROM = 160
@@ -45,8 +45,16 @@ def simhash(data: bytes, width: int = 4, seed: int = 42) -> bytes:
     width = min(width, len(words))
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(line[a : b - 1], seed) for a, b in zip(ends, ends[width:])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).tobytes()
+    return majority(np.frombuffer(hashes, np.uint8))
+
+
+def majority(hashes: np.ndarray, rows: int = 1 << 16) -> bytes:
+    """The bits set in over half the 8-byte hashes, which are unpacked ``rows`` at a time."""
+    n = len(hashes) // 8
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, rows):
+        ones += np.unpackbits(hashes[at * 8 : (at + rows) * 8]).reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -58,8 +66,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             out = b"".join(simhash(x, width, seed) for x in batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    kind = docs.select(id_col).schema[0].dataType
+    return rows.mapInArrow(run, keyed("doc_id", kind, "fp long"))
 
 
 class BKTree:

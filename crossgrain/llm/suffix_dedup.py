@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table, spread, written
+from crossgrain.llm.common import keyed, read_table, spread, written
 from crossgrain.llm.induced import common_prefix, suffix_array
 from crossgrain.llm.stretches import stretches
 
@@ -189,8 +189,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     if distinct:
         return docs.withColumn("doc", F.col("doc_id").cast("long")), False
     ordered = docs.distinct().orderBy(F.col("doc_id").asc_nulls_first(), "data").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.sparkSession.createDataFrame(ordered, f"doc_id {kind}, data binary, doc long"), "numbered"), True
+    kind = docs.schema["doc_id"].dataType
+    return written(docs.sparkSession.createDataFrame(ordered, keyed("doc_id", kind, "data binary, doc long")), "numbered"), True
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard: int = SHARD) -> DataFrame:
@@ -218,8 +218,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 spans.append([{"start": a, "end": b} for a, b in out])
             yield pa.record_batch([*batch.columns[:2], pa.array(spans, kind)], names=["doc_id", "data", "spans"])
 
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
-    out = found.mapInArrow(run, f"doc_id {id_kind}, data binary, spans array<struct<start:long,end:long>>")
+    id_kind = rows.schema["doc_id"].dataType
+    out = found.mapInArrow(run, keyed("doc_id", id_kind, "data binary, spans array<struct<start:long,end:long>>"))
     if renamed:  # equal rows were one document
         again = rows.groupBy("doc_id", "data").count().withColumnRenamed("doc_id", "id")
         out = out.join(again.withColumnRenamed("data", "d"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("data") == F.col("d")))
@@ -244,5 +244,5 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = found.schema["doc_id"].dataType
+    return found.mapInArrow(run, keyed("doc_id", kind, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

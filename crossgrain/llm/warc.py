@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import read_table
+from crossgrain.llm.common import keyed, read_table
 
 #: Namespace of record identifiers.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:crossgrain:warc")
@@ -101,7 +101,7 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
                 rows.append((identifier("response", str(key), url), "response", one_line(url), date, None, None, [], "application/http; msgtype=response", digest(http.encode() + body), digest(body), http + page))
             yield _batch(batch.column(0), rows)
 
-    return rows.mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, {RECORD}")
+    return rows.mapInArrow(run, keyed("key", rows.schema[0].dataType, RECORD))
 
 
 def _batch(key: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
@@ -133,7 +133,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 twice = pa.array([i for i in range(own.num_rows) for _ in range(2)], pa.int64())
                 yield _batch(own.column(0).take(twice), out)
 
-    return rows.mapInArrow(run, f"key {records.schema['key'].dataType.simpleString()}, {RECORD}")
+    return rows.mapInArrow(run, keyed("key", records.schema["key"].dataType, RECORD))
 
 
 def serialized(records: DataFrame) -> DataFrame:
