@@ -11,30 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm import decontaminate, langid, neardup, packing, surrogates
-from crossgrain.llm.common import read_table, written
+from crossgrain.llm.common import as_row, read_table, unpacked, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or nothing in common with any learned profile.
+    """Drops documents without a language: no letters, or no more than chance in common with any learned profile.
 
     Profiles are learned from the labelled rows themselves; a kept row without a label gets the predicted one.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = langid.identify(keyed, langid.learn(docs), id_col="row")
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0))
-    return kept.select("doc_id.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    keyed = docs.select(as_row(docs), "text")
+    found = langid.identify(keyed, langid.learn(docs), id_col="row").withColumnRenamed("doc_id", "row")
+    kept = found.where(langid.understood())
+    return unpacked(kept, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest id; of rows that share an id, one.
+    """Keeps one row of each group of near-duplicates, that of the smallest id; rows are told apart by themselves, not by their ids.
 
-    Near-duplicates are texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more. SimHash fingerprints in
+    BK-trees propose the closest pairs, min-hash bands the others; exact counts decide.
     """
-    groups = neardup.near_duplicates(docs, width=5, share=0.8)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    return neardup.deduplicated(docs, width=5, share=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    return surrogates.pseudonymized(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    hidden = surrogates.pseudonymized(docs, key=surrogates.secret_key(spark))
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
