@@ -73,7 +73,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(row, doc_id, place, key, fp, bands, text): ``key`` names the set, ``place`` the row, whose columns are all in ``row``."""
+    """(row, doc_id, place, key, fp, bands): ``key`` names the set, ``place`` the row, whose columns are all in ``row``."""
     rows = docs.select(as_row(docs), named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,26 +88,23 @@ def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
             n = len(keys)
             lists = pa.ListArray.from_arrays(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32), np.concatenate([np.empty(0, np.int64), *found]))
             cols = [pa.array(np.arange(place, place + n)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64)), lists]
-            yield pa.record_batch([*batch.columns[:2], *cols, batch.column(2)], names=["row", "doc_id", "place", "key", "fp", "bands", "text"])
+            yield pa.record_batch([*batch.columns[:2], *cols], names=["row", "doc_id", "place", "key", "fp", "bands"])
             place += n
 
-    schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL("place long, key long, fp long, bands array<long>").fields, rows.schema["text"]])
+    schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL("place long, key long, fp long, bands array<long>").fields])
     return rows.mapInArrow(run, schema)
 
 
 def bundles(classes: DataFrame, *, radius: int = 4) -> DataFrame:
-    """(key, bundle, degree) of the classes (key, fp, bands) that have a candidate; ``degree`` counts them, once for each band."""
+    """(key, bundle) of the classes (key, fp, bands) that have a candidate."""
     dealt = classes.select("key", F.explode("bands").alias("band"))
-    shared = written(dealt.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    edges = written(dealt.join(shared, "band"), "edges")
+    shared = dealt.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same = classes.groupBy("fp").agg(F.min("key").alias("low"))
     near = local_links(same.select("fp"), radius=radius).join(same, "fp").select("root", F.col("low").alias("key"))
     near = near.join(same.withColumnRenamed("fp", "root"), "root").select("key", "low")
     equal = classes.join(same, "fp").select("key", "low")
-    roots = written(connected(edges.select("key", "low").union(near).union(equal).where("key <> low").distinct(), "key", "low"), "bundles")
-    whole = roots.select(F.col("node").alias("key"), F.col("root").alias("bundle")).union(roots.select("root", "root").distinct())
-    degrees = edges.groupBy("key").agg(F.sum("n").alias("degree"))
-    return whole.join(degrees, "key", "left").select("key", "bundle", F.coalesce("degree", F.lit(0)).alias("degree"))
+    roots = written(connected(dealt.join(shared, "band").select("key", "low").union(near).union(equal).where("key <> low").distinct(), "key", "low"), "bundles")
+    return roots.select(F.col("node").alias("key"), F.col("root").alias("bundle")).union(roots.select("root", "root").distinct())
 
 
 def likely(sets: list[np.ndarray], block: list[bool], apart: bool, share: float) -> Iterator[tuple[int, int]]:
@@ -187,17 +184,26 @@ def _led(rows: DataFrame, *, share: float, width: int) -> DataFrame:
     return rows.select("bundle", "salt", "leads", "key", "text").mapInArrow(run, "key long, other long")
 
 
-def links(found: DataFrame, members: DataFrame, *, share: float, width: int, block_texts: int) -> DataFrame:
-    """(key, other) of verified links; ``members`` (key, place, bundle, bytes, degree) are the candidates among the rows ``found``."""
-    texts = found.select("place", "text")
+def degrees(members: DataFrame) -> DataFrame:
+    """(key, degree) of ``members(bundle, key, bands)``: with how many of its bundle a class shares a band, counted for each band."""
+    dealt = members.select("bundle", "key", F.explode("bands").alias("band"))
+    sizes = dealt.groupBy("bundle", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = dealt.join(sizes, ["bundle", "band"]).groupBy("key").agg(F.sum("n").alias("degree"))
+    return members.select("key").join(found, "key", "left").select("key", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def links(texts: DataFrame, members: DataFrame, *, share: float, width: int, block_texts: int) -> DataFrame:
+    """(key, other) of verified links; ``members`` (key, place, bundle, bytes, bands) are the candidates among ``texts`` (place, text)."""
     sizes = members.groupBy("bundle").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = written(members.join(sizes, "bundle").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(texts, "place"), "members")
+    placed = members.join(sizes, "bundle").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     nought = F.lit(0)
-    small = _cells(placed.where("blocks = 1").select("bundle", nought.alias("low"), nought.alias("high"), F.lit(False).alias("asks"), "key", "text"), share=share, width=width)
+    small = placed.where("blocks = 1").select("bundle", "key", "place").join(texts, "place")
+    all_links = [written(_cells(small.select("bundle", nought.alias("low"), nought.alias("high"), F.lit(False).alias("asks"), "key", "text"), share=share, width=width), "links")]
     large = placed.where("blocks > 1")
-    left = large.select("bundle", "key", "degree", "bytes", "blocks")
+    left = written(large.join(degrees(large), "key").select("bundle", "key", "place", "degree", "bytes", "blocks", "block"), "large")
     waiting = left.count()
-    all_links = [written(small, "links")]
+    if waiting:
+        large = written(left.join(texts, "place"), "members")
     while waiting:
         turn = F.row_number().over(Window.partitionBy("bundle").orderBy(F.desc("degree"), "key"))
         chosen = left.withColumn("_n", turn).where(F.col("_n") <= LEADERS).select("key")
@@ -222,10 +228,11 @@ def links(found: DataFrame, members: DataFrame, *, share: float, width: int, blo
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, width: int = 5, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """One row per document: (row, doc_id, key, component_id, first): ``first`` for one row of each group, that of the smallest id."""
     found = written(prints(docs, id_col=id_col, text_col=text_col, width=width), "prints")
+    text = F.col("row").getField(text_col).cast("string")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
-    classes = written(found.groupBy("key", "fp", "bands").agg(least.alias("least"), F.min("place").alias("place"), F.min(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")), "classes")
-    members = classes.select("key", "place", "bytes").join(bundles(classes.select("key", "fp", "bands")), "key")
-    roots = connected(links(found, members, share=share, width=width, block_texts=block_texts), "key", "other")
+    classes = written(found.groupBy("key", "fp", "bands").agg(least.alias("least"), F.min("place").alias("place"), F.min(F.coalesce(F.octet_length(text), F.lit(0))).alias("bytes")), "classes")
+    members = classes.select("key", "place", "bytes", "bands").join(bundles(classes.select("key", "fp", "bands")), "key")
+    roots = connected(links(found.select("place", text.alias("text")), members, share=share, width=width, block_texts=block_texts), "key", "other")
     rooted = classes.join(roots, classes.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
     heads = written(rooted.join(heads, "root").select("key", "head"), "heads")

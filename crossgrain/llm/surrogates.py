@@ -29,8 +29,8 @@ are left. From round ``WIDER`` on, draws of formats with few members are longer
 Surrogates come from SHA-256 over the key, the type, the entity and the round. The
 key is the caller's secret: who has it can tell which entity a surrogate stands for.
 
-The patterns run over each text once; only texts with an entity are taken apart.
-Mentions are keyed by the text's hash, so copies are worked on once; a text is
+The patterns run over a text to see if it has an entity, and only texts that have
+one are taken apart and written aside. Mentions are keyed by the text's hash, so copies are worked on once; a text is
 joined to its replacements and put together again by position. Texts or entities
 that a large part of the rows share are dealt to many tasks (``spread_join``).
 
@@ -305,29 +305,23 @@ def genders(words: DataFrame) -> DataFrame:
     return words.where("kind = 'name'").groupBy("entity").agg(F.when(F.min(sure) == F.max(sure), F.min(sure)).otherwise("n").alias("gender"))
 
 
-def found_in(text: Column) -> Column:
-    """(pattern, mentions): what ``ANY`` finds, and a pattern with the names of two words among it, null if there are none."""
-    said = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    titled = rf"^(?:{_TITLES})\.? {_WORD} {_WORD}$"
+def holds_any(text: Column) -> Column:
+    return F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
 
-    def repeated(mentions: Column) -> Column:
-        full = F.array_distinct(F.transform(F.filter(mentions, lambda m: m.rlike(titled)), lambda m: F.regexp_replace(m, r"^[^ ]+ ", "")))
-        pattern = F.when(F.size(full) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{N}])")))
-        return F.struct(pattern.alias("pattern"), mentions.alias("mentions"))
 
-    return _once(said, repeated)
+def own_pattern(mentions: Column) -> Column:
+    """``ANY``, and the names of two words that a text says after a form of address."""
+    titled = rf"^(?:{_TITLES})\.? {_WORD} {_WORD}$"
+    full = F.array_distinct(F.transform(F.filter(mentions, lambda m: m.rlike(titled)), lambda m: F.regexp_replace(m, r"^[^ ]+ ", "")))
+    return F.when(F.size(full) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(ANY)
 
 
 def pseudonymized(docs: DataFrame, *, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced; ``counts_col`` adds the number of mentions."""
-    found = docs.select(as_row(docs), named(text_col).alias("text")).withColumn("found", found_in(F.col("text")))
-    own = F.coalesce("found.pattern", F.lit(ANY))
-    again = F.when(F.col("found.pattern").isNotNull(), F.regexp_extract_all("text", "found.pattern", F.lit(0))).otherwise(F.col("found.mentions"))
-    rows = found.select("row", "text", F.coalesce(again, F.array().cast("array<string>")).alias("mentions"), own.alias("pattern"))
-    rows = rows.withColumn("digest", F.when(F.size("mentions") > 0, F.sha2(F.encode("text", "utf-8"), 256)))
-    gaps = F.when(F.col("digest").isNotNull(), F.split("text", F.col("pattern")))
-    rows = written(rows.select("row", F.size("mentions").alias("n"), F.when(F.col("digest").isNotNull(), F.col("mentions")).alias("mentions"), gaps.alias("gaps"), "digest"), "mentions")
-    hit = rows.where("digest is not null")
+    rows = docs.select(as_row(docs), named(text_col).alias("text"))
+    hit = rows.where(holds_any(F.col("text"))).withColumn("pattern", own_pattern(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    hit = hit.select("row", F.regexp_extract_all("text", "pattern", F.lit(0)).alias("mentions"), F.split("text", F.col("pattern")).alias("gaps"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
+    hit = written(hit, "mentions")
     said = hit.groupBy("digest").agg(F.first("mentions").alias("mentions")).select("digest", F.posexplode("mentions").alias("at", "mention"))
     said = said.withColumn("kind", kind_of(F.col("mention"))).withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("mention"))))
     words = said.where("kind is not null").select("digest", "at", "gender", "mention", F.posexplode(words_of(F.col("kind"), F.col("mention"))).alias("part", "w"))
@@ -341,11 +335,11 @@ def pseudonymized(docs: DataFrame, *, key: str, text_col: str = "text", counts_c
     whole = F.when((F.col("kind") == "name") & _titled(F.col("mention")), F.concat(F.regexp_extract("mention", r"^([^ ]+ )", 1), joined)).otherwise(joined)
     new = new.select("digest", "at", whole.alias("new")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"))
     new = written(new, "replacements")
-    done = spread_join(hit.select("row", "n", "mentions", "gaps", "digest"), hit.select("digest").distinct().join(new, "digest", "left"), ["digest"])
+    done = spread_join(hit, hit.select("digest").distinct().join(new, "digest", "left"), ["digest"])
     said_at = F.transform("mentions", lambda m, i: F.coalesce(F.try_element_at("new", i), m))
     pieces = F.zip_with("gaps", said_at, lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
     done = done.select("row", F.array_join(pieces, "").alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("n"))
-    same = rows.where("digest is null").select("row", F.col("row").getField(text_col).alias("text"), F.lit(0).alias("n"))
+    same = rows.where(~holds_any(F.col("text"))).select("row", "text", F.lit(0).alias("n"))
     cell = lambda c: F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
     return done.union(same).select(*map(cell, docs.columns), *([F.greatest("n", F.lit(0)).cast("long").alias(counts_col)] if counts_col else []))
 
