@@ -7,29 +7,31 @@ phrases are hashed and the ``size`` smallest hashes are the fingerprint; the
 share of common hashes among the ``size`` smallest of two texts' union estimates
 the Jaccard similarity of their phrase sets.
 
-Neighbours by id are brought together without one task seeing all rows: ids are
-cut at quantiles into ranges, each range is ordered in its own task, and the
-first rows of every range are also dealt to the range before it.
+Neighbours by id are brought together without one task seeing all rows: ids of any
+kind are cut into ranges, each range is ordered in its own task, and the first row
+of every range is also dealt to the range before it.
 
 Defined cases: null is the empty text, whose fingerprint is empty; two empty
 fingerprints have likeness 1, an empty and another 0; equal texts have equal
-fingerprints; rows that share an id follow one another in the order of their
-texts; a table of one row is its own next document; an empty table gives an
-empty result.
+fingerprints; rows that share an id follow one another by their texts' hashes and
+texts, null ids first; a table of one row is its own next document; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from crossgrain.llm.common import keyed, read_table, spread
+from crossgrain.llm.common import keyed, named, read_table, spread
 
 SIZE = 256
 
@@ -127,43 +129,49 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(run, keyed("doc_id", rows.schema[0].dataType, "fingerprint string"))
 
 
-def with_ranges(docs: DataFrame, *, ranges: int) -> DataFrame:
-    """(doc_id, text, home, guest): rows by ranges of ids, the first id of each range also as a guest of the range before.
+def with_ranges(docs: DataFrame, *, ranges: int, sample: int = 10_000) -> DataFrame:
+    """(doc_id, text, home, guest): rows by ranges of (id, text's hash), the first of each range also as a guest of the range before.
 
-    The first range's first id is a guest of the last. Only one bound for each range comes to the driver.
+    The first range's first is a guest of the last. The cuts are taken from the ``sample`` rows of the smallest hashes, so that
+    ranges are about alike whatever the ids; they and one first for each range are all that comes to the driver.
     """
-    cuts = sorted({x for x in docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [] if x is not None}) if ranges > 1 else []
+    keyed_rows = docs.withColumn("at", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    kind = keyed_rows.schema["at"].dataType
+    spark = docs.sparkSession
     homes = F.lit(0)
-    if cuts:
-        homes = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
-    homed = docs.withColumn("home", F.when(F.col("doc_id").isNull(), 0).otherwise(homes))
-    firsts = sorted((r.home, r.has_null, r.low) for r in homed.groupBy("home").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect())
-    guests = {None if null else low: firsts[i - 1][0] for i, (_, null, low) in enumerate(firsts)}
-    visits = F.when(F.lit(False), F.lit(0))
-    lookup = {low: home for low, home in guests.items() if low is not None}
-    if lookup:
-        visits = F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") if i % 2 == 0 else F.lit(x) for kv in lookup.items() for i, x in enumerate(kv)]), F.col("doc_id").cast("bigint"))
-    if None in guests:
-        visits = F.when(F.col("doc_id").isNull(), F.lit(guests[None])).otherwise(visits)
-    seats = F.array_compact(F.array(F.struct("home", F.lit(False).alias("guest")), F.when(visits.isNotNull(), F.struct(visits.alias("home"), F.lit(True).alias("guest")))))
-    return homed.select("doc_id", "text", F.explode(seats).alias("seat")).select("doc_id", "text", "seat.home", "seat.guest")
-
-
-def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, seed: int = 0, ranges: int | None = None) -> DataFrame:
+    if ranges > 1:
+        drawn = keyed_rows.select("at").distinct().orderBy(F.xxhash64("at"), "at").limit(sample)
+        cut = F.ntile(ranges).over(Window.partitionBy(F.lit(0)).orderBy("at"))
+        cuts = [r.at for r in drawn.withColumn("n", cut).groupBy("n").agg(F.min("at").alias("at")).where("n > 1").collect()]
+        if cuts:
+            bounds = spark.createDataFrame([(cuts,)], StructType([StructField("cuts", ArrayType(kind))]))
+            keyed_rows = keyed_rows.crossJoin(F.broadcast(bounds))  # one row of ``ranges`` bounds
+            homes = F.size(F.filter("cuts", lambda c: c <= F.col("at")))
+    homed = keyed_rows.withColumn("home", homes)
+    firsts = sorted((r.home, r.low) for r in homed.groupBy("home").agg(F.min("at").alias("low")).collect())
+    visits = [(low, firsts[i - 1][0]) for i, (_, low) in enumerate(firsts)]
+    table = spark.createDataFrame([(visits,)], StructType([StructField("visits", ArrayType(StructType([StructField("low", kind), StructField("home", IntegerType())])))]))
+    seats = F.concat(F.array(F.struct("home", F.lit(False).alias("guest"))), F.transform(F.filter("visits", lambda v: v["low"].eqNullSafe(F.col("at"))), lambda v: F.struct(v["home"].alias("home"), F.lit(True).alias("guest"))))
+    return homed.crossJoin(F.broadcast(table)).select("doc_id", "text", "at", F.explode(seats).alias("seat")).select("doc_id", "text", "at", "seat.home", "seat.guest")
+
+
+def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, seed: int = 0, ranges: int | None = None, texts: bool = True) -> DataFrame:
     """Every row with the fingerprint of its text, of its edited text and of the next document's text.
 
-    The edit replaces the last quarter of the code points by as many, or all, of the first of the next document.
+    The edit replaces the last quarter of the code points by as many, or all, of the first of the next document. ``edited``
+    is null without ``texts``; its digest is always there.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     ranges = ranges or spread(docs.sparkSession)
-    seated = with_ranges(rows, ranges=ranges).repartition(ranges, "home").sortWithinPartitions("home", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    seated = with_ranges(rows, ranges=ranges).repartitionById(ranges, F.col("home")).sortWithinPartitions("home", "guest", "at", "text").drop("at")
+    names = ["doc_id", "n_chars", "edited", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple]:
             last = None
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
                     if last is not None and last[2] == row[2] and not last[3]:
                         yield last, row
                     last = row
@@ -174,29 +182,28 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             begun = Parse(seed).add(text[:head].encode())
             return text, begun, begun.copy().add(text[head:].encode()).hashes(size)
 
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            ids, *cols = zip(*rows)
+            return pa.record_batch([pa.array([x.as_py() for x in ids], ids[0].type), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=names)
+
         now: tuple[str, Parse, np.ndarray] | None = None  # the next document, if just parsed
         out = []
         for (doc_id, text, _, _), (_, following, _, _) in pairs():
             _, begun, own = now if now and now[0] == text else parsed(text)
             now = parsed(following)
             tail = len(text) // 4
+            edited = text[: len(text) - tail] + following[:tail]
             changed = begun.add(following[:tail].encode()).hashes(size)
-            out.append((doc_id, len(text), text[: len(text) - tail] + following[:tail], digest_of(own), digest_of(changed), likeness(own, changed, size), likeness(own, now[2], size)))
+            out.append((doc_id, len(text), edited if texts else None, hashlib.sha256(edited.encode()).hexdigest(), digest_of(own), digest_of(changed), likeness(own, changed, size), likeness(own, now[2], size)))
             if len(out) == 500:
-                yield _rows(out, names)
+                yield given(out)
                 out = []
         if out:
-            yield _rows(out, names)
-
-    return seated.mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
+            yield given(out)
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    return seated.mapInArrow(run, keyed("doc_id", rows.schema["doc_id"].dataType, "n_chars long, edited string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
 
 
 def op9_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    found = edited_pairs(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return edited_pairs(read_table(spark, sf_dir, "documents"), texts=False).drop("edited")
