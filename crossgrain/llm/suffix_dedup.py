@@ -17,9 +17,10 @@ the input.
 4. Covered ranges go back to their texts.
 
 Defined cases: null is the empty text, which like any text of fewer bytes than
-``length`` loses nothing. Ids are to be distinct; where they are not, or are null,
-rows are ordered by id (null first) and text, and equal rows are one document
-whose result each of them gets. An empty table gives an empty result.
+``length`` loses nothing. Ids may be of any kind that has an order. They are to be
+distinct; where they are not, or are null, rows are ordered by id (null first) and
+the SHA-256 of their texts, and equal rows are one document whose result each of
+them gets. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from crossgrain.llm.common import keyed, read_table, spread, written
+from crossgrain.llm.common import keyed, named, read_table, spread, written
 from crossgrain.llm.induced import common_prefix, suffix_array
 from crossgrain.llm.stretches import stretches
 
@@ -183,21 +185,37 @@ def _sorted(stretches_: DataFrame, length: int, shard: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, start long, end long")
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs(doc_id, data)`` with a distinct long ``doc`` in the order of ids, and whether ids had to be replaced."""
-    distinct = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    if distinct:
-        return docs.withColumn("doc", F.col("doc_id").cast("long")), False
-    ordered = docs.distinct().orderBy(F.col("doc_id").asc_nulls_first(), "data").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+def _ranked(rows: DataFrame, order: list) -> DataFrame:
+    """The small rows with a distinct long ``doc`` in their order: ranges are ordered each, and numbered on from the ranges before."""
+    parts = rows.repartitionByRange(spread(rows.sparkSession), *order).sortWithinPartitions(*order)
+    placed = written(parts.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id() % (1 << 33)}), "ordered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("doc", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs(doc_id, data)`` with a long ``doc`` in the order of ids, and what names a document: its id, or its id and its text's hash.
+
+    Whole numbers that are distinct are taken as they are. Other distinct ids are numbered; where ids repeat or are null,
+    ids with their texts' hashes are. Texts themselves are never ordered.
+    """
     kind = docs.schema["doc_id"].dataType
-    return written(docs.sparkSession.createDataFrame(ordered, keyed("doc_id", kind, "data binary, doc long")), "numbered"), True
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        if isinstance(kind, IntegralType):
+            return docs.withColumn("doc", F.col("doc_id").cast("long")), ["doc_id"]
+        names = _ranked(docs.select("doc_id"), [F.col("doc_id")])
+        return docs.join(names, "doc_id"), ["doc_id"]
+    hashed = docs.withColumn("h", F.sha2("data", 256))
+    names = written(_ranked(hashed.select("doc_id", "h").distinct(), [F.col("doc_id").asc_nulls_first(), F.col("h")]), "named").withColumnRenamed("doc_id", "id").withColumnRenamed("h", "_h")
+    return hashed.join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("_h"))).select("doc_id", "data", "doc"), ["doc_id", "h"]
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard: int = SHARD) -> DataFrame:
     """(doc_id, data, spans): every row's bytes and its covered byte ranges, disjoint and in order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
-    numbered, renamed = _numbered(rows)
-    texts = numbered.select("doc", "data")
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    numbered, keys = _numbered(rows)
+    texts = numbered.select("doc", "data") if len(keys) == 1 else numbered.groupBy("doc").agg(F.first("data").alias("data"))
     paired = written(_paired(_fingerprints(texts, length)), "paired")
     compare = _bytes_of(texts, paired.where("not done").drop("done"), length)
     covered = paired.where("done").select("doc", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")).union(_sorted(compare, length, shard))
@@ -218,13 +236,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 spans.append([{"start": a, "end": b} for a, b in out])
             yield pa.record_batch([*batch.columns[:2], pa.array(spans, kind)], names=["doc_id", "data", "spans"])
 
-    id_kind = rows.schema["doc_id"].dataType
-    out = found.mapInArrow(run, keyed("doc_id", id_kind, "data binary, spans array<struct<start:long,end:long>>"))
-    if renamed:  # equal rows were one document
-        again = rows.groupBy("doc_id", "data").count().withColumnRenamed("doc_id", "id")
-        out = out.join(again.withColumnRenamed("data", "d"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("data") == F.col("d")))
-        out = out.select("doc_id", "data", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy")).drop("copy")
-    return out
+    return found.mapInArrow(run, keyed("doc_id", rows.schema["doc_id"].dataType, "data binary, spans array<struct<start:long,end:long>>"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_suffix_dedup_ids_that_repeat(spark):
     rows = [(1, long), (1, long), (1, long[100:350] + "z"), (None, long[50:300]), (None, None)]
     got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, ROWS)).collect()
     assert len(got) == 5
-    order = sorted({(i or 0, (t or "").encode()) for i, t in rows})
+    order = sorted({(i or 0, (t or "").encode()) for i, t in rows}, key=lambda r: (r[0], hashlib.sha256(r[1]).hexdigest()))
     want = covered([(k, data) for k, (_, data) in enumerate(order)], 100)
     for r in got:
         k = order.index((r.doc_id or 0, bytes(r.data)))
@@ -98,6 +98,14 @@ def test_suffix_dedup_ids_that_repeat(spark):
     assert suffix_dedup.repeated_passages(spark.createDataFrame([], ROWS)).count() == 0
 
 
+def test_suffix_dedup_ids_of_any_kind(spark):
+    rows = random_texts(6, 30)
+    want = covered([(f"id {i:05d}", (t or "").encode()) for i, t in rows], 100)
+    docs = spark.createDataFrame([(f"id {i:05d}", t, 1) for i, t in rows], "`the.id` string, text string, data int").repartition(3)
+    for r in suffix_dedup.repeated_passages(docs, id_col="the.id").collect():
+        assert sum(s.end - s.start for s in r.spans) == want[r.doc_id].sum()
+
+
 # ---- SimHash -------------------------------------------------------------------------------------
 
 
@@ -212,6 +220,45 @@ def test_edited_pairs(spark, ranges):
         assert r.near_edited == lzprint.likeness(prints[k], e) and r.near_next == lzprint.likeness(prints[k], prints[(k + 1) % len(rows)])
 
 
+def plain_print(text):
+    """The 256 smallest hashes of the dictionary's phrases."""
+    return sorted({xxhash.xxh64_intdigest(p, 0) for p in plain_phrases((text or "").encode())})[:256]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    union = sorted({*a, *b})[:256]
+    return len({*a} & {*b} & {*union}) / len(union)
+
+
+def test_fingerprint_query_matches_brute_force(spark, sf):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in lzprint.op9_lzprint(spark, sf).collect()}
+    assert len(got) == len(docs)
+    prints = [plain_print(t) for _, t in docs]
+    for k, (i, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        changed, r = plain_print(edited), got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == "".join(f"{h:016x}" for h in prints[k]) and r.edited_fingerprint == "".join(f"{h:016x}" for h in changed)
+        assert (r.near_edited, r.near_next) == (plain_likeness(prints[k], changed), plain_likeness(prints[k], prints[(k + 1) % len(docs)]))
+
+
+def test_edited_pairs_with_ids_of_any_kind_and_a_long_text(spark):
+    rows = [(f"k{i:03d}", f"text {i} " * (i + 3)) for i in range(40)] + [("k1", "long words " * 60_000), (None, "no id"), ("k005", "again")]
+    got = lzprint.edited_pairs(spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, text string, at string").repartition(4), ranges=5).collect()
+    order = sorted(rows, key=lambda r: r[0] or "")
+    where = {(i, lzprint.digest_of(np.array(plain_print(t), np.uint64))): k for k, (i, t) in enumerate(order)}
+    assert len(got) == len(rows)
+    for r in got:
+        k = where[r.doc_id, r.fingerprint]
+        if r.doc_id != "k004" and r.doc_id != "k005":  # those beside the shared id
+            text, after = order[k][1], order[(k + 1) % len(order)][1]
+            assert r.edited == text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+
+
 def test_edited_text_is_nearer_than_next(spark, sf):
     got = lzprint.op9_lzprint(spark, sf).where("n_chars > 200")
     near, other = got.agg(F.avg("near_edited"), F.avg("near_next")).first()
