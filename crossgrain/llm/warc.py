@@ -8,14 +8,21 @@ files. ``derivatives`` gives each response two linked records:
 - ``conversion`` (text/plain) with the page's text.
 
 Both refer to the response (WARC-Refers-To, its target URI and date), carry its
-payload digest, and name each other (WARC-Concurrent-To). Identifiers are
-name-based, so a run repeated gives the same records. ``serialized`` gives a
-record's bytes and ``write_warc`` writes files that ``read_warc`` reads back.
+payload digest, and name each other (WARC-Concurrent-To). Identifiers are made of
+id, address, date and payload, so a run repeated gives the same records, and records that
+differ have different ones. ``serialized`` gives a record's bytes and ``write_warc``
+writes files that ``read_warc`` reads back.
+
+Blocks are bytes. A page is decoded by the charset of its HTTP header, or else its
+own, or else as UTF-8; bytes that it does not have become U+FFFD. Files are read as a
+stream of pieces between version lines, put together by Content-Length, so an
+archive of any size needs room for one record only.
 
 Everything is a narrow map over the responses: no shuffle.
 
 Defined cases: a null page is an empty payload; a null address an empty one;
-equal pages each get their records; an empty table gives an empty result.
+pages equal in id, address and payload have equal records, each page its own; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from crossgrain.llm.common import keyed, read_table
 
 #: Namespace of record identifiers.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:crossgrain:warc")
-RECORD = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, concurrent_to string, headers array<struct<name:string,value:string>>, content_type string, block_digest string, payload_digest string, block string"
+RECORD = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, concurrent_to string, headers array<struct<name:string,value:string>>, content_type string, block_digest string, payload_digest string, block binary"
 _NAMES = [f.split()[0] for f in RECORD.split(", ")]
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
@@ -43,10 +50,15 @@ _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
 _COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-_TITLED = r"<title(?=[\s/>])[^>]*>(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*)"
+#: The rest of a tag: attributes, in whose quotes a tag's end may stand. A ``<`` outside of quotes ends no tag: it begins one, or is text.
+_REST = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>"
+_ANY_REST = rf"(?:{_REST}|[^<>]*>)"
+_TITLED = rf"<title(?=[\s/>]){_ANY_REST}(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*)"
+_DARK = rf"<(?P<NAME>{'|'.join(HIDDEN)})\b{_ANY_REST}.*?(?:</(?P=NAME)\s*>|\Z)"
 #: A head ends with its tag, or before the first text or element that cannot be in one: its end tag may be left out.
-_HEAD = rf"<head(?=[\s/>])[^>]*>(?:\s+|{_COMMENT}|{_TITLED}|<(?P<inner>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=inner)\s*>|\Z)|</?(?:meta|link|base|basefont|bgsound|noframes|title|{'|'.join(HIDDEN)})(?=[\s/>])[^>]*>)*+(?:</head\s*>)?"
-_PART = re.compile(rf"{_COMMENT}|(?P<head>{_HEAD})|<(?P<hidden>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)|</?(?P<tag>[a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.DOTALL | re.IGNORECASE)
+_HEAD = rf"<head(?=[\s/>]){_ANY_REST}(?:\s+|{_COMMENT}|{_TITLED}|{_DARK.replace('NAME', 'inner')}|</?(?:meta|link|base|basefont|bgsound|noframes|title|{'|'.join(HIDDEN)})(?=[\s/>]){_ANY_REST})*+(?:</head\s*>)?"
+_PART = re.compile(rf"{_COMMENT}|(?P<head>{_HEAD})|{_DARK.replace('NAME', 'hidden')}|</?(?P<tag>[a-zA-Z][a-zA-Z0-9]*){_ANY_REST}", re.DOTALL | re.IGNORECASE)
+_UNSAID = re.compile(rf"{_COMMENT}|{_DARK.replace('NAME', 'hidden')}", re.DOTALL | re.IGNORECASE)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
@@ -74,12 +86,22 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
 
 
+def decoded(payload: bytes, head: str = "") -> str:
+    """The page in a payload, by the charset of its header ``head``, its own among its first 1,024 bytes, or UTF-8."""
+    said = _CHARSET.search(head) or _CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(said[1] if said else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
 def about(page: str) -> list[tuple[str, str]]:
-    """What a page says of itself: title, language, charset and its links, in order."""
+    """What a page says of itself: title, language, charset and its links, in order; comments and scripts say nothing."""
+    page = _UNSAID.sub("", page)
     title, lang, charset = _TITLE.search(page), _LANG.search(page), _CHARSET.search(page)
     out = [("title", one_line(html.unescape(title[1])))] if title else []
     out += [("lang", lang[1])] if lang else []
@@ -98,7 +120,7 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             for key, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 body = page.encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
-                rows.append((identifier("response", str(key), url), "response", one_line(url), date, None, None, [], "application/http; msgtype=response", digest(http.encode() + body), digest(body), http + page))
+                rows.append((identifier("response", str(key), url, date, digest(body)), "response", one_line(url), date, None, None, [], "application/http; msgtype=response", digest(http.encode() + body), digest(body), http.encode() + body))
             yield _batch(batch.column(0), rows)
 
     return rows.mapInArrow(run, keyed("key", rows.schema[0].dataType, RECORD))
@@ -106,30 +128,32 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def _batch(key: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * len(_NAMES)
-    return pa.record_batch([key, *(pa.array([[{"name": a, "value": b} for a, b in h] for h in c], _HEADERS) if n == "headers" else pa.array(c, pa.string()) for n, c in zip(_NAMES, cols))], names=["key", *_NAMES])
+    return pa.record_batch([key, *(pa.array([[{"name": a, "value": b} for a, b in h] for h in c], _HEADERS) if n == "headers" else pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(_NAMES, cols))], names=["key", *_NAMES])
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """For every response of ``records`` (key and RECORD's columns) its metadata and conversion records."""
-    rows = records.where("warc_type = 'response'").select("key", "record_id", "target_uri", "warc_date", "payload_digest", F.coalesce("block", F.lit("")).alias("block"))
+    rows = records.where("warc_type = 'response'").select("key", "record_id", "target_uri", "warc_date", "payload_digest", F.coalesce("block", F.lit(b"")).alias("block"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 own, out = batch.slice(at, 500), []
                 for source, url, date, payload_digest, block in zip(*(c.to_pylist() for c in own.columns[1:])):
-                    head, _, page = block.partition("\r\n\r\n")
-                    status, *lines = head.split("\r\n")
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    status, *lines = head.decode("latin-1").split("\r\n")
+                    page = decoded(payload, next((x for x in lines if x.lower().startswith("content-type:")), ""))
                     sources = [("source-status", status), *((f"source-{a.strip().lower()}", one_line(b)) for a, _, b in (x.partition(":") for x in lines))]
-                    payload_digest = payload_digest or digest(page.encode())
+                    payload_digest = payload_digest or digest(payload)
                     fields = [*about(page), *sources, ("source-payload-digest", payload_digest)]
-                    ids = {kind: identifier(kind, source) for kind in ("metadata", "conversion")}
+                    ids = {kind: identifier(kind, source or "", url or "", date or "", payload_digest) for kind in ("metadata", "conversion")}
                     blocks = {"metadata": ("application/warc-fields", "".join(f"{a}: {b}\r\n" for a, b in fields)), "conversion": ("text/plain; charset=utf-8", plain_text(page))}
                     refers = [("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload_digest)]
                     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
                         content, text = blocks[kind]
-                        d = digest(text.encode())
-                        out.append((ids[kind], kind, url, date, source, ids[other], refers + (sources if kind == "conversion" else []), content, d, d, text))
+                        data = text.encode("utf-8", "replace")
+                        d = digest(data)
+                        out.append((ids[kind], kind, url, date, source, ids[other], refers + (sources if kind == "conversion" else []), content, d, d, data))
                 twice = pa.array([i for i in range(own.num_rows) for _ in range(2)], pa.int64())
                 yield _batch(own.column(0).take(twice), out)
 
@@ -137,49 +161,89 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """(key, record): a record's header and block as text, without the two line ends that close it."""
+    """(key, record): a record's header and block as bytes, without the two line ends that close it."""
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))).otherwise("")
     own = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
     names = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Date": "warc_date", "WARC-Target-URI": "target_uri", "WARC-Refers-To": "refers_to", "WARC-Concurrent-To": "concurrent_to", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest", "Content-Type": "content_type"}
     size = F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    return records.select("key", F.concat(F.lit("WARC/1.1\r\n"), *[field(k, F.col(v)) for k, v in names.items()], own, size, F.col("block")).alias("record"))
+    head = F.concat(F.lit(VERSION + "\r\n"), *[field(k, F.col(v)) for k, v in names.items()], own, size)
+    return records.select("key", F.concat(head.cast("binary"), F.col("block")).alias("record"))
+
+
+VERSION = "WARC/1.1"
+#: What files are cut at to be read as a stream.
+_CUT = "WARC/1."
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes the records to gzip-compressed WARC files, one for each task."""
-    serialized(records).select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Writes the records to gzip-compressed WARC files, one for each task; a file is one gzip member."""
+    serialized(records).select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def _fields(head: bytes) -> tuple[dict, int]:
+    """A record's known fields, the others under ``headers``, and the length of its block."""
+    known = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-date": "warc_date", "warc-target-uri": "target_uri", "warc-refers-to": "refers_to", "warc-concurrent-to": "concurrent_to", "warc-block-digest": "block_digest", "warc-payload-digest": "payload_digest", "content-type": "content_type"}
+    out, size = {"headers": []}, 0
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        value = value.strip()
+        if name.lower() == "content-length":
+            size = int(value)
+        elif name.lower() in known:
+            out[known[name.lower()]] = value
+        elif name:
+            out["headers"].append((name, value))
+    return out, size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(key, RECORD's columns) of the records in gzip-compressed WARC files; the key is the record's id."""
-    import gzip
+    """(key, RECORD's columns) of the records in WARC files, gzip-compressed or not; the key is the record's id.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    known = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-date": "warc_date", "warc-target-uri": "target_uri", "warc-refers-to": "refers_to", "warc-concurrent-to": "concurrent_to", "warc-block-digest": "block_digest", "warc-payload-digest": "payload_digest", "content-type": "content_type"}
+    Spark's text reader streams the files, cut at the version line. A block may hold such a line itself: pieces are joined until
+    the block has its length. What a file lacks at its end is an error.
+    """
+    pieces = spark.read.option("lineSep", _CUT).text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        of, have, need, fields = None, 0, None, {}
+        out: list[tuple] = []
+
+        def whole() -> None:
+            nonlocal held, have, need
+            data = b"".join(held)
+            at = data.index(b"\r\n\r\n") + 4
+            block = data[at : at + need]
+            out.append(tuple({**fields, "block": block}.get(n) for n in _NAMES))
+            held, have, need = [], 0, None
+
         for batch in batches:
-            for content in batch.column(0):
-                data, at, out = gzip.decompress(content.as_py()), 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    fields, own, size = {"headers": []}, [], 0
-                    for line in data[at:end].decode().split("\r\n")[1:]:
-                        name, _, value = line.partition(": ")
-                        if name.lower() == "content-length":
-                            size = int(value)
-                        elif name.lower() in known:
-                            fields[known[name.lower()]] = value
-                        else:
-                            own.append((name, value))
-                    fields |= {"headers": own, "block": data[end + 4 : end + 4 + size].decode()}
-                    out.append(tuple(fields.get(n) for n in _NAMES))
-                    at = end + 8 + size
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and file != of:
+                    raise ValueError(f"{of} ends within a record")
+                of = file
+                if held:
+                    piece = _CUT.encode() + piece
+                elif not piece.strip():
+                    continue  # before the first record
+                held.append(piece)
+                have += len(piece)
+                if need is None and b"\r\n\r\n" in (data := b"".join(held)):
+                    held, end = [data], data.index(b"\r\n\r\n")
+                    fields, need = _fields(data[:end])
+                    start = end + 4
+                if need is not None and have >= start + need:
+                    whole()
+            if out:
                 yield _batch(pa.array([r[0] for r in out], pa.string()), out)
+                out = []
+        if held:
+            raise ValueError(f"{of} ends within a record")
 
-    return files.mapInArrow(run, f"key string, {RECORD}")
+    return pieces.mapInArrow(run, f"key string, {RECORD}")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page its metadata and conversion records: page_id, record_id, warc_type, ..., block."""
-    return derivatives(responses(read_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+    """Per page its metadata and conversion records: page_id, record_id, warc_type, ..., block as text."""
+    found = derivatives(responses(read_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+    return found.withColumn("block", F.col("block").cast("string"))

@@ -191,20 +191,68 @@ def test_a_head_may_lack_its_end_tag():
     assert warc.plain_text("<head>" + "<meta>" * 50_000 + "<p>x") == "x"
 
 
+def test_stray_signs_quotes_and_what_comments_say():
+    assert warc.plain_text("<p>a <b and c</p><p>d</p>") == "a <b and c\nd" and warc.plain_text("1 < 2 > 0") == "1 < 2 > 0"
+    assert warc.plain_text("<a title='x > y'>link</a> <img alt=\"it's\">z") == "link z" and warc.plain_text("<i don't>x") == "x"
+    assert warc.about("<!-- <a href=no> --><script>'<a href=no>'</script><a href=yes>") == [("outlink", "yes")]
+
+
+def sha1(data):
+    import base64
+    import hashlib
+
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def parsed_text(page):
+    """By the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.off, self.head = [], [], False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "head":
+                self.head = True
+            elif tag in warc.HIDDEN:
+                self.off.append(tag)
+            self.out.append("\n" if tag in warc.BLOCKS and not self.head else "")
+
+        def handle_endtag(self, tag):
+            if tag == "head":
+                self.head = False
+            elif tag in self.off:
+                self.off.remove(tag)
+            self.out.append("\n" if tag in warc.BLOCKS and not self.head else "")
+
+        def handle_data(self, data):
+            if not self.off and not self.head:
+                self.out.append(data.replace("\n", " "))
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = [" ".join(x.split()) for x in "".join(reader.out).split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
 def test_derivatives_are_linked_and_digested(spark):
-    pages = spark.createDataFrame([(1, "http://a/", PAGE, "q"), (2, None, None, "q"), (1, "http://a/", PAGE, "q")], "page_id long, url string, html string, record_id string")
+    pages = spark.createDataFrame([(1, "http://a/", PAGE, "q"), (2, None, None, "q"), (1, "http://a/", PAGE, "q"), (1, "http://a/", "other", "q")], "page_id long, url string, html string, record_id string")
     source = {r.record_id: r for r in warc.responses(pages).collect()}
     got = warc.derivatives(warc.responses(pages)).collect()
-    assert len(got) == 6 and len(source) == 2
+    assert len(got) == 8 and len(source) == 3 and len({r.record_id for r in got}) == 6
     for r in got:
         s = source[r.refers_to]
+        payload = bytes(s.block).partition(b"\r\n\r\n")[2]
         own = dict((h.name, h.value) for h in r.headers)
-        assert r.target_uri == s.target_uri == own["WARC-Refers-To-Target-URI"] and own["WARC-Source-Payload-Digest"] == s.payload_digest == warc.digest(s.block.partition("\r\n\r\n")[2].encode())
-        assert r.block_digest == warc.digest(r.block.encode()) and r.concurrent_to in {x.record_id for x in got if x.warc_type != r.warc_type}
+        assert r.target_uri == s.target_uri == own["WARC-Refers-To-Target-URI"] and own["WARC-Source-Payload-Digest"] == s.payload_digest == sha1(payload) and s.block_digest == sha1(bytes(s.block))
+        assert r.block_digest == r.payload_digest == sha1(bytes(r.block)) and r.concurrent_to in {x.record_id for x in got if x.warc_type != r.warc_type and x.refers_to == r.refers_to}
         if r.warc_type == "conversion":
-            assert own["source-content-type"] == "text/html; charset=utf-8" and r.block == warc.plain_text(s.block.partition("\r\n\r\n")[2])
+            assert own["source-content-type"] == "text/html; charset=utf-8" and bytes(r.block).decode() == warc.plain_text(payload.decode())
         else:
-            assert f"source-payload-digest: {s.payload_digest}\r\n" in r.block
+            assert f"source-payload-digest: {s.payload_digest}\r\n" in bytes(r.block).decode()
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
@@ -220,11 +268,35 @@ def test_files_round_trip(spark, sf, tmp_path):
     assert sorted(again, key=key) == sorted((r for r in every.select(cols).collect() if r.warc_type != "response"), key=key)
 
 
-def test_warc_query(spark, sf):
-    n = spark.read.parquet(f"{sf}/pages.parquet").count()
-    got = warc.op5_warc(spark, sf)
-    assert {r.warc_type: r["count"] for r in got.groupBy("warc_type").count().collect()} == {"metadata": n, "conversion": n}
-    assert got.where("warc_type = 'conversion' and (block like '%<p>%' or length(block) = 0)").count() == 0
+def test_files_of_others(spark, tmp_path):
+    """Latin-1, blocks that hold version lines and blank lines, long blocks, several gzip members."""
+    import gzip
+
+    def record(k, block, kind="response"):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Target-URI: http://x/{k}\r\nContent-Length: {len(block)}\r\nX-Own: a: b\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n"
+    blocks = [http + "<p>é à</p>".encode("latin-1"), http + b"<p>WARC/1.0\r\n\r\nWARC/1.1 x</p>", b"", http.replace(b"; charset=iso-8859-1", b"") + b"<p>\xff\xfe</p>", http + b"<p>" + b"long " * 400_000 + b"</p>"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k, b)) for k, b in enumerate(blocks)))
+    (tmp_path / "w" / "b.warc").write_bytes(record(9, b"k: v\r\n", "warcinfo"))
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert [bytes(got[f"<urn:uuid:{k}>"].block) for k in range(5)] == blocks and got["<urn:uuid:9>"].warc_type == "warcinfo"
+    assert [(h.name, h.value) for h in got["<urn:uuid:0>"].headers] == [("X-Own", "a: b")]
+    texts = {r.refers_to: bytes(r.block).decode() for r in warc.derivatives(warc.read_warc(spark, str(tmp_path / "w"))).where("warc_type = 'conversion'").collect()}
+    assert [texts[f"<urn:uuid:{k}>"] for k in range(4)] == ["é à", "WARC/1.0 WARC/1.1 x", "", "��"]
+    assert len(texts["<urn:uuid:4>"]) == 5 * 400_000 - 1
+
+
+def test_warc_query_matches_the_library_parser(spark, sf):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = warc.op5_warc(spark, sf).collect()
+    assert sorted((r.page_id, r.warc_type) for r in got) == sorted((k, t) for k in pages for t in ("metadata", "conversion"))
+    for r in got:
+        page = pages[r.page_id]
+        assert r.target_uri == page.url and r.block_digest == sha1(r.block.encode()) and dict((h.name, h.value) for h in r.headers)["WARC-Source-Payload-Digest"] == sha1((page.html or "").encode())
+        if r.warc_type == "conversion":
+            assert r.block == parsed_text(page.html or "")
 
 
 # ---- packing -------------------------------------------------------------------------------------
