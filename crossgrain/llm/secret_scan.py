@@ -5,19 +5,27 @@ are maximal runs of at least ``least`` encoding characters. For each, the
 smallest encoding that holds it is inferred and three tests of randomness are
 made over its alphabet: chi-squared uniformity (with the exact mean and variance
 for short strings), the runs test about the alphabet's middle, and lag-one
-serial correlation. A string that a random source of that encoding would make
-with probability under ``alpha`` (Bonferroni over the three) is dropped.
-
-Short ordinary strings also pass such tests, so what passes must be unlikely as
-ordinary text: the ratio of its probability under the encoding to that under the
-corpus' own first-order character model (counted over all documents, candidates
-left out) bounds the chance of an ordinary string looking so random (Markov's
-inequality), and grows with length.
+serial correlation. Their p-values are combined (Bonferroni over the three). A
+string that a random source of that encoding would make with probability under
+``alpha`` is dropped; the encoding is read off the string itself, so that a random
+string of few characters may be tried by a smaller one and is then dropped too
+often rather than too seldom.
+
+Ordinary text passes the battery now and then, the oftener the shorter it is. How
+often is counted on the corpus: all text outside of candidates, its encoding
+characters run together, is cut into strings as long as the least of each length
+group, and the battery is made on each in the encoding it shows. The share of
+those of a candidate's group and encoding that look at least as random is the
+candidate's p-value as ordinary text. A second one comes from the corpus' own
+first-order character model: the ratio of the string's probability under the
+encoding to that under the model bounds the chance of an ordinary string looking
+so random (Markov's inequality), and grows with length. Twice the smaller of both
+is what counts.
 Over all candidates of the corpus the Benjamini-Hochberg step-up rule on these
-bounds keeps the share of false discoveries under ``fdr``, in each group of
+p-values keeps the share of false discoveries under ``fdr``, in each group of
 strings of similar length. What travels to the driver is fixed in size: one
-count for each character pair, and one for each length group and step of
-evidence.
+count for each character pair, one for each encoding, length group and step of
+the battery, and one for each length group and step of evidence.
 
 Offsets are code points, ends exclusive. A base span is the whole match. Defined cases: null is the empty
 text; equal rows each get their row; an empty table gives an empty result.
@@ -28,8 +36,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +78,23 @@ N_CHARS = len(CHARS) + 1
 _CODE = np.zeros(256, np.uint16)
 _CODE[np.frombuffer(CHARS.encode(), np.uint8)] = np.arange(1, N_CHARS)
 
+#: The code of the first mark; all from it on are marks.
+_MARKS = 1 + CHARS.index("+")
+
 #: Evidence is counted in steps of 1/STEPS of a factor of ten, up to MOST tens.
 STEPS, MOST = 8, 64
 #: Length groups for the discovery control: powers of two.
 GROUPS = 12
+#: Lengths of the ordinary strings that stand for a group; longer groups are judged by the longest.
+LENGTHS = {5: 20, 6: 32, 7: 64, 8: 128}
+#: Characters by the encodings that they tell apart, one bit each.
+_ATOMS = ("01", "234567", "89", "abcdef", LOWER[6:], "ABCDEF", UPPER[6:], "+/", "-_")
+_BITS = np.zeros(N_CHARS, np.uint16)
+for _i, _atom in enumerate(_ATOMS):
+    _BITS[_CODE[np.frombuffer(_atom.encode(), np.uint8)]] = 1 << _i
+_ENCODING = np.array([next(e for e, own in enumerate(_SETS) if all(own >= {*a} for i, a in enumerate(_ATOMS) if bits >> i & 1)) for bits in range(1 << len(_ATOMS))], np.int8)
+#: A character's place in each alphabet.
+_PLACE = np.array([[0, *(a.find(c) for c in CHARS)] for _, a in ENCODINGS])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,6 +138,57 @@ def battery(token: str, encoding: int) -> float:
     return min(1.0, 3 * min(tails))
 
 
+def batteries(codes: np.ndarray, encoding: int) -> np.ndarray:
+    """``battery`` of many strings of one length and encoding, given as rows of character codes."""
+    size, (rows, n) = len(ENCODINGS[encoding][1]), codes.shape
+    at = _PLACE[encoding][codes]
+    counts = np.bincount((at + np.arange(rows)[:, None] * size).ravel(), minlength=rows * size).reshape(rows, size)
+    chi = ((counts - n / size) ** 2).sum(1) / (n / size)
+    z_chi = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    high = 2 * at >= size
+    z_runs = ((high[:, 1:] != high[:, :-1]).sum(1) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    centred = (at + 0.5) / size - 0.5
+    z_serial = (centred[:, 1:] * centred[:, :-1]).sum(1) / ((size * size - 1) / (12 * size * size) * math.sqrt(n - 1))
+    worst = [min(math.erfc(x / math.sqrt(2)) / 2, math.erfc(max(abs(r), abs(c)) / math.sqrt(2))) for x, r, c in zip(z_chi.tolist(), z_runs.tolist(), z_serial.tolist())]
+    return np.minimum(1.0, 3 * np.array(worst))
+
+
+def battery_step(p: float | np.ndarray) -> np.ndarray:
+    """Steps from the most random look (0) on."""
+    return np.minimum(STEPS * MOST, np.floor(-np.log10(np.maximum(p, 10.0**-MOST)) * STEPS)).astype(int)
+
+
+def ordinary_steps(codes: np.ndarray) -> Counter[tuple[int, int, int]]:
+    """How many strings cut from ordinary ``codes`` there are of each (encoding, length group, battery step)."""
+    out: Counter[tuple[int, int, int]] = Counter()
+    for group, n in LENGTHS.items():
+        rows = codes[: len(codes) // n * n].reshape(-1, n)
+        if not len(rows):
+            continue
+        encodings = _ENCODING[np.bitwise_or.reduce(_BITS[rows], 1)]
+        for e in np.unique(encodings).tolist():
+            steps, counts = np.unique(battery_step(batteries(rows[encodings == e], e)), return_counts=True)
+            out.update({(e, group, s): n for s, n in zip(steps.tolist(), counts.tolist())})
+    return out
+
+
+class Look:
+    """How often ordinary strings look at least as random, by encoding, length group and battery step."""
+
+    def __init__(self, counts: dict[tuple[int, int, int], int]) -> None:
+        self.share = {}
+        for e, g in {k[:2] for k in counts}:
+            own = np.zeros(STEPS * MOST + 1)
+            for (x, y, s), n in counts.items():
+                if (x, y) == (e, g):
+                    own[s] = n
+            self.share[e, g] = (1 + own.cumsum()) / (1 + own.sum())
+
+    def p_value(self, encoding: int, group: int, p: float) -> float:
+        own = self.share.get((encoding, min(group, max(LENGTHS))))
+        return 1.0 if own is None else float(own[battery_step(p)])
+
+
 class Ordinary:
     """First-order character model of the corpus: log10 probabilities of a character after another."""
 
@@ -125,10 +199,14 @@ class Ordinary:
         self.log = np.log10(counts / counts.sum(1, keepdims=True))
 
     def evidence(self, token: str, encoding: int) -> float:
-        """log10 of the probability ratio of the encoding to the corpus; what follows the token does not count."""
+        """log10 of the probability ratio of the encoding to the corpus; what follows the token does not count.
+
+        Marks (+ / - _) join ordinary words, too, where texts have a blank: they tell nothing, and a word begins after them.
+        """
         at = _CODE[np.frombuffer(token.encode(), np.uint8)]
-        ordinary = self.log[np.concatenate([[0], at[:-1]]), at].sum()
-        return float(-len(token) * math.log10(len(ENCODINGS[encoding][1])) - ordinary)
+        before = np.concatenate([[0], np.where(at[:-1] < _MARKS, at[:-1], 0)])
+        said = at < _MARKS
+        return float(-said.sum() * math.log10(len(ENCODINGS[encoding][1])) - self.log[before[said], at[said]].sum())
 
 
 def length_group(n: int) -> int:
@@ -139,11 +217,23 @@ def step_of(evidence: float) -> int:
     return max(0, min(STEPS * MOST, math.floor(evidence * STEPS)))
 
 
+def graded(token: str, model: Ordinary, look: Look, alpha: float) -> int:
+    """The step of evidence that a candidate is no ordinary string; 0 for one that the battery rejects."""
+    encoding = encoding_of(token)
+    p = battery(token, encoding)
+    if p < alpha:
+        return 0
+    best = min(look.p_value(encoding, length_group(len(token)), p), 10.0 ** -max(0.0, model.evidence(token, encoding)))
+    return step_of(-math.log10(min(1.0, 2 * max(best, 10.0**-MOST))))
+
+
 def survey(docs: DataFrame, *, least: int) -> DataFrame:
-    """(pair, token, n): counts of character pairs (token null) and of candidate strings (pair null)."""
+    """(kind, at, token, n): counts of character pairs, of ordinary strings by encoding, group and step (both at ``at``), and of candidate strings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, pairs = candidate_pattern(least), np.zeros(N_CHARS * N_CHARS, np.int64)
+        looks: Counter[tuple[int, int, int]] = Counter()
+        names = ["kind", "at", "token", "n"]
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             tokens: Counter[str] = Counter()
@@ -156,13 +246,17 @@ def survey(docs: DataFrame, *, least: int) -> DataFrame:
                     at = m.end()
                 ordinary.append(text[at:])
             code = _CODE[np.frombuffer("\n".join(ordinary).encode(), np.uint8)]
+            for part in range(0, len(code), 1 << 22):
+                looks.update(ordinary_steps((own := code[part : part + (1 << 22)])[own > 0]))
             if len(code) > 1:
                 pairs += np.bincount(code[:-1] * np.uint16(N_CHARS) + code[1:], minlength=len(pairs))
-            yield pa.record_batch([pa.nulls(len(tokens), pa.int32()), pa.array(list(tokens), pa.string()), pa.array(list(tokens.values()), pa.int64())], names=["pair", "token", "n"])
+            yield pa.record_batch([pa.array(["token"] * len(tokens), pa.string()), pa.nulls(len(tokens), pa.int32()), pa.array(list(tokens), pa.string()), pa.array(list(tokens.values()), pa.int64())], names=names)
         seen = np.nonzero(pairs)[0]
-        yield pa.record_batch([pa.array(seen, pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(pairs[seen])], names=["pair", "token", "n"])
+        yield pa.record_batch([pa.array(["pair"] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(pairs[seen])], names=names)
+        at = [(e * GROUPS + g) * (STEPS * MOST + 1) + s for e, g, s in looks]
+        yield pa.record_batch([pa.array(["look"] * len(at), pa.string()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.string()), pa.array(list(looks.values()), pa.int64())], names=names)
 
-    return docs.mapInArrow(run, "pair int, token string, n long")
+    return docs.mapInArrow(run, "kind string, at int, token string, n long")
 
 
 def thresholds(counts: dict[tuple[int, int], int], fdr: float) -> list[int]:
@@ -187,23 +281,25 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, spans): ``spans`` array of (kind, start, end), by start and then kind, for every row."""
     texts = docs.select(F.col(text_col).alias("text"))
     seen = written(survey(texts, least=least), "survey")
-    pairs = np.zeros(N_CHARS * N_CHARS, np.int64)
-    for row in seen.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        pairs[row.pair] = row.n
-    model = Ordinary(pairs)
+    pairs, looks = np.zeros(N_CHARS * N_CHARS, np.int64), {}
+    for row in seen.where("token is null").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+        if row.kind == "pair":
+            pairs[row.at] = row.n
+        else:
+            place, step = divmod(row.at, STEPS * MOST + 1)
+            looks[*divmod(place, GROUPS), step] = row.n
+    model, look = Ordinary(pairs), Look(looks)
 
     def grade(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Counter[tuple[int, int]] = Counter()
         for batch in batches:
             for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                encoding = encoding_of(token)
-                good = battery(token, encoding) >= alpha
-                out[length_group(len(token)), step_of(model.evidence(token, encoding)) if good else 0] += n
+                out[length_group(len(token)), graded(token, model, look, alpha)] += n
         rows = [(g, s, n) for (g, s), n in out.items()]
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["grp", "step", "n"])
 
-    graded = seen.where("token is not null").select("token", "n").mapInArrow(grade, "grp int, step int, n long").groupBy("grp", "step").agg(F.sum("n").alias("n"))
-    accepted = thresholds({(r.grp, r.step): r.n for r in graded.collect()}, fdr)
+    steps = seen.where("token is not null").select("token", "n").mapInArrow(grade, "grp int, step int, n long").groupBy("grp", "step").agg(F.sum("n").alias("n"))
+    accepted = thresholds({(r.grp, r.step): r.n for r in steps.collect()}, fdr)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = candidate_pattern(least)
@@ -213,13 +309,12 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                base = list(spans)
+                starts, reach = [a for a, _, _ in spans], list(accumulate((z for _, _, z in spans), max))
                 for m in pattern.finditer(text):
-                    token = m[0].rstrip("=")
-                    if any(a < m.end() and m.start() < b for a, _, b in base):
+                    token, before = m[0].rstrip("="), bisect_left(starts, m.end())
+                    if before and reach[before - 1] > m.start():
                         continue
-                    encoding = encoding_of(token)
-                    if step_of(model.evidence(token, encoding)) >= accepted[length_group(len(token))] and battery(token, encoding) >= alpha:
+                    if graded(token, model, look, alpha) >= accepted[length_group(len(token))]:
                         spans.append((m.start(), 3, m.end()))
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])

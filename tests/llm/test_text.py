@@ -167,6 +167,93 @@ def test_battery_accepts_random_and_rejects_regular():
     assert secret_scan.thresholds({(5, 0): 1000, (5, 10): 3}, 0.01)[5] == secret_scan.STEPS * secret_scan.MOST + 1
 
 
+def test_batteries_are_the_battery():
+    rng = np.random.default_rng(1)
+    for encoding in range(len(secret_scan.ENCODINGS)):
+        alphabet = secret_scan.ENCODINGS[encoding][1]
+        tokens = ["".join(rng.choice(list(alphabet[: rng.integers(2, len(alphabet) + 1)]), 33)) for _ in range(20)]
+        codes = np.stack([secret_scan._CODE[np.frombuffer(t.encode(), np.uint8)] for t in tokens])
+        assert secret_scan.batteries(codes, encoding) == pytest.approx([secret_scan.battery(t, encoding) for t in tokens])
+        assert secret_scan._ENCODING[np.bitwise_or.reduce(secret_scan._BITS[codes], 1)].tolist() == [secret_scan.encoding_of(t) for t in tokens]
+
+
+def plain_random_spans(texts, least=20, alpha=0.001, fdr=0.01):
+    """The rule over again with loops: spans of strings that no ordinary text makes, for texts of one batch."""
+    import math
+
+    pattern = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{least},}}={{0,2}}")
+    known = set(secret_scan.CHARS)
+    found, rest = [], []
+    for k, text in enumerate(texts):
+        spans = [m.span() for m in pattern.finditer(text)]
+        found += [(k, a, z, text[a:z].rstrip("=")) for a, z in spans]
+        rest += [text[a:z] for (_, a), (z, _) in zip([(0, 0), *spans], [*spans, (len(text), 0)])]
+    line = "\n".join(rest).encode().decode("latin-1")
+    run = "".join(c for c in line if c in known)
+    group = lambda n: min(11, n.bit_length())
+    step = lambda p: min(512, math.floor(-math.log10(max(p, 1e-64)) * 8))
+    seen = {}
+    for g, n in {5: 20, 6: 32, 7: 64, 8: 128}.items():
+        for at in range(0, len(run) - n + 1, n):
+            s = run[at : at + n]
+            e = secret_scan.encoding_of(s)
+            seen.setdefault((e, g), []).append(step(secret_scan.battery(s, e)))
+    pairs, single, total = {}, {}, {}
+    cls = lambda c: c if c in known else ""
+    for a, b in zip(line, line[1:]):
+        pairs[cls(a), cls(b)] = pairs.get((cls(a), cls(b)), 0) + 1
+        single[cls(b)] = single.get(cls(b), 0) + 1
+    mass = sum(single.values()) + 0.5 * (len(known) + 1)
+    for a in ["", *known]:
+        total[a] = sum(n for (x, _), n in pairs.items() if x == a) + 1
+    own = lambda a, b: (pairs.get((a, b), 0) + (single.get(b, 0) + 0.5) / mass) / total[a]
+    evidence = []
+    for _, _, _, t in found:
+        e = secret_scan.encoding_of(t)
+        b = secret_scan.battery(t, e)
+        said = [(x if x not in "+/-_" else "", y) for x, y in zip(["", *t], t) if y not in "+/-_"]
+        ratio = -len(said) * math.log10(len(secret_scan.ENCODINGS[e][1])) - sum(math.log10(own(x, y)) for x, y in said)
+        null = seen.get((e, min(8, group(len(t)))))
+        look = 1.0 if null is None else (1 + sum(s <= step(b) for s in null)) / (1 + len(null))
+        p = min(1.0, 2 * max(1e-64, min(look, 10.0 ** -max(0.0, ratio))))
+        evidence.append(0 if b < alpha else max(0, min(512, math.floor(-math.log10(p) * 8))))
+    out = set()
+    for g in {group(len(t)) for _, _, _, t in found}:
+        mine = sorted(((v, f) for v, f in zip(evidence, found) if group(len(f[3])) == g), reverse=True)
+        kept = max((k + 1 for k in range(len(mine)) if mine[k][0] > 0 and (k + 1 == len(mine) or mine[k + 1][0] != mine[k][0]) and 10.0 ** (-mine[k][0] / 8) * len(mine) <= fdr * (k + 1)), default=0)
+        out |= {f[:3] for _, f in mine[:kept]}
+    return out
+
+
+def ordinary_rows(rng, n):
+    words = [f"{a}{b}{c}" for a in ("con", "re", "ab", "in", "pro", "de") for b in ("tend", "lat", "mis", "form", "port", "sist") for c in ("ing", "ion", "ed", "er", "ity")]
+    words += [w.title() for w in words[::4]] + [str(k) for k in range(8)]
+    join = lambda k, sep: sep.join(rng.choice(words, k))
+    return [f"{join(60, ' ')}. {join(4, rng.choice(['-', '_', '/']))} {''.join(w.title() for w in rng.choice(words, 3))}{rng.integers(10)} {join(40, ' ')}" for _ in range(n)]
+
+
+def test_secrets_are_the_rule_and_few_are_false(spark):
+    rng = np.random.default_rng(4)
+    rows = ordinary_rows(rng, 600)
+    got = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(rows)), ROWS).coalesce(1)).collect()
+    assert sum(len(r.spans) for r in got) <= 12  # of 1,200 candidates, none of them random
+    letters = list(secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS)
+    planted = {k: "".join(rng.choice(letters, 40)) for k in range(0, 600, 20)}
+    rows = [f"{t} {planted[k]} end" if k in planted else t for k, t in enumerate(rows)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(rows)), ROWS).coalesce(1)).collect()
+    spans = {(r.doc_id, s.start, s.end) for r in got for s in r.spans}
+    assert spans == plain_random_spans(rows)
+    true = {(k, rows[k].index(t), rows[k].index(t) + 40) for k, t in planted.items()}
+    assert len(true & spans) >= 28 and len(spans - true) <= 1
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "token=abcdef0123 " * 30_000 + "zq" * 50_000
+    (row,) = secret_scan.secret_spans(spark.createDataFrame([(1, text)], ROWS)).collect()
+    assert sum(s.kind == "assign" for s in row.spans) == 30_000
+
+
 # ---- context-tree weighting ----------------------------------------------------------------------
 
 
