@@ -56,20 +56,30 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def folded(df: DataFrame, start: Column, step: Callable[[Column, Column], Column], item: Column, *, out: str = "state", key: str = "symbol", order: str = "date") -> DataFrame:
-    """Adds ``out``: the state after each row of a fold over a key's rows in order.
+def folded(df: DataFrame, start: Column, step: Callable[[Column, Column], Column], item: Column, *, out: str = "state", key: str = "symbol", order: str = "date", chunk: int = 64) -> DataFrame:
+    """Adds ``out``: the state after each row of a fold over a key's rows in order (rows that share a place in order follow by their other columns).
 
-    One sorted array per key, folded inside the JVM; for recursions that no frame can express.
+    One sorted array per key, folded inside the JVM; for recursions that no frame can express. The rows go through the fold
+    themselves, so none is matched to another. States are gathered ``chunk`` at a time, so that adding one copies no history.
     """
-    rows = df.select(key, order, item.alias("_item")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_item"))).alias("_rows"))
-    begun = F.struct(start.alias("now"), F.array().cast(f"array<{_kind(df, start)}>").alias("all"))
+    item = item.alias("_item")
+    others = [c for c in df.columns if c not in (key, order)]
+    rows = df.select(key, order, item, F.struct(*others).alias("_rest")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_item", "_rest"))).alias("_rows"))
+    kind = _kind(df, start)
+    many = F.struct(start.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("all"))
 
-    def merge(acc: Column, x: Column) -> Column:
+    def one(acc: Column, x: Column) -> Column:
         now = step(acc["now"], x["_item"])
         return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-    done = rows.select(key, F.arrays_zip(F.col(f"_rows.{order}").alias(order), F.aggregate("_rows", begun, merge)["all"].alias(out)).alias("_z"))
-    return df.join(done.select(key, F.explode("_z").alias("_z")).select(key, f"_z.{order}", f"_z.{out}"), [key, order])
+    def part(acc: Column, xs: Column) -> Column:
+        begun = F.struct(acc["now"].alias("now"), F.array().cast(f"array<{kind}>").alias("all"))
+        return F.aggregate(xs, begun, one, lambda got: F.struct(got["now"].alias("now"), F.concat(acc["all"], F.array(got["all"])).alias("all")))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size("_rows"), F.lit(chunk)), lambda at: F.slice("_rows", at, F.lit(chunk)))
+    states = F.flatten(F.aggregate(parts, many, part)["all"])
+    done = rows.select(key, F.explode(F.arrays_zip(F.col("_rows"), states.alias(out))).alias("_z"))
+    return done.select(key, f"_z._rows.{order}", *[F.col(f"_z._rows._rest.{c}").alias(c) for c in others], f"_z.{out}").select(*df.columns, out)
 
 
 def _kind(df: DataFrame, x: Column) -> str:

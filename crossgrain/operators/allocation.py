@@ -8,23 +8,19 @@ from pyspark.sql import functions as F
 from crossgrain.functions.frames import across, folded
 
 
-def capped(weights: DataFrame, cap: float, rounds: int = 20) -> DataFrame:
+def capped(weights: DataFrame, cap: float) -> DataFrame:
     """Weights of a date cut at ``cap``, what is cut going to the others in proportion; equal where the cap cannot be met.
 
-    A date's weights are one array, folded ``rounds`` times: a book is a few hundred names at most.
+    Those cut are the largest: as many as it takes for the next to stay within the cap once it has its part. That is where cutting again
+    and again ends.
     """
-    book = weights.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight"))).alias("b"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def step(w: Column, _: Column) -> Column:
-        over = total(F.transform(w, lambda x: F.greatest(x - cap, F.lit(0.0))))
-        free = total(F.filter(w, lambda x: x < cap))
-        return F.transform(w, lambda x: F.when(x >= cap, F.lit(cap)).otherwise(x + F.when(free > 0, over * x / F.when(free > 0, free)).otherwise(0.0)))
-
-    start = F.transform("b", lambda x: x["weight"])
-    done = F.when(F.size("b") * cap <= 1, F.transform("b", lambda x: 1.0 / F.size("b"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
-    d = book.select("date", F.explode(F.arrays_zip(F.col("b.symbol").alias("symbol"), done.alias("weight"))).alias("z"))
-    return d.select("date", "z.symbol", "z.weight")
+    w, down = across("date"), Window.partitionBy("date").orderBy(F.desc("weight"), "symbol")
+    d = weights.withColumns({"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(down) - 1, "_rest": F.sum("weight").over(down.rowsBetween(0, Window.unboundedFollowing))})
+    scale = F.try_divide(1 - F.col("_k") * cap, F.col("_rest"))
+    d = d.withColumn("_fit", F.when(F.col("weight") * scale <= cap * (1 + 1e-12), F.struct(F.col("_k"), scale.alias("scale"))))
+    d = d.withColumn("_at", F.min("_fit").over(w))
+    cut = F.when(F.col("_k") < F.col("_at._k"), F.lit(cap)).otherwise(F.col("weight") * F.col("_at.scale"))
+    return d.select("date", "symbol", F.when(F.col("_n") * cap <= 1, 1.0 / F.col("_n")).otherwise(cut).alias("weight"))
 
 
 def expected_returns(panel: DataFrame, spread: float) -> Column:
@@ -52,29 +48,49 @@ def exponential_covariance(returns: DataFrame, half_life: float) -> DataFrame:
     return a.join(b, "date").groupBy("i", "j").agg((F.sum(F.col("w") * F.col("x") * F.col("y")) / (1 - F.sum(F.col("w") * F.col("w")))).alias("cov"))
 
 
-def breaker(curves: DataFrame, *, halt: float, resume: float) -> DataFrame:
-    """(book_id, date, halted, event): a book halts at a drawdown of ``halt`` and resumes within ``resume`` of its peak."""
-    start = F.struct(F.lit(0.0).alias("peak"), F.lit(False).alias("halted"), F.lit("").alias("event"))
+def breaker(curves: DataFrame, *, halt: float, resume: float, cooldown: int = 10) -> DataFrame:
+    """(book_id, date, halted, event): a book halts at a drawdown of ``halt``, and resumes within ``resume`` of its peak or after ``cooldown`` rows, when the peak starts anew."""
+    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0).alias("since"), F.lit(False).alias("halted"), F.lit("").alias("event"))
 
     def step(s: Column, value: Column) -> Column:
-        peak = F.greatest(s["peak"], value)
-        drawdown = 1 - value / peak
-        halted = F.when(s["halted"], drawdown > resume).otherwise(drawdown >= halt)
+        peak, since = F.greatest(s["peak"], value), s["since"] + 1
+        drawdown = F.when(peak > 0, 1 - value / peak).otherwise(0.0)
+        over = s["halted"] & (since >= cooldown)
+        halted = F.when(s["halted"], (drawdown > resume) & ~over).otherwise(drawdown >= halt)
         event = F.when(halted & ~s["halted"], "HALT").when(~halted & s["halted"], "RESUME").otherwise("")
-        return F.struct(peak.alias("peak"), halted.alias("halted"), event.alias("event"))
+        return F.struct(F.when(over, value).otherwise(peak).alias("peak"), F.when(halted & s["halted"], since).otherwise(0).alias("since"), halted.alias("halted"), event.alias("event"))
 
     d = folded(curves, start, step, F.col("value"), key="book_id")
     return d.select("book_id", "date", F.col("state.halted").alias("halted"), F.col("state.event").alias("event"))
 
 
+def binomial_tail(wins: Column, total: Column) -> Column:
+    """The chance of ``wins`` or more of ``total`` at even odds."""
+    ways = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.log((total - k + i) / i)).otherwise(0.0))
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(wins, total), F.lit(0.0), lambda a, k: a + F.exp(ways(k) - total * F.log(F.lit(2.0)))))
+
+
 def learned_weights(trades: DataFrame, base: dict[str, float], *, strength: float = 20.0, least: float = 5.0) -> DataFrame:
-    """(trigger, wins, total, rate, weight): base weights scaled by shrunk win rates, floored and brought to 100; triggers are a handful."""
+    """(trigger, wins, total, rate, p_value, weight): base weights scaled by shrunk win rates, floored and brought to 100, one decimal, the rounding's rest on the largest; triggers are a handful.
+
+    ``p_value`` is the exact binomial tail on the side of the wins.
+    """
     w = Window.partitionBy(F.lit(0))
     known = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
     d = trades.groupBy("trigger").agg(F.count_if("won").alias("wins"), F.count(F.lit(1)).alias("total"))
     rate = (F.col("wins") + strength * 0.5) / (F.col("total") + strength)
     d = d.withColumns({"rate": rate, "raw": F.greatest(F.try_element_at(known, F.col("trigger")) * rate * 2, F.lit(least))})
-    return d.select("trigger", "wins", "total", "rate", (100 * F.col("raw") / F.sum("raw").over(w)).alias("weight"))
+    d = d.withColumn("even", F.floor(1000 * F.col("raw") / F.sum("raw").over(w) + 0.5) / 10)
+    first = F.row_number().over(w.orderBy(F.desc("raw"), "trigger")) == 1
+    p = F.when(F.col("wins") * 2 >= F.col("total"), binomial_tail(F.col("wins"), F.col("total"))).otherwise(binomial_tail(F.col("total") - F.col("wins"), F.col("total")))
+    return d.select("trigger", "wins", "total", "rate", p.alias("p_value"), (F.col("even") + F.when(first, 100 - F.sum("even").over(w)).otherwise(0.0)).alias("weight"))
+
+
+def validated_flows(lines: DataFrame) -> DataFrame:
+    """(date, fii_net, dii_net, restated) of raw ``lines(date, line, fii_net, dii_net)``: what is no number is left out, and the last line of a date counts."""
+    typed = lines.select("date", "line", *[F.col(c).try_cast("double").alias(c) for c in ("fii_net", "dii_net")]).where("date is not null and fii_net is not null and dii_net is not null")
+    d = typed.groupBy("date").agg(F.max_by(F.struct("fii_net", "dii_net"), "line").alias("l"), F.count(F.lit(1)).alias("restated"))
+    return d.select("date", "l.fii_net", "l.dii_net", "restated")
 
 
 def verdicts(signals: DataFrame, model: str) -> DataFrame:

@@ -88,11 +88,17 @@ def sequences(rows: DataFrame, columns: list[str], length: int, target: str) ->
     return d.where((F.size("window") == length) & F.col(target).isNotNull()).select("symbol", "date", "window", F.col(target).alias("target"))
 
 
-def chronological_split(rows: DataFrame, shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
-    """``role``: the first 70 % of a symbol's rows train, the next 15 % validate, the rest test."""
-    i = F.row_number().over(own()) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return rows.withColumns({"_i": i, "_n": n}).withColumn("role", F.when(F.col("_i") < F.floor(F.col("_n") * shares[0]), "train").when(F.col("_i") < F.floor(F.col("_n") * shares[1]), "validation").otherwise("test")).drop("_i", "_n")
+def chronological_split(rows: DataFrame, shares: tuple[float, float] = (0.70, 0.85), *, horizon: int = 1) -> DataFrame:
+    """``role`` by date: the first 70 % of the dates train, the next 15 % validate, the rest test, for all symbols alike.
+
+    A block's last ``horizon`` dates before the next block have labels that reach into it; their rows are left out.
+    """
+    w = Window.partitionBy(F.lit(0))
+    dates = rows.select("date").distinct().withColumns({"_i": F.row_number().over(w.orderBy("date")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    first, second = (F.floor(F.col("_n") * x) for x in shares)
+    role = F.when(F.col("_i") < first - horizon, "train").when((F.col("_i") >= first) & (F.col("_i") < second - horizon), "validation").when(F.col("_i") >= second, "test")
+    dates = dates.select("date", role.alias("role")).where("role is not null")
+    return rows.join(F.broadcast(dates), "date").select(*rows.columns, "role")
 
 
 #: Symbols of a block; two blocks meet in one task.

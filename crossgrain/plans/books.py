@@ -88,22 +88,22 @@ def g19(spark, sf):
     return out(d.crossJoin(F.broadcast(prior)).select("symbol", ((F.col("mu") * F.col("tau2") + F.col("m") * F.col("noise")) / total).alias("posterior"), F.sqrt(F.col("tau2") * F.col("noise") / total).alias("sd"), (F.col("noise") / total).alias("shrinkage")))
 
 
-FEW = "fr AS (SELECT * FROM rt WHERE CAST(symbol AS INTEGER) <= 20 AND ret IS NOT NULL), cv AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.ret) AS cov FROM fr a JOIN fr b USING (date) GROUP BY ALL)"
+FEW = "fr AS (SELECT * FROM rt WHERE ret IS NOT NULL), cv AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.ret) AS cov FROM fr a JOIN fr b USING (date) GROUP BY ALL)"
 
 
-def few_returns(spark, sf) -> DataFrame:
-    """A book of twenty names; a covariance is of a book, not of all names."""
-    return monthly_returns(spark, sf).where("cast(symbol as int) <= 20 and ret is not null")
+def book_returns_of_all(spark, sf) -> DataFrame:
+    """The returns of all names. A covariance is a row for each two of them: names squared, whatever the dates."""
+    return monthly_returns(spark, sf).where("ret is not null")
 
 
 @query("G31_covariance", sql(bars_sql("month"), MONTHLY, FEW, select="SELECT i, j, round(cov, 6) AS cov FROM cv"))
 def g31(spark, sf):
-    return out(books.covariance(few_returns(spark, sf)))
+    return out(books.covariance(book_returns_of_all(spark, sf)))
 
 
 @query("G30_book_risk", sql(bars_sql("month"), MONTHLY, FEW, "w AS (SELECT DISTINCT symbol, 1.0 / (SELECT count(DISTINCT symbol) FROM fr) AS weight FROM fr), c AS (SELECT cv.*, a.weight * b.weight * cov AS c, a.weight AS wi FROM cv JOIN w a ON a.symbol = i JOIN w b ON b.symbol = j)", select="SELECT round(sqrt(sum(c)),6) volatility, round(sqrt(sum(c) FILTER (WHERE i=j)),6) independent, round(sqrt(sum(c))/sqrt(sum(c) FILTER (WHERE i=j)),6) correlation_multiple, round(sum(wi*sqrt(cov)) FILTER (WHERE i=j)/sqrt(sum(c)),6) diversification FROM c"))
 def g30(spark, sf):
-    r = few_returns(spark, sf)
+    r = book_returns_of_all(spark, sf)
     names = r.select("symbol").distinct()
     n = names.agg(F.count(F.lit(1)).alias("n"))
     weights = names.crossJoin(F.broadcast(n)).select("symbol", (1.0 / F.col("n")).alias("weight"))
@@ -112,13 +112,13 @@ def g30(spark, sf):
 
 @query("G33_single_factor_covariance", sql(bars_sql("month"), MONTHLY, FEW, "f AS (SELECT date, avg(ret) AS m FROM fr GROUP BY date), be AS (SELECT symbol, regr_slope(ret, m) AS beta, var_samp(ret) - pow(regr_slope(ret, m), 2) * var_samp(m) AS own FROM fr JOIN f USING (date) GROUP BY symbol), vf AS (SELECT var_samp(m) AS v FROM f)", select="SELECT a.symbol AS i, b.symbol AS j, round(a.beta * b.beta * v + CASE WHEN a.symbol = b.symbol THEN greatest(a.own, 0) ELSE 0 END, 6) AS cov FROM be a, be b, vf"))
 def g33(spark, sf):
-    r = few_returns(spark, sf)
+    r = book_returns_of_all(spark, sf)
     f = r.groupBy("date").agg(F.avg("ret").alias("m"))
     slope = F.regr_slope("ret", "m")
     be = r.join(f, "date").groupBy("symbol").agg(slope.alias("beta"), (F.var_samp("ret") - slope * slope * F.var_samp("m")).alias("own"))
     v = f.agg(F.var_samp("m").alias("v"))
     a, b = be.select(F.col("symbol").alias("i"), F.col("beta").alias("bi"), "own"), be.select(F.col("symbol").alias("j"), F.col("beta").alias("bj"))
-    d = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(v))  # twenty names and one row
+    d = a.crossJoin(b).crossJoin(F.broadcast(v))  # the answer has a row for each two names; the last is one row
     return out(d.select("i", "j", (F.col("bi") * F.col("bj") * F.col("v") + F.when(F.col("i") == F.col("j"), F.greatest("own", F.lit(0.0))).otherwise(0.0)).alias("cov")))
 
 

@@ -107,7 +107,10 @@ def decay(spark, sf):
     return out(metrics.decay(scored(spark, sf, horizons=HORIZONS), HORIZONS))
 
 
-@query("G8_half_life")
+HALF = "pk AS (SELECT horizon AS peak_horizon, mean_ic AS peak_ic FROM dc ORDER BY abs(mean_ic) DESC, horizon LIMIT 1), hv AS (SELECT horizon, mean_ic * sign(peak_ic) AS v, abs(peak_ic) / 2 AS half, peak_horizon FROM dc, pk WHERE horizon >= peak_horizon), hc AS (SELECT h0 + (v0 - half) / (v0 - v) * (horizon - h0) AS half_life FROM (SELECT *, lag(v) OVER (ORDER BY horizon) AS v0, lag(horizon) OVER (ORDER BY horizon) AS h0 FROM hv) WHERE v0 > half AND v <= half ORDER BY horizon LIMIT 1)"
+
+
+@query("G8_half_life", decay_sql().rstrip() + ", " + HALF + " SELECT peak_horizon, round(peak_ic, 6) AS peak_ic, round(half_life, 6) AS half_life FROM pk LEFT JOIN hc ON true")
 def half_life(spark, sf):
     return out(metrics.half_life(metrics.decay(scored(spark, sf, horizons=HORIZONS), HORIZONS)))
 

@@ -95,7 +95,7 @@ def w34(spark, sf):
     return d.select("symbol", "date", rounding(F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]), 5).alias("total"), rounding("target", 6).alias("target"))
 
 
-@query("M6_training_panel", sql(scored_sql(), f"l AS (SELECT symbol, date, 2 * {average_rank_sql('forward_return')} / (count(*) OVER (PARTITION BY date) + 1) - 1 AS label, (score - avg(score) OVER d) / nullif(stddev_pop(score) OVER d, 0) AS z, count(*) OVER d AS names FROM p WINDOW d AS (PARTITION BY date)), c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM l WHERE names >= 5)", select="SELECT symbol, date, round(label, 6) AS label, round(coalesce(least(greatest(coalesce(z, 0), -10), 10), 0), 6) AS score_z, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'validation' ELSE 'test' END AS role FROM c"))
+@query("M6_training_panel", sql(scored_sql(), f"l AS (SELECT symbol, date, 2 * {average_rank_sql('forward_return')} / (count(*) OVER (PARTITION BY date) + 1) - 1 AS label, (score - avg(score) OVER d) / nullif(stddev_pop(score) OVER d, 0) AS z, count(*) OVER d AS names FROM p WINDOW d AS (PARTITION BY date)), dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM l WHERE names >= 5)), c AS (SELECT l.*, CASE WHEN i < floor(n * 0.7) - 1 THEN 'train' WHEN i >= floor(n * 0.7) AND i < floor(n * 0.85) - 1 THEN 'validation' WHEN i >= floor(n * 0.85) THEN 'test' END AS role FROM l JOIN dd USING (date) WHERE names >= 5)", select="SELECT symbol, date, round(label, 6) AS label, round(coalesce(least(greatest(coalesce(z, 0), -10), 10), 0), 6) AS score_z, role FROM c WHERE role IS NOT NULL"))
 def m6(spark, sf):
     from crossgrain.functions.frames import percentile_rank
     from crossgrain.operators.pit import zscored
@@ -186,11 +186,13 @@ def g44(spark, sf):
     return out(d.agg(F.count(F.lit(1)).alias("periods"), total.alias("log_total"), (F.exp(total * 52.0 / F.count(F.lit(1))) - 1).alias("annual"), (F.stddev_samp("r") * 52**0.5).alias("volatility"), (F.avg("r") / F.stddev_samp("r") * 52**0.5).alias("sharpe"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate")))
 
 
-@query("G42_fingerprint", sql(bars_sql(), select="SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, substr(sha256(string_agg(DISTINCT symbol, chr(10) ORDER BY symbol)), 1, 12) AS universe FROM b"))
+@query("G42_fingerprint", sql(bars_sql(), "h AS (SELECT symbol, md5(string_agg(CAST(date AS VARCHAR) || '|' || CAST(CAST(floor(close * 10000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY date)) AS m, count(*) AS n FROM b GROUP BY symbol)", select="SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS symbols, CAST(bit_xor(CAST('0x' || substr(md5(symbol), 1, 15) AS BIGINT)) AS BIGINT) AS universe, CAST(bit_xor(CAST('0x' || substr(md5(symbol || m), 1, 15) AS BIGINT)) AS BIGINT) AS content FROM h"))
 def g42(spark, sf):
-    b = bars(spark, sf)
-    names = b.select("symbol").distinct().agg(F.array_join(F.array_sort(F.collect_list("symbol")), "\n").alias("s"), F.count(F.lit(1)).alias("symbols"))
-    return b.agg(F.count(F.lit(1)).alias("rows")).crossJoin(names).select("rows", "symbols", F.left(F.sha2("s", 256), F.lit(12)).alias("universe"))
+    """Of the names and of what was read: a hash for each symbol's series, brought together in any order."""
+    line = F.concat_ws("|", F.col("date").cast("string"), F.floor(F.col("close") * 10000 + 0.5).cast("long").cast("string"))
+    h = bars(spark, sf).groupBy("symbol").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("l")))), lambda x: x["l"]), ",").cast("binary")).alias("m"), F.count(F.lit(1)).alias("n"))
+    number = lambda c: F.conv(F.left(F.md5(c.cast("binary")), F.lit(15)), 16, 10).cast("long")
+    return h.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("symbols"), F.bit_xor(number(F.col("symbol"))).alias("universe"), F.bit_xor(number(F.concat("symbol", "m"))).alias("content"))
 
 
 @query("J7_exposures", sql(scored_sql(), GRID.replace("gr AS", "gr AS", 1), select="SELECT p.date, p.symbol, round(p.score, 6) AS score, round(beta, 6) AS beta FROM p LEFT JOIN iv ON p.symbol = iv.symbol AND p.date = iv.date").replace("count(y) OVER f >= 6", "count(y) OVER f >= 13").replace("ROWS BETWEEN 11 PRECEDING", "ROWS BETWEEN 25 PRECEDING").replace("n >= 6", "n >= 13"))

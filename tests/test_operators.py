@@ -54,6 +54,21 @@ def test_fold_is_the_recursion(spark):
     assert got["b", day(0)] == 4.0
 
 
+def test_folds_keep_rows_that_share_a_date(spark):
+    rows = [("a", dt.date(2020, 1, 1), 1.0, "p"), ("a", dt.date(2020, 1, 1), 2.0, "q"), ("a", dt.date(2020, 1, 2), 4.0, None)]
+    got = folded(spark.createDataFrame(rows, "symbol string, date date, x double, note string"), F.lit(0.0), lambda s, x: s + x, F.col("x"), chunk=2).collect()
+    assert sorted((r.date.day, r.x, r.note or "", r.state) for r in got) == [(1, 1.0, "p", 1.0), (1, 2.0, "q", 3.0), (2, 4.0, "", 7.0)]
+
+
+def test_splits_are_by_date_and_purged(spark):
+    from crossgrain.operators.market import chronological_split
+
+    rows = [(s, dt.date(2020, 1, d)) for s in "ab" for d in range(1, 21) if s == "a" or d > 10]
+    got = {(r.symbol, r.date.day): r.role for r in chronological_split(spark.createDataFrame(rows, "symbol string, date date"), horizon=2).collect()}
+    want = {d: "train" if d <= 12 else "validation" if d == 15 else "test" if d >= 18 else None for d in range(1, 21)}
+    assert got == {(s, d.day): want[d.day] for s, d in rows if want[d.day]}
+
+
 def test_as_of_takes_the_latest_known_value(spark):
     grid = spark.createDataFrame([("a", day(i)) for i in range(5)], "symbol string, date date")
     facts = spark.createDataFrame([("a", day(1), 1.0), ("a", day(3), None), ("a", day(4), 9.0)], "symbol string, at date, v double")
