@@ -51,6 +51,12 @@ def read_sectors(spark: SparkSession, path: str | None) -> DataFrame:
     return rows.where("symbol <> '' and sector <> ''").groupBy("symbol").agg(F.max_by("sector", "line").alias("sector"))
 
 
+def as_fractions(curve: DataFrame) -> DataFrame:
+    """A risk-free curve in fractions; one whose values pass 1 is in percent."""
+    most = curve.agg((F.max(F.abs("annualized_yield")) > 1).alias("_percent"))
+    return curve.crossJoin(F.broadcast(most)).select("date", F.when(F.col("_percent"), F.col("annualized_yield") / 100).otherwise(F.col("annualized_yield")).alias("annualized_yield"))
+
+
 def log_trial(trial: DataFrame, path: str) -> None:
     trial.write.mode("append").json(path)
 
