@@ -6,12 +6,12 @@ alone; ``close`` is the row's own, and momentum starts where its skip ends.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.functions.frames import change, folded, full, own
+from crossgrain.functions.frames import change, dense, folded, full, own
 
 #: Price limits and how close a move must come to one; fixed values.
 BANDS = (0.01, 0.02, 0.05, 0.10, 0.20)
@@ -195,3 +195,12 @@ def intraday_and_overnight(bars: DataFrame) -> DataFrame:
     """Close over open, and open over the close before; complete rows only."""
     d = bars.withColumns({"intraday": F.try_divide(F.col("close"), F.col("open")) - 1, "overnight": F.try_divide(F.col("open"), F.lag("close").over(own())) - 1})
     return d.where("intraday is not null and overnight is not null")
+
+
+def cross_sectional(bars: DataFrame, inputs: Sequence[str], made: dict[str, Callable[[dict[str, Column]], Column]], *, lag: int = 1) -> DataFrame:
+    """(symbol, date, features): each of ``made`` sees its inputs only as they stood ``lag`` rows before, on the dense grid of symbols and dates."""
+    if lag < 1:
+        raise ValueError("inputs have to be at least a row old")
+    seen = dense(bars, inputs).select("symbol", "date", *[F.lag(c, lag).over(own()).alias(c) for c in inputs])
+    known = {c: F.col(c) for c in inputs}
+    return seen.select("symbol", "date", *[make(known).alias(name) for name, make in made.items()])

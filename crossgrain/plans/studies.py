@@ -1,27 +1,28 @@
-"""Queries over trials, pairs, recommendations and models (P4, J10, J15, G24, G26, G41, G46, W39, K7, K14, M4, M8-M11) and files."""
+"""Queries over trials, pairs, recommendations and models (P4, J10, J15, G24, G26, G41, G46, W39, K7, K14, M4, M8-M11), files (A7-A13), lags (W23) and streams."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.functions.frames import change, full, rounding
-from crossgrain.operators import books, grouped, market, metrics, pit, studies
-from crossgrain.plans.books import CURVES
+from crossgrain.functions.frames import across, change, full, rounding
+from crossgrain.operators import books, features, grouped, market, metrics, pit, studies
+from crossgrain.plans.allocation import W29
+from crossgrain.plans.books import CURVES, curves
 from crossgrain.plans.common import bucketed_sql, ic_sql, out, scored, scored_sql, sql
 from crossgrain.plans.evaluation import HORIZONS, MARKET
 from crossgrain.plans.features import frame
 from crossgrain.plans.grouped import WINDOWS, cdf_sql, quantile_sql, windows
 from crossgrain.plans.market import top_by, top_sql
 from crossgrain.plans.pit import FACTS, FLOATS, SECTORS, facts, floats, sectors
+from crossgrain.plans.quality import DIRTY, V1, V2, V3, dirty
 from crossgrain.plans.registry import query
 from crossgrain.plans.signals import FEATURES_SQL, select_sql, selected
 from crossgrain.sources import files
-from crossgrain.sources.bars import bars, bars_sql, table
+from crossgrain.sources.bars import BAR, bars, bars_sql, table, write_bars
+from crossgrain.streaming import bars as streaming
 
 
 @query("P4_seeded_symbols")
@@ -214,19 +215,8 @@ def m11(spark, sf):
 # ---- files ---------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that driver and executors share; only a local session without one is given a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-files-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def through_csv(df: DataFrame, name: str) -> str:
-    path = scratch(df.sparkSession, name)
+    path = files.scratch(df.sparkSession, name)
     df.write.option("header", True).csv(path)
     return path
 
@@ -262,7 +252,7 @@ def a10(spark, sf):
 @query("A11_trial_log", "SELECT 'trial ' || CAST(s_suppkey AS VARCHAR) AS label, round(s_acctbal / 1000, 6) AS sharpe, CAST(s_nationkey AS VARCHAR) AS config_hash FROM supplier")
 def a11(spark, sf):
     """Written in two appends, with lines that are no trial between them."""
-    path = scratch(spark, "trials")
+    path = files.scratch(spark, "trials")
     s = table(spark, sf, "supplier")
     t = s.select(F.concat_ws(" ", F.lit("trial"), F.col("s_suppkey").cast("string")).alias("label"), (F.col("s_acctbal") / 1000).alias("sharpe"), F.col("s_nationkey").cast("string").alias("config_hash"))
     files.log_trial(t.where(s.s_suppkey % 2 == 0), path)
@@ -280,3 +270,45 @@ def a12(spark, sf):
     changes = o.where("o_orderkey % 3 = 0").select(*row(F.col("o_totalprice") * 2, F.when(F.col("o_orderkey") % 2 == 0, "PENDING").otherwise("WIN")))
     d = files.trade_history(files.open_trades(files.upserted(known, changes, key="trade_id")))
     return d.select("trade_id", "entry_date", rounding("entry_price", 2).alias("entry_price"))
+
+
+@query("A13_written_bars", sql(bars_sql("month"), select="SELECT symbol, date, round(close, 6) AS close FROM b WHERE CAST(symbol AS INTEGER) % 7 <> 0"))
+def a13(spark, sf):
+    """Every seventh symbol has no number at all and is not written."""
+    b, path = bars(spark, sf, "month"), files.scratch(spark, "bars")
+    none = F.col("symbol").cast("int") % 7 == 0
+    write_bars(b.select("symbol", "date", *[F.when(~none, F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")]), path)
+    return spark.read.parquet(path).select("symbol", "date", rounding("close", 6).alias("close"))
+
+
+@query("W23_lagged_inputs", sql(bars_sql("month"), "gr AS (SELECT s.symbol, d.date, b.close, b.volume FROM (SELECT DISTINCT symbol FROM b) s CROSS JOIN (SELECT DISTINCT date FROM b) d LEFT JOIN b ON b.symbol = s.symbol AND b.date = d.date), lg AS (SELECT symbol, date, lag(close) OVER w AS c, lag(volume) OVER w AS v FROM gr WINDOW w AS (PARTITION BY symbol ORDER BY date))", select="SELECT symbol, date, round(c / avg(c) OVER (PARTITION BY date), 6) AS relative_price, round(ln(c * v), 6) AS log_value FROM lg"))
+def w23(spark, sf):
+    """Features of a date's cross-section, whose inputs are all as they stood a row before."""
+    made = {"relative_price": lambda c: c["close"] / F.avg(c["close"]).over(across("date")), "log_value": lambda c: F.log(c["close"] * c["volume"])}
+    return out(features.cross_sectional(bars(spark, sf, "month"), ["close", "volume"], made))
+
+
+def replayed(df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = files.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query("S2_ingest_gate", sql(bars_sql("day"), DIRTY, f"va AS ({V1} UNION ALL {V2} UNION ALL {V3})", select="SELECT symbol, count(*) AS rows, symbol NOT IN (SELECT symbol FROM va) AS accepted FROM d GROUP BY symbol"))
+def s2(spark, sf):
+    """Daily bars with planted faults arrive as a stream; both tables it is parted into are read back."""
+    good, bad = files.scratch(spark, "accepted"), files.scratch(spark, "quarantine")
+    stream = replayed(dirty(spark, sf).select("symbol", "date", "open", "high", "low", "close", "volume").coalesce(1), "arrivals")
+    streaming.gate(stream, good, bad, files.scratch(spark, "gate")).awaitTermination()
+    count = lambda path, ok: spark.read.schema(BAR).parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")).withColumn("accepted", F.lit(ok))
+    return count(good, True).unionByName(count(bad, False))
+
+
+@query("S3_breaker_events", "WITH RECURSIVE " + ",".join([bars_sql("month"), CURVES, "n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY date) AS i FROM cu)", W29]) + " SELECT book_id, date, event FROM br WHERE event <> ''")
+def s3(spark, sf):
+    """The curves of all books arrive as a stream; state is kept for each book."""
+    path = files.scratch(spark, "events")
+    events = streaming.breaker(replayed(curves(spark, sf).select("book_id", "date", "value").coalesce(1), "curves"), halt=0.15, resume=0.05, cooldown=10)
+    events.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", files.scratch(spark, "breaker")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(streaming.BREAKER).parquet(path).select("book_id", "date", "event")
