@@ -9,6 +9,7 @@ from crossgrain.functions import expressions as X
 from crossgrain.operators import books, metrics, pit
 from crossgrain.plans.common import BUCKETS, average_rank_sql, bucketed_sql, ic_sql, out, scored, scored_sql, sql
 from crossgrain.plans.registry import query
+from crossgrain.sources import files
 
 LAGS = 2
 RT = X.round_trip()
@@ -104,7 +105,7 @@ def decay_sql() -> str:
 
 @query("G8_decay", decay_sql() + "SELECT horizon, round(mean_ic,6) mean_ic, dates, round(t,6) t FROM dc")
 def decay(spark, sf):
-    return out(metrics.decay(scored(spark, sf, horizons=HORIZONS), HORIZONS))
+    return out(metrics.decay(files.written(scored(spark, sf, horizons=HORIZONS), "panel"), HORIZONS))
 
 
 HALF = "pk AS (SELECT horizon AS peak_horizon, mean_ic AS peak_ic FROM dc ORDER BY abs(mean_ic) DESC, horizon LIMIT 1), hv AS (SELECT horizon, mean_ic * sign(peak_ic) AS v, abs(peak_ic) / 2 AS half, peak_horizon FROM dc, pk WHERE horizon >= peak_horizon), hc AS (SELECT h0 + (v0 - half) / (v0 - v) * (horizon - h0) AS half_life FROM (SELECT *, lag(v) OVER (ORDER BY horizon) AS v0, lag(horizon) OVER (ORDER BY horizon) AS h0 FROM hv) WHERE v0 > half AND v <= half ORDER BY horizon LIMIT 1)"
@@ -112,7 +113,8 @@ HALF = "pk AS (SELECT horizon AS peak_horizon, mean_ic AS peak_ic FROM dc ORDER
 
 @query("G8_half_life", decay_sql().rstrip() + ", " + HALF + " SELECT peak_horizon, round(peak_ic, 6) AS peak_ic, round(half_life, 6) AS half_life FROM pk LEFT JOIN hc ON true")
 def half_life(spark, sf):
-    return out(metrics.half_life(metrics.decay(scored(spark, sf, horizons=HORIZONS), HORIZONS)))
+    panel = files.written(scored(spark, sf, horizons=HORIZONS), "panel")
+    return out(metrics.half_life(files.written(metrics.decay(panel, HORIZONS), "decay")))
 
 
 FOLDS = """dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p)),
@@ -195,7 +197,7 @@ TWO = "p2 AS (SELECT *, 'momentum' AS strategy FROM p UNION ALL SELECT date, sym
     ),
 )
 def rollup(spark, sf):
-    return out(metrics.evaluated(two_strategies(spark, sf), buckets=BUCKETS, lags=LAGS))
+    return out(metrics.evaluated(files.written(two_strategies(spark, sf), "panel"), buckets=BUCKETS, lags=LAGS))
 
 
 SECTOR = "sx AS (SELECT p.*, coalesce(n_name, 'UNKNOWN') AS sector, ln(volume) AS size FROM p LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0) ON CAST(s_suppkey AS VARCHAR) = symbol)"

@@ -9,6 +9,7 @@ from crossgrain.operators import quality as q
 from crossgrain.plans.common import out, sql
 from crossgrain.plans.features import ADJUSTED, adjusted
 from crossgrain.plans.registry import query
+from crossgrain.sources import files
 from crossgrain.sources.bars import bars, bars_sql, table
 
 SEQ = "CAST(symbol AS INTEGER) * 1000000 + date_diff('day', DATE '1992-01-01', date) AS seq"
@@ -129,7 +130,7 @@ VX = V7.replace("c < 300", "c < 252")
 
 @query("V10_store_report", sql(bars_sql(), MOVES, CAL, "d AS (SELECT * FROM b)", f"va AS ({V1} UNION ALL {V2} UNION ALL {V3} UNION ALL " + violation_sql("mv", "m >= 0.25 AND m < 0.6", "extreme_return", "advisory", "return") + " UNION ALL " + violation_sql("mv", "m >= 0.6", "split_scale_return", "advisory", "return") + f" UNION ALL {VX} UNION ALL {V8})", select="SELECT \"check\", severity, count(*) AS symbols, CAST(sum(count) AS BIGINT) AS violations FROM va GROUP BY ALL"))
 def v10(spark, sf):
-    return q.report(bars(spark, sf)).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("symbols"), F.sum("count").alias("violations"))
+    return q.report(files.written(bars(spark, sf), "bars")).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("symbols"), F.sum("count").alias("violations"))
 
 
 @query("V11_ingest_gate", sql(bars_sql("day"), DIRTY, f"va AS ({V1})", select="SELECT symbol, count(*) AS rows, symbol NOT IN (SELECT symbol FROM va) AS accepted FROM d GROUP BY symbol"))
