@@ -37,6 +37,8 @@ NOISE = 3 / DIM**0.5
 FEW_GRAMS = 20
 #: Texts are folded to letter codes in blocks of about this many characters.
 BLOCK_CHARS = 1 << 20
+#: Stands between texts that are counted together: no n-gram reaches over it (a private code point, no letter).
+MARK = 0xE000
 #: n-grams whose vectors are held ready in a task.
 HELD_GRAMS = 1 << 15
 
@@ -47,6 +49,7 @@ class Letters:
     def __init__(self, dim: int, seed: int, size: int) -> None:
         self.dim, self.seed, self.size = dim, seed, size
         self.known = np.full(0x110000, -1, np.int32)  # code point -> lower-case letter, 0 for what is no letter
+        self.known[MARK] = MARK
         self.vectors: dict[tuple[int, int], np.ndarray] = {}
         self.grams: dict[int, np.ndarray] = {}
 
@@ -71,6 +74,8 @@ class Letters:
         gram = code[: len(code) - self.size + 1].copy()
         for i in range(1, self.size):
             gram = gram << 21 | code[i : len(code) - self.size + 1 + i]
+        if (code == MARK).any():  # none that reaches over a mark
+            gram = gram[np.all([gram >> 21 * i & 0x1FFFFF != MARK for i in range(self.size)], 0)]
         return np.unique(gram, return_counts=True)
 
     def vector(self, letter: int, turns: int) -> np.ndarray:
@@ -143,12 +148,12 @@ def gram_counts(docs: DataFrame, *, size: int) -> DataFrame:
                 texts.setdefault(lang, []).append(text)
             for lang, own in texts.items():
                 at = 0
-                while at < len(own):  # whole texts, some at a time; a boundary stands between them
+                while at < len(own):  # whole texts, some at a time
                     to, chars = at, 0
                     while to < len(own) and (to == at or chars + len(own[to]) <= BLOCK_CHARS):
                         chars += len(own[to])
                         to += 1
-                    grams, counts = letters.counts("\n".join(own[at:to]))
+                    grams, counts = letters.counts(f"\n{chr(MARK)}\n".join(own[at:to]))
                     yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
                     at = to
 

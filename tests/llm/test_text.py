@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -358,3 +359,60 @@ def test_language_edge_rows(spark):
     assert got[3] == got[4] == ("und", 0.0) and got[5][0] == "fr" and got[1][0] == "en" and got[1][1] == pytest.approx(1.0)
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
     assert langid.learn(docs.where("false")) == {} and langid.identify(docs.where("false"), learned).count() == 0
+
+
+def plain_languages(rows, dim=1024, seed=11):
+    """(lang_pred, score) of rows (id, text, lang) by the definition: one random vector a letter, letters bound by rotation and product."""
+    drawn = {}
+
+    def vector(c):
+        if c not in drawn:
+            drawn[c] = np.random.default_rng([seed, ord(c) if c != " " else 0]).integers(0, 2, dim, dtype=np.int8).astype(np.int64) * 2 - 1
+        return drawn[c]
+
+    def grams(text):
+        low = "".join(c.lower()[0] if c.lower()[0].isalpha() else " " for c in text)
+        line = f" {' '.join(low.split(' '))} "
+        line = re.sub(" +", " ", line)
+        return Counter(zip(line, line[1:], line[2:])) if line.strip() else Counter()
+
+    held = {}
+
+    def bundle(counts):
+        out = np.zeros(dim)
+        for (x, y, z), n in counts.items():
+            if (x, y, z) not in held:
+                held[x, y, z] = np.roll(vector(x), 2) * np.roll(vector(y), 1) * vector(z)
+            out += n * held[x, y, z]
+        return out
+
+    learned = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, Counter()) + grams(text)
+    sent = {k: v / np.linalg.norm(v) for k, c in sorted(learned.items()) if (v := bundle(c)).any()}
+    out = {}
+    for i, text, _ in rows:
+        own = bundle(grams(text or ""))
+        if not grams(text or ""):
+            out[i] = ("und", 0.0)
+        else:
+            near = {k: float(v @ own) / np.linalg.norm(own) for k, v in sent.items()}
+            best = max(near, key=near.get)
+            out[i] = (best, min(1.0, max(0.0, near[best])))
+    return out
+
+
+def test_language_query_is_the_definition(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = plain_languages(rows)
+    got = langid.op6_langid(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-5)
+
+
+def test_languages_that_tie_and_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (3, "same words", None), (3, "same words", None), (4, "other" * 40_000, None)], "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(docs, langid.learn(docs)).collect()]
+    assert sorted(got)[:4] == [(1, "a"), (2, "a"), (3, "a"), (3, "a")] and len(got) == 5
