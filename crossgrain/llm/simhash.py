@@ -189,14 +189,22 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of ``links`` that is not itself the smallest of its component.
 
     Alternates large-star and small-star steps, each written to the shared
-    folder, until the links no longer change; every step is joins and sums.
+    folder, until every component is a star around its smallest node; every step
+    is joins and sums.
     """
     a, b = F.col(left), F.col(right)
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "links")
-    state = None
-    while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != state:
-        state = now
+    one, none = F.lit(1), F.lit(0)
+    # A star forest: no node has two smaller ones, and none that has one is another's.
+    while not (
+        edges.select(F.col("u").alias("node"), one.alias("smaller"), none.alias("larger"))
+        .union(edges.select("v", none, one))
+        .groupBy("node")
+        .agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+        .where("smaller > 1 or (smaller = 1 and larger = 1)")
+        .isEmpty()
+    ):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

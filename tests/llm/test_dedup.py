@@ -162,6 +162,24 @@ def test_links_of_dense_and_chained_fingerprints(spark, levels):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["none", "chain", "hub", "star", "random"])
+def test_connected_is_the_smallest_node_reachable(spark, kind):
+    rng = random.Random(kind)
+    pairs = {
+        "none": [],
+        "chain": [(i, i + 1) for i in range(70)],
+        "hub": [(i, 50) for i in range(100)],
+        "star": [(i, 0) for i in range(1, 40)] + [(5, 0), (7, 7)],
+        "random": [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(110)],
+    }[kind]
+    top = {}
+    for _ in range(len(pairs) + 1):
+        for a, b in pairs:
+            top[a] = top[b] = min(top.get(a, a), top.get(b, b))
+    found = simhash.connected(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((x, t) for x, t in top.items() if x != t)
+
+
 def test_forests_agree():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
