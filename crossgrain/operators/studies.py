@@ -116,10 +116,11 @@ def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
 # ---- tables to act on ----------------------------------------------------------------------------
 
 
-def recommendations(signals: DataFrame, *, equity: float, risk: float = 0.01, position: float = 0.1, sector: float = 0.25, least_price: float = 10.0) -> DataFrame:
+def recommendations(signals: DataFrame, *, equity: float, risk: float = 0.01, position: float = 0.1, sector: float = 0.25, least_price: float = 10.0, most: float | None = None) -> DataFrame:
     """Signals (date, symbol, sector, signal, score, entry, stop, position_scale) to buy with quantity, investment, largest loss and compliance, best first.
 
     A sector's names are filled in order of score until what they ask for comes to ``sector`` of equity; a quantity is cut to the room that is left.
+    A position worth more than ``most`` of equity (``position`` where that is None) does not comply.
     """
     d = signals.where("signal = 'BUY'").withColumn("wanted", F.floor(risk_quantity(F.lit(equity), F.col("entry"), F.col("stop"), risk, position) * F.col("position_scale")).cast("long"))
     order = Window.partitionBy("date", "sector").orderBy(F.desc("score"), "symbol").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,7 +128,7 @@ def recommendations(signals: DataFrame, *, equity: float, risk: float = 0.01, po
     room = F.floor(F.greatest(F.lit(0.0), sector * equity - before) / F.col("entry")).cast("long")
     d = d.withColumn("quantity", F.least("wanted", room))
     money = F.col("quantity") * F.col("entry")
-    status = F.when(F.col("entry") < least_price, "price").when(F.col("quantity") <= 0, "quantity").when(money > position * equity, "position").otherwise("passed")
+    status = F.when(F.col("entry") < least_price, "price").when(F.col("quantity") <= 0, "quantity").when(money > (position if most is None else most) * equity, "position").otherwise("passed")
     return d.select("date", "symbol", "sector", "score", "quantity", money.alias("investment"), (F.col("quantity") * (F.col("entry") - F.col("stop"))).alias("max_loss"), status.alias("compliance")).orderBy(F.desc("score"), "date", "symbol")
 
 

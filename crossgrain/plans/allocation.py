@@ -13,7 +13,7 @@ from crossgrain.plans.common import BUCKETS, bucketed_sql, out, scored, scored_s
 from crossgrain.plans.features import FLAGS
 from crossgrain.plans.market import FLOWS
 from crossgrain.plans.registry import query
-from crossgrain.plans.signals import FEATURES_SQL, select_sql, selected
+from crossgrain.plans.signals import FEATURES_SQL, TYPICAL, select_sql, selected
 from crossgrain.sources.bars import bars, bars_sql, table
 
 
@@ -71,7 +71,7 @@ def j16(spark, sf):
     return b.where("locked_down").join(held, "symbol", "left_semi").select("symbol", "date")
 
 
-@query("P21_verdicts", sql(bars_sql(), FEATURES_SQL, select_sql("mom", True), select="SELECT date, symbol, 'momentum' AS model, signal AS action, round(score / 100, 4) AS confidence, round((target / entry - 1) * score - (1 - stop / entry) * (100 - score), 4) AS expected_net_ev_pct, reject_reason IS NULL AS liquidity_pass FROM so"))
+@query("P21_verdicts", sql(TYPICAL, FEATURES_SQL, select_sql("mom", True), select="SELECT date, symbol, 'momentum' AS model, signal AS action, round(score / 100, 4) AS confidence, round((target / entry - 1) * score - (1 - stop / entry) * (100 - score), 4) AS expected_net_ev_pct, reject_reason IS NULL AS liquidity_pass FROM so"))
 def p21(spark, sf):
     d = al.verdicts(selected(spark, sf, "mom", True), "momentum")
     return d.withColumns({"confidence": rounding("confidence", 4), "expected_net_ev_pct": rounding("expected_net_ev_pct", 4)})

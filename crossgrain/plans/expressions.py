@@ -136,11 +136,12 @@ def p8(spark, sf):
     return shown(d, price_ok=F.col("price") >= 1000, allowed=F.col("part") % 10 != 0, concentration_ok=F.col("held") <= 300000, reward_ok=X.net_reward_risk(F.col("price"), F.col("stop"), F.col("target"), BUY, SELL) >= 1.0)
 
 
-@query("G29_sector_exposure", """WITH x AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'UNKNOWN' ELSE n_name END AS sector, sum(s_acctbal) AS exposure FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), t AS (SELECT sum(exposure) AS total FROM x)
- SELECT sector, round(exposure, 2) AS exposure, round(greatest(0, CASE WHEN sector = 'UNKNOWN' THEN 0.3 ELSE 0.25 END * total - exposure), 2) AS capacity FROM x, t""")
+@query("G29_sector_exposure", """WITH x AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'UNKNOWN' ELSE n_name END AS sector, sum(CAST(floor(s_acctbal * 100 + 0.5) AS BIGINT)) AS cents FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), t AS (SELECT sum(cents) AS total FROM x)
+ SELECT sector, CAST(cents AS DOUBLE) / 100 AS exposure, CAST(greatest(0, CASE WHEN sector = 'UNKNOWN' THEN 30 ELSE 25 END * total // 100 - cents) AS DOUBLE) / 100 AS capacity FROM x, t""")
 def g29(spark, sf):
     d = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    d = d.groupBy(F.when(F.col("s_suppkey") % 10 == 0, "UNKNOWN").otherwise(F.col("n_name")).alias("sector")).agg(F.sum("s_acctbal").alias("exposure"))
-    total = d.agg(F.sum("exposure").alias("total"))
-    share = F.when(F.col("sector") == "UNKNOWN", 0.30).otherwise(0.25)
-    return d.crossJoin(F.broadcast(total)).select("sector", rounding("exposure", 2).alias("exposure"), rounding(F.greatest(F.lit(0.0), share * F.col("total") - F.col("exposure")), 2).alias("capacity"))
+    d = d.groupBy(F.when(F.col("s_suppkey") % 10 == 0, "UNKNOWN").otherwise(F.col("n_name")).alias("sector")).agg(F.sum(F.floor(F.col("s_acctbal") * 100 + 0.5)).alias("cents"))  # whole cents, which add up alike in any order
+    total = d.agg(F.sum("cents").alias("total"))
+    share = F.when(F.col("sector") == "UNKNOWN", 30).otherwise(25)
+    left = F.greatest(F.lit(0), F.floor(share * F.col("total") / 100) - F.col("cents"))
+    return d.crossJoin(F.broadcast(total)).select("sector", (F.col("cents") / 100).alias("exposure"), (left / 100).alias("capacity"))

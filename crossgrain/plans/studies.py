@@ -19,7 +19,7 @@ from crossgrain.plans.market import top_by, top_sql
 from crossgrain.plans.pit import FACTS, FLOATS, SECTORS, facts, floats, sectors
 from crossgrain.plans.quality import DIRTY, V1, V2, V3, dirty
 from crossgrain.plans.registry import query
-from crossgrain.plans.signals import FEATURES_SQL, select_sql, selected
+from crossgrain.plans.signals import FEATURES_SQL, TYPICAL, select_sql, selected
 from crossgrain.sources import files
 from crossgrain.sources.bars import BAR, bars, bars_sql, table, write_bars
 from crossgrain.streaming import bars as streaming
@@ -140,10 +140,10 @@ RECOMMENDED = """rc AS (SELECT so.date, so.symbol, coalesce(sector, 'UNKNOWN') A
  rq AS (SELECT *, least(wanted, CAST(floor(greatest(0.0, 250000 - coalesce(sum(wanted * entry) OVER (PARTITION BY date, sector ORDER BY score DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / entry) AS BIGINT)) AS quantity FROM rc)"""
 
 
-@query("K14_recommendations", sql(bars_sql(), FEATURES_SQL, select_sql("mom", True), SECTORS, RECOMMENDED, select="SELECT date, symbol, sector, round(score, 2) AS score, quantity, round(quantity * entry, 2) AS investment, round(quantity * (entry - stop), 2) AS max_loss, CASE WHEN entry < 10 THEN 'price' WHEN quantity <= 0 THEN 'quantity' WHEN quantity * entry > 100000 THEN 'position' ELSE 'passed' END AS compliance FROM rq"))
+@query("K14_recommendations", sql(TYPICAL, FEATURES_SQL, select_sql("mom", True), SECTORS, RECOMMENDED, select="SELECT date, symbol, sector, round(score, 2) AS score, quantity, round(quantity * entry, 2) AS investment, round(quantity * (entry - stop), 2) AS max_loss, CASE WHEN entry < 1100 THEN 'price' WHEN quantity <= 0 THEN 'quantity' WHEN quantity * entry > 60000 THEN 'position' ELSE 'passed' END AS compliance FROM rq"))
 def k14(spark, sf):
     d = pit.sectors_of(selected(spark, sf, "mom", True), sectors(spark, sf))
-    r = studies.recommendations(d, equity=1_000_000.0)
+    r = studies.recommendations(d, equity=1_000_000.0, least_price=1100.0, most=0.06)
     return r.select("date", "symbol", "sector", rounding("score", 2).alias("score"), "quantity", rounding("investment", 2).alias("investment"), rounding("max_loss", 2).alias("max_loss"), "compliance")
 
 
