@@ -97,29 +97,76 @@ def moments(rows: DataFrame, column: str, *keys: str) -> DataFrame:
 # ---- trades --------------------------------------------------------------------------------------
 
 
-def barrier_exits(signals: DataFrame, bars: DataFrame, horizon: int | None = None) -> DataFrame:
+def first_touches(asked: DataFrame, bars: DataFrame, *, fanout: int = 64) -> DataFrame:
+    """(key, exit_date, open, high, low) of the first bar from ``at`` on whose low is at or below ``stop`` or high at or above ``target``.
+
+    ``asked`` has key, symbol, at (a place among the symbol's bars), stop and target; ``bars`` has symbol, at, date, open, high
+    and low. A symbol's bars are an index of three levels: ``fanout`` bars to a block, ``fanout`` blocks to a group, with the
+    lowest low and the highest high of each. A question climbs from its bar's block to its group and the symbol's groups, and
+    descends again where a touch is: five equi-joins, each with one row for a question, however far away the touch is.
+    """
+    low, high = F.min("low").alias("low"), F.max("high").alias("high")
+    listed = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
+    rows = bars.select("symbol", "at", "date", "open", "high", "low", F.floor(F.col("at") / fanout).alias("block"))
+    leaves = rows.groupBy("symbol", "block").agg(listed("at", "date", "open", "high", "low").alias("inner"), low, high)
+    blocks = leaves.select("symbol", "block", "low", "high", F.floor(F.col("block") / fanout).alias("group"))
+    groups = blocks.groupBy("symbol", "group").agg(listed(F.col("block").alias("at"), "high", "low").alias("inner"), low, high)
+    symbols = groups.groupBy("symbol").agg(listed(F.col("group").alias("at"), "high", "low").alias("inner"))
+    leaves, groups = leaves.select("symbol", "block", "inner"), groups.select("symbol", "group", "inner")
+
+    def first(after: Column) -> Column:
+        """The first entry of ``inner`` from ``after`` on that touches."""
+        touch = lambda x: (x["at"] >= after) & (F.coalesce(x["low"] <= F.col("stop"), F.lit(False)) | F.coalesce(x["high"] >= F.col("target"), F.lit(False)))
+        return F.try_element_at(F.filter("inner", touch), F.lit(1))
+
+    def step(d: DataFrame, level: DataFrame, keys: list[str], after: Column, name: str) -> DataFrame:
+        return d.join(level, keys, "left").withColumn(name, first(after)).drop("inner")
+
+    block = F.floor(F.col("at") / fanout)
+    d = step(asked.withColumn("block", block), leaves, ["symbol", "block"], F.col("at"), "near")
+    d = step(d.withColumn("group", F.floor(F.col("block") / fanout)), groups, ["symbol", "group"], F.col("block") + 1, "beside")
+    d = step(d, symbols, ["symbol"], F.col("group") + 1, "beyond")
+    far = F.when(F.col("near").isNull() & F.col("beside").isNull(), F.col("beyond.at"))
+    d = step(d.withColumn("group", far), groups, ["symbol", "group"], F.lit(0), "there")
+    last = F.when(F.col("near").isNull(), F.coalesce("beside.at", "there.at"))
+    d = step(d.withColumn("block", last), leaves, ["symbol", "block"], F.lit(0), "found")
+    x = F.coalesce("near", "found")
+    return d.select("key", x["date"].alias("exit_date"), x["open"].alias("open"), x["high"].alias("high"), x["low"].alias("low")).where("exit_date is not null")
+
+
+def barrier_exits(signals: DataFrame, bars: DataFrame, horizon: int | None = None, *, fanout: int = 64) -> DataFrame:
     """Exit of every signal (date, symbol, stop, target): entry at the next session's open, exit at the first touch from then on.
 
-    The stop wins a session that touches both; gaps fill at the open. One window brings each signal its entry;
-    candidates are pruned by the equi-join on symbol and the touch itself before the first is kept.
+    The stop wins a session that touches both; gaps fill at the open; with ``horizon`` a touch more than so many days after the fill
+    does not count. One window numbers a symbol's bars and brings each signal its entry; the touch is found by ``first_touches``.
     """
     w = Window.partitionBy("symbol").orderBy("date")
-    fills = bars.select("symbol", "date", F.lead("date").over(w).alias("fill_date"), F.lead("open").over(w).alias("fill"))
+    rows = bars.withColumn("at", (F.row_number().over(w) - 1).cast("long"))
+    fills = rows.select("symbol", "date", F.lead("date").over(w).alias("fill_date"), F.lead("open").over(w).alias("fill"), (F.col("at") + 1).alias("at"))
     s = signals.join(fills, ["symbol", "date"]).where("fill_date is not null")
-    b = bars.select("symbol", F.col("date").alias("exit_date"), "open", "high", "low", "close")
-    touch = (F.col("low") <= F.col("stop")) | (F.col("high") >= F.col("target"))
-    on = (F.col("exit_date") >= F.col("fill_date")) & touch
+    asked = s.select(F.struct("symbol", "date").alias("key"), "symbol", "at", "stop", "target")
+    hits = first_touches(asked, rows, fanout=fanout).select("key.symbol", "key.date", F.struct("exit_date", "open", "high", "low").alias("x"))
+    d = s.join(hits.dropDuplicates(["symbol", "date"]), ["symbol", "date"], "left")
     if horizon:
-        on = on & (F.col("exit_date") <= F.date_add("fill_date", horizon))
-    hits = s.join(b, "symbol").where(on)
-    first = hits.groupBy("symbol", "date").agg(F.min_by(F.struct("exit_date", "open", "high", "low"), "exit_date").alias("x"))
-    d = s.join(first, ["symbol", "date"], "left")
+        d = d.withColumn("x", F.when(F.col("x.exit_date") <= F.date_add("fill_date", horizon), F.col("x")))
     stopped = F.col("x.low") <= F.col("stop")
     price = F.when(stopped, F.least("x.open", "stop")).otherwise(F.greatest("x.open", "target"))
     reason = F.when(F.col("x").isNull(), "open").when(stopped, "stop").otherwise("target")
     return d.select("symbol", "date", "fill_date", "fill", F.col("x.exit_date").alias("exit_date"), F.when(F.col("x").isNotNull(), price).alias("exit_price"), reason.alias("exit_reason"))
 
 
+def closed_out(trades: DataFrame, bars: DataFrame, days: int = 20) -> DataFrame:
+    """``trades`` (symbol, entry_date, entry) with exit_date and exit: the first close ``days`` or more after entry, null if none yet.
+
+    Trades and bars lie in one order, the latest first, and one running window hands each trade the last bar it saw.
+    """
+    bar = bars.where("close is not null").select("symbol", F.col("date").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("date").alias("exit_date"), F.col("close").alias("exit")).alias("_bar"))
+    asked = trades.withColumns({"_at": F.date_add("entry_date", days), "_kind": F.lit(1)})
+    w = Window.partitionBy("symbol").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    d = asked.unionByName(bar, allowMissingColumns=True).withColumn("_bar", F.last("_bar", ignorenulls=True).over(w))
+    return d.where("_kind = 1").select(*trades.columns, "_bar.exit_date", "_bar.exit")
+
+
 def trade_metrics(trades: DataFrame, *keys: str) -> DataFrame:
     """Profit factor, win rate and expectancy of closed trades; the result is the first known of net, plain, gross and percent."""
     pnl = F.coalesce(*[F.col(c) for c in ("net_pnl", "pnl", "gross_pnl", "return_pct") if c in trades.columns])

@@ -139,14 +139,17 @@ def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b, hedge, t, p_value, spread_mean, spread_std): Dickey-Fuller tests of log-price spreads of all pairs of symbols with whole histories.
 
     Every pair a < b of complete symbols is tested. A symbol is one row, and two blocks of symbols meet in one task, where a
-    pair's sums are matrix products. Under 30 dates there is no p-value.
+    pair's sums are matrix products. Under 30 dates there is no p-value. Where ``prices`` has a column ``fold``, each fold is a
+    panel of its own: its symbols are those whole over its dates, all folds are tested in the same pass, and the result has ``fold`` first.
     """
-    logs = prices.select("symbol", "date", F.log("close").alias("p"))
-    dates = prices.agg(F.count_distinct("date").alias("_all"))
-    rows = logs.where("p is not null").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "p"))).alias("_s")).crossJoin(F.broadcast(dates)).where("size(_s) = _all")
-    blocks = rows.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    own = rows.crossJoin(F.broadcast(blocks)).select("symbol", F.col("_s.p").alias("p"), "_n", F.pmod(F.xxhash64("symbol"), "_n").cast("int").alias("own"))
-    cells = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.least("own", "_o").alias("low"), F.greatest("own", "_o").alias("high"), "own", "symbol", "p")
+    keyed = "fold" in prices.columns
+    fold = F.col("fold").cast("long") if keyed else F.lit(0).cast("long")
+    logs = prices.select(fold.alias("fold"), "symbol", "date", F.log("close").alias("p"))
+    dates = logs.groupBy("fold").agg(F.count_distinct("date").alias("_all"))
+    rows = logs.where("p is not null").groupBy("fold", "symbol").agg(F.sort_array(F.collect_list(F.struct("date", "p"))).alias("_s")).join(F.broadcast(dates), "fold").where("size(_s) = _all")  # one row a fold
+    blocks = rows.groupBy("fold").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    own = rows.join(F.broadcast(blocks), "fold").select("fold", "symbol", F.col("_s.p").alias("p"), "_n", F.pmod(F.xxhash64("symbol"), "_n").cast("int").alias("own"))
+    cells = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("fold", F.least("own", "_o").alias("low"), F.greatest("own", "_o").alias("high"), "own", "symbol", "p")
 
     def test(cell: pa.Table) -> pa.Table:
         names, first = cell.column("symbol").to_pylist(), np.array(cell.column("own").to_pylist())
@@ -157,9 +160,11 @@ def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
         if cell.column("low")[0] != cell.column("high")[0]:
             a, b = (v[first[a] != first[b]] for v in (a, b))
         found = [pa.array(v, mask=~np.isfinite(v)) for v in _pairs(a, b, x, x)]
-        return pa.table([pa.array(np.array(names, object)[a], pa.string()), pa.array(np.array(names, object)[b], pa.string()), *found], names=["a", "b", "hedge", "t", "p_value", "spread_mean", "spread_std"])
+        folds = pa.array(np.full(len(a), cell.column("fold")[0].as_py()), pa.int64())
+        return pa.table([folds, pa.array(np.array(names, object)[a], pa.string()), pa.array(np.array(names, object)[b], pa.string()), *found], names=["fold", "a", "b", "hedge", "t", "p_value", "spread_mean", "spread_std"])
 
-    return cells.groupBy("low", "high").applyInArrow(test, "a string, b string, hedge double, t double, p_value double, spread_mean double, spread_std double")
+    found = cells.groupBy("fold", "low", "high").applyInArrow(test, "fold long, a string, b string, hedge double, t double, p_value double, spread_mean double, spread_std double")
+    return found if keyed else found.drop("fold")
 
 
 def selected_pairs(tests: DataFrame, *, level: float = 0.05, most: int = 50) -> DataFrame:

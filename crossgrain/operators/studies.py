@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.expressions import normal_cdf, risk_quantity
 from crossgrain.functions.frames import across
+from crossgrain.operators import market
 from crossgrain.operators.grouped import normal_quantile
 
 EULER = 0.5772156649015329
@@ -90,6 +91,44 @@ def pair_scores(prices: DataFrame, pairs: DataFrame) -> DataFrame:
     return legs.groupBy("date", "l.symbol").agg(F.avg("l.c").alias("cheapness"), F.count(F.lit(1)).alias("pairs"))
 
 
+def formation_folds(prices: DataFrame, formation: int, refresh: int) -> tuple[DataFrame, DataFrame]:
+    """``prices`` twice, with ``fold``: the sessions each fold is formed on, and those it is applied to.
+
+    Sessions are the panel's dates. Fold k is formed on ``formation`` sessions from number k * ``refresh`` on and applied to the
+    ``refresh`` sessions right after them, so nothing applied to a date was formed with it or a later one.
+    """
+    if refresh < 1 or formation < 1:
+        raise ValueError("formation and refresh are at least one session")
+    w = Window.partitionBy(F.lit(0))  # one row a date
+    dates = prices.select("date").distinct().withColumns({"_i": F.row_number().over(w.orderBy("date")) - 1, "_all": F.count(F.lit(1)).over(w)})
+    last = F.floor((F.col("_all") - 1 - formation) / refresh)  # the last fold that is applied to a session
+    first, to = F.greatest(F.lit(0), F.floor((F.col("_i") - formation) / refresh) + 1), F.least(last, F.floor(F.col("_i") / refresh))
+    formed = dates.where(to >= first).select("date", F.explode(F.sequence(first.cast("long"), to.cast("long"))).alias("fold"))
+    applied = dates.where(F.col("_i") >= formation).select("date", F.floor((F.col("_i") - formation) / refresh).cast("long").alias("fold"))
+    return prices.join(F.broadcast(formed), "date"), prices.join(F.broadcast(applied), "date")  # rows a date: formation / refresh
+
+
+def rolling_pair_scores(prices: DataFrame, *, formation: int = 252, refresh: int = 63, level: float | None = 0.05, most: int = 50) -> DataFrame:
+    """(date, symbol, cheapness, pairs) with pairs selected anew every ``refresh`` sessions on the ``formation`` sessions before.
+
+    A fold keeps its ``most`` pairs of the smallest statistics, and of those only pairs whose p-value is within ``level`` over the
+    number of pairs it tested (all, where ``level`` is None). Dates before the first fold and symbols of no pair have no row.
+    """
+    formed, applied = formation_folds(prices, formation, refresh)
+    tests = market.pair_tests(formed)
+    fold = Window.partitionBy("fold")
+    d = tests.withColumn("_tested", F.count(F.lit(1)).over(fold)).where("t is not null and spread_std > 0")
+    if level is not None:
+        d = d.where(F.col("p_value") <= level / F.col("_tested"))
+    d = d.withColumn("_rank", F.row_number().over(fold.orderBy(F.floor(F.col("t") * 1e6 + 0.5), "a", "b"))).where(F.col("_rank") <= most)
+    known = d.select("fold", "a", "b", "hedge", "spread_mean", "spread_std")
+    logs = applied.where("close > 0").select("fold", "date", "symbol", F.log("close").alias("p"))
+    a, b = (logs.select("fold", "date", F.col("symbol").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
+    d = a.join(known, ["fold", "a"]).join(b, ["fold", "date", "b"]).withColumn("z", (F.col("pa") - F.col("hedge") * F.col("pb") - F.col("spread_mean")) / F.col("spread_std"))
+    legs = d.select("date", F.explode(F.array(F.struct(F.col("a").alias("symbol"), (-F.col("z")).alias("c")), F.struct(F.col("b").alias("symbol"), F.col("z").alias("c")))).alias("l"))
+    return legs.groupBy("date", "l.symbol").agg(F.avg("l.c").alias("cheapness"), F.count(F.lit(1)).alias("pairs"))
+
+
 # ---- models --------------------------------------------------------------------------------------
 
 

@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from crossgrain.plans import allocation, books, evaluation, expressions, features, grouped, market, pit, quality, signals, streams, studies  # noqa: F401
+from crossgrain.plans import allocation, books, evaluation, expressions, features, grouped, market, models, pit, quality, signals, streams, studies  # noqa: F401

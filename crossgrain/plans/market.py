@@ -209,9 +209,7 @@ def j13(spark, sf):
     """Open trades end at the first close 20 days or more after entry."""
     b = bars(spark, sf)
     t = b.where("month(date) = 6 and day(date) <= 7").select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry"))
-    later = t.join(b.select("symbol", "date", "close"), "symbol").where("date >= date_add(entry_date, 20)")
-    first = later.groupBy("symbol", "entry_date").agg(F.min("date").alias("exit_date"), F.min_by("close", "date").alias("exit"))
-    d = t.join(first, ["symbol", "entry_date"], "left")
+    d = books.closed_out(t, b)
     return d.select("symbol", "entry_date", "exit_date", rounding(F.col("exit") / F.col("entry") * 100 - 100, 4).alias("return_pct"), F.when(F.col("exit_date").isNull(), "PENDING").when(F.col("exit") > F.col("entry"), "WIN").otherwise("LOSS").alias("outcome"))
 
 

@@ -102,3 +102,11 @@ def trade_history(outcomes: DataFrame, most: int | None = None) -> DataFrame:
     """Newest entries first."""
     d = outcomes.orderBy(F.desc("entry_date"), "trade_id")
     return d.limit(most) if most else d
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes the files of a table made by ``written``, which nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
