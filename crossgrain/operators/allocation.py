@@ -36,18 +36,6 @@ def sleeve_weights(states: DataFrame, affinity: DataFrame) -> DataFrame:
     return d.select("date", "sleeve", F.try_divide(F.col("w"), F.sum("w").over(across("date"))).alias("weight"))
 
 
-def exponential_covariance(returns: DataFrame, half_life: float) -> DataFrame:
-    """(i, j, cov) with weights that halve every ``half_life`` dates, and the correction for their effective number."""
-    dates = returns.select("date").distinct().withColumn("age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))) - 1)
-    dates = dates.withColumn("w", F.pow(F.lit(0.5), F.col("age") / half_life))
-    dates = dates.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0))))
-    r = returns.join(F.broadcast(dates.select("date", "w")), "date")
-    r = r.withColumn("d", F.col("ret") - F.sum(F.col("w") * F.col("ret")).over(Window.partitionBy("symbol")))
-    a = r.select("date", "w", F.col("symbol").alias("i"), F.col("d").alias("x"))
-    b = r.select("date", F.col("symbol").alias("j"), F.col("d").alias("y"))
-    return a.join(b, "date").groupBy("i", "j").agg((F.sum(F.col("w") * F.col("x") * F.col("y")) / (1 - F.sum(F.col("w") * F.col("w")))).alias("cov"))
-
-
 def breaker(curves: DataFrame, *, halt: float, resume: float, cooldown: int = 10) -> DataFrame:
     """(book_id, date, halted, event): a book halts at a drawdown of ``halt``, and resumes within ``resume`` of its peak or after ``cooldown`` rows, when the peak starts anew."""
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0).alias("since"), F.lit(False).alias("halted"), F.lit("").alias("event"))

@@ -175,13 +175,6 @@ def trade_metrics(trades: DataFrame, *keys: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.try_divide(won, lost).alias("profit_factor"), F.avg((F.col("_p") > 0).cast("double")).alias("win_rate"), F.avg("_p").alias("expectancy"))
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """(i, j, cov) of symbols over their common dates."""
-    a = returns.select("date", F.col("symbol").alias("i"), F.col("ret").alias("x"))
-    b = returns.select("date", F.col("symbol").alias("j"), F.col("ret").alias("y"))
-    return a.join(b, "date").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
-
-
 def book_risk(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """One row: volatility of the book, as if independent, their ratio and the diversification ratio."""
     wi, wj = weights.select(F.col("symbol").alias("i"), F.col("weight").alias("wi")), weights.select(F.col("symbol").alias("j"), F.col("weight").alias("wj"))

@@ -135,12 +135,58 @@ def _pairs(own: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) ->
     return [*found[:2], p, *found[2:]]
 
 
-def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """(a, b, hedge, t, p_value, spread_mean, spread_std): Dickey-Fuller tests of log-price spreads of all pairs of symbols with whole histories.
+#: Spreads whose regressions are solved at once.
+_AT_ONCE = 512
+
+
+def augmented(spreads: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dickey-Fuller statistic of each row, with as many lagged differences, up to ``most``, as its own AIC asks for, and that number.
+
+    Lags are compared on the dates that all of them have; the statistic is of the chosen lag on all dates it has. A constant is in
+    every regression. A row is null where its regression is not determined.
+    """
+    change, length = np.diff(spreads), spreads.shape[1] - 1
+
+    def fits(rows: np.ndarray, lag: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared residuals and statistic of the rows' regressions of the change from date ``first`` on."""
+        y = change[rows, first:]
+        parts = [np.ones_like(y), spreads[rows, first:length], *(change[rows, first - k : length - k] for k in range(1, lag + 1))]
+        x = np.stack(parts, 2)
+        x[:, :, 1] -= x[:, :, 1].mean(1)[:, None]
+        gram, to = np.matmul(x.transpose(0, 2, 1), x), np.matmul(x.transpose(0, 2, 1), y[:, :, None])
+        scale = np.sqrt(np.einsum("pii->pi", gram))
+        scale[scale == 0] = 1
+        inverse = np.linalg.pinv(gram / scale[:, :, None] / scale[:, None, :], hermitian=True) / scale[:, :, None] / scale[:, None, :]
+        b = np.matmul(inverse, to)
+        left = ((y - np.matmul(x, b)[:, :, 0]) ** 2).sum(1)
+        free = y.shape[1] - x.shape[2]
+        with np.errstate(all="ignore"):
+            return left, b[:, 1, 0] / np.sqrt(left / free * inverse[:, 1, 1]) if free > 0 else np.full(len(y), np.nan)
+
+    t, lags = np.full(len(spreads), np.nan), np.zeros(len(spreads), int)
+    most = max(0, min(most, length // 2 - 2))
+    if length < 4:
+        return t, lags
+    for at in range(0, len(spreads), _AT_ONCE):
+        rows = np.arange(at, min(at + _AT_ONCE, len(spreads)))
+        n = length - most
+        with np.errstate(all="ignore"):
+            criteria = np.stack([n * np.log(fits(rows, lag, most)[0] / n) + 2 * (lag + 2) for lag in range(most + 1)])
+        lags[rows] = np.where(np.isfinite(criteria), criteria, np.inf).argmin(0)
+        for lag in np.unique(lags[rows]):
+            own = rows[lags[rows] == lag]
+            t[own] = fits(own, lag, lag)[1]
+    return t, lags
+
+
+def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK, *, lags: int | None = 0) -> DataFrame:
+    """(a, b, hedge, t, p_value, spread_mean, spread_std, lags): Dickey-Fuller tests of log-price spreads of all pairs of symbols with whole histories.
 
     Every pair a < b of complete symbols is tested. A symbol is one row, and two blocks of symbols meet in one task, where a
     pair's sums are matrix products. Under 30 dates there is no p-value. Where ``prices`` has a column ``fold``, each fold is a
     panel of its own: its symbols are those whole over its dates, all folds are tested in the same pass, and the result has ``fold`` first.
+    With ``lags`` above 0 a test has as many lagged differences, up to that, as its AIC asks for; None allows 12 times the fourth root
+    of a hundredth of the dates.
     """
     keyed = "fold" in prices.columns
     fold = F.col("fold").cast("long") if keyed else F.lit(0).cast("long")
@@ -159,11 +205,19 @@ def pair_tests(prices: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
         a, b = np.triu_indices(len(names), 1)
         if cell.column("low")[0] != cell.column("high")[0]:
             a, b = (v[first[a] != first[b]] for v in (a, b))
-        found = [pa.array(v, mask=~np.isfinite(v)) for v in _pairs(a, b, x, x)]
+        found = _pairs(a, b, x, x)
+        most = int(12 * (x.shape[1] / 100) ** 0.25) if lags is None else lags
+        chosen = np.zeros(len(a), int)
+        if most:
+            for at in range(0, len(a), _AT_ONCE):  # a spread is as long as its dates, so few at a time
+                part = slice(at, at + _AT_ONCE)
+                found[1][part], chosen[part] = augmented(x[a[part]] - found[0][part, None] * x[b[part]], most)
+            found[2] = cointegration_p(found[1]) if x.shape[1] >= 30 else found[2]
+        found = [pa.array(v, mask=~np.isfinite(v)) for v in found] + [pa.array(chosen, pa.int32())]
         folds = pa.array(np.full(len(a), cell.column("fold")[0].as_py()), pa.int64())
-        return pa.table([folds, pa.array(np.array(names, object)[a], pa.string()), pa.array(np.array(names, object)[b], pa.string()), *found], names=["fold", "a", "b", "hedge", "t", "p_value", "spread_mean", "spread_std"])
+        return pa.table([folds, pa.array(np.array(names, object)[a], pa.string()), pa.array(np.array(names, object)[b], pa.string()), *found], names=["fold", "a", "b", "hedge", "t", "p_value", "spread_mean", "spread_std", "lags"])
 
-    found = cells.groupBy("fold", "low", "high").applyInArrow(test, "fold long, a string, b string, hedge double, t double, p_value double, spread_mean double, spread_std double")
+    found = cells.groupBy("fold", "low", "high").applyInArrow(test, "fold long, a string, b string, hedge double, t double, p_value double, spread_mean double, spread_std double, lags int")
     return found if keyed else found.drop("fold")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import rounding
 from crossgrain.operators import allocation as al
-from crossgrain.operators import books
+from crossgrain.operators import books, gram
 from crossgrain.operators.features import with_limit_flags
 from crossgrain.plans.books import CURVES, EXITS, FEW, MONTHLY, SIGNALS, TRADES, curves, book_returns_of_all, trades
 from crossgrain.plans.common import BUCKETS, bucketed_sql, out, scored, scored_sql, sql
@@ -53,7 +53,7 @@ def g27(spark, sf):
 
 @query("G32_exponential_covariance", sql(bars_sql("month"), MONTHLY, FEW, "dw AS (SELECT date, w / sum(w) OVER () AS w FROM (SELECT date, pow(0.5, (row_number() OVER (ORDER BY date DESC) - 1) / 12.0) AS w FROM (SELECT DISTINCT date FROM fr))), x AS (SELECT fr.symbol, fr.date, w, ret - sum(w * ret) OVER (PARTITION BY symbol) AS d FROM fr JOIN dw USING (date))", select="SELECT a.symbol AS i, b.symbol AS j, round(sum(a.w * a.d * b.d) / (1 - sum(a.w * a.w)), 5) AS cov FROM x a JOIN x b USING (date) GROUP BY ALL"))
 def g32(spark, sf):
-    d = al.exponential_covariance(book_returns_of_all(spark, sf), 12.0)
+    d = gram.exponential_covariance(book_returns_of_all(spark, sf), 12.0)
     return d.select("i", "j", rounding("cov", 5).alias("cov"))
 
 

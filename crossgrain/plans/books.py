@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import rounding
 from crossgrain.functions import expressions as X
-from crossgrain.operators import books
+from crossgrain.operators import books, gram
 from crossgrain.operators import features as ft
 from crossgrain.plans.common import BUCKETS, bucketed_sql, out, scored, scored_sql, sql
 from crossgrain.plans.features import frame
@@ -98,7 +98,7 @@ def book_returns_of_all(spark, sf) -> DataFrame:
 
 @query("G31_covariance", sql(bars_sql("month"), MONTHLY, FEW, select="SELECT i, j, round(cov, 6) AS cov FROM cv"))
 def g31(spark, sf):
-    return out(books.covariance(book_returns_of_all(spark, sf)))
+    return out(gram.covariance(book_returns_of_all(spark, sf)))
 
 
 @query("G30_book_risk", sql(bars_sql("month"), MONTHLY, FEW, "w AS (SELECT DISTINCT symbol, 1.0 / (SELECT count(DISTINCT symbol) FROM fr) AS weight FROM fr), c AS (SELECT cv.*, a.weight * b.weight * cov AS c, a.weight AS wi FROM cv JOIN w a ON a.symbol = i JOIN w b ON b.symbol = j)", select="SELECT round(sqrt(sum(c)),6) volatility, round(sqrt(sum(c) FILTER (WHERE i=j)),6) independent, round(sqrt(sum(c))/sqrt(sum(c) FILTER (WHERE i=j)),6) correlation_multiple, round(sum(wi*sqrt(cov)) FILTER (WHERE i=j)/sqrt(sum(c)),6) diversification FROM c"))
@@ -107,7 +107,7 @@ def g30(spark, sf):
     names = r.select("symbol").distinct()
     n = names.agg(F.count(F.lit(1)).alias("n"))
     weights = names.crossJoin(F.broadcast(n)).select("symbol", (1.0 / F.col("n")).alias("weight"))
-    return out(books.book_risk(weights, books.covariance(r)))
+    return out(books.book_risk(weights, gram.covariance(r)))
 
 
 @query("G33_single_factor_covariance", sql(bars_sql("month"), MONTHLY, FEW, "f AS (SELECT date, avg(ret) AS m FROM fr GROUP BY date), be AS (SELECT symbol, regr_slope(ret, m) AS beta, var_samp(ret) - pow(regr_slope(ret, m), 2) * var_samp(m) AS own FROM fr JOIN f USING (date) GROUP BY symbol), vf AS (SELECT var_samp(m) AS v FROM f)", select="SELECT a.symbol AS i, b.symbol AS j, round(a.beta * b.beta * v + CASE WHEN a.symbol = b.symbol THEN greatest(a.own, 0) ELSE 0 END, 6) AS cov FROM be a, be b, vf"))

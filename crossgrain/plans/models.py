@@ -1,4 +1,4 @@
-"""Models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), rank-IC boosting (M9)."""
+"""Models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), calibration (M5), rank-IC boosting (M9), walk-forward training and sweeps."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import rounding
-from crossgrain.operators import boosting, exposures, features, market, metrics, pit, studies
+from crossgrain.operators import boosting, calibration, exposures, features, market, metrics, pit, studies, training
 from crossgrain.plans.common import ic_sql, out, scored, scored_sql, sql
 from crossgrain.plans.features import frame
 from crossgrain.plans.grouped import M2
@@ -91,3 +91,37 @@ def m9(spark, sf):
     model = boosting.rank_ic_boosted(files.written(training_panel(spark, sf), "training"), INPUTS, rounds=8, patience=5)
     d = boosting.training_report(model, spark)
     return d.select("round", rounding("train_objective", 6).alias("train_objective"), rounding("validation_ic", 6).alias("validation_ic"), "kept")
+
+
+# ---- calibration ---------------------------------------------------------------------------------
+
+
+@query("M5_calibrated_out_of_sample")
+def m5(spark, sf):
+    """Win rates by score learned on the training dates and read at every later row. No SQL: a test holds the fit against a plain loop."""
+    d = market.chronological_split(scored(spark, sf)).withColumn("outcome", (F.col("forward_return") > 0).cast("double"))
+    fit = calibration.fitted(d.where("role = 'train'"))
+    later = d.where("role <> 'train'")
+    rows = fit.calibrated(later) if fit else later.withColumn("p", F.lit(None).cast("double"))
+    return rows.select("date", "symbol", "role", rounding("p", 6).alias("p"), "outcome")
+
+
+# ---- walk-forward and sweeps ---------------------------------------------------------------------
+
+
+@query("M10_walk_forward")
+def m10(spark, sf):
+    """Predictions of every test block by a model of the dates before it, with its fold's measures. No SQL: it has no trees."""
+    p = files.written(training.walk_forward(training_panel(spark, sf), INPUTS, [{"maxIter": 5, "maxDepth": 3}], folds=4, embargo=2), "predictions")
+    m = training.measured(p, "fold").select("fold", *(rounding(c, 6).alias(c) for c in ("mse", "direction", "mean_ic", "icir", "t")))
+    return p.join(F.broadcast(m), "fold").select("fold", "date", "symbol", rounding("p", 6).alias("p"), rounding("target", 6).alias("actual"), "mse", "direction", "mean_ic", "icir", "t")  # a fold is a row
+
+
+@query("M11_sweep")
+def m11(spark, sf):
+    """Settings of the trees over folds of one panel, ranked by mean IC. No SQL: it has no trees."""
+    settings = [{"maxIter": n, "maxDepth": d, "stepSize": r} for n, d, r in ((2, 2, 0.1), (4, 2, 0.3), (4, 3, 0.1), (4, 4, 0.1))]
+    p = files.written(training.walk_forward(training_panel(spark, sf), INPUTS, settings, folds=2, embargo=2), "predictions")
+    named = spark.createDataFrame([(k, s["maxIter"], s["maxDepth"], s["stepSize"]) for k, s in enumerate(settings)], "setting int, rounds int, depth int, rate double")
+    d = training.ranked(training.measured(p, "setting", "fold")).join(F.broadcast(named), "setting")
+    return d.select("place", "setting", "rounds", "depth", "rate", "folds", *(rounding(c, 6).alias(c) for c in ("mean_ic", "worst_ic", "mse")))

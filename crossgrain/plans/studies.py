@@ -183,35 +183,6 @@ def m8(spark, sf):
     return every.crossJoin(F.broadcast(plain)).select("feature", "draw", rounding(F.col("mse") - F.col("base"), 9).alias("importance"))
 
 
-@query("M10_walk_forward")
-def m10(spark, sf):
-    """Predictions of every test block by a model of the dates before it, and its dates' mean IC. No SQL: it has no trees."""
-    p = scored(spark, sf)
-    folds = metrics.folds(p, folds=2, horizon=1, embargo=2)
-    found = None
-    for k in (1, 2):
-        own = p.join(F.broadcast(folds.where(F.col("fold") == k).select("date", "role")), "date").withColumn("held", F.lit(False))
-        train = own.where("role = 'train'")
-        cut = train.select(F.percentile_approx(F.unix_date("date"), 0.85)).first()[0]
-        model = _boosted(train.withColumn("held", F.unix_date("date") > cut))
-        rows = model.transform(own.where("role = 'test'")).select(F.lit(k).alias("fold"), "date", "symbol", "p", "forward_return")
-        found = rows if found is None else found.union(rows)
-    ic = metrics.rank_ic(found, score="p").groupBy().agg(F.avg("ic").alias("mean_ic"))
-    return found.crossJoin(F.broadcast(ic)).select("fold", "date", "symbol", rounding("p", 6).alias("p"), rounding("forward_return", 6).alias("actual"), rounding("mean_ic", 6).alias("mean_ic"))
-
-
-@query("M11_sweep")
-def m11(spark, sf):
-    """Depths and rounds over one panel, ranked by mean IC on the validation block. No SQL: it has no trees."""
-    d = _split(spark, sf)
-    found = None
-    for depth, iterations in ((1, 3), (2, 3), (3, 5)):
-        rows = _boosted(d.where("role <> 'test'"), iterations=iterations, depth=depth).transform(d.where("role = 'validation'")).select("date", "symbol", "p", "forward_return")
-        one = metrics.rank_ic(rows, score="p").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("dates")).select(F.lit(depth).alias("depth"), F.lit(iterations).alias("iterations"), rounding("mean_ic", 6).alias("mean_ic"), "dates")
-        found = one if found is None else found.union(one)
-    return found.orderBy(F.desc_nulls_last("mean_ic"), "depth")
-
-
 # ---- files ---------------------------------------------------------------------------------------
 
 

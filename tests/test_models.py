@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import books, boosting, exposures, studies
+from crossgrain.operators import books, boosting, calibration, exposures, gram, market, studies, training
 
 DAY = dt.date(2024, 1, 1)
 day = lambda k: DAY + dt.timedelta(days=int(k))
@@ -234,3 +234,121 @@ def test_gradients_of_flat_scores_and_labels(spark):
     rows = [(DAY, f"s{i}", 0.0, float(i)) for i in range(5)] + [(day(1), f"s{i}", float(i), 1.0) for i in range(5)]
     got = boosting.ascent(spark.createDataFrame(rows, "date date, symbol string, score double, target double")).collect()
     assert np.allclose([r.gradient for r in got if r.date == DAY], (np.arange(5) - 2) / np.sqrt(10)) and {r.gradient for r in got if r.date != DAY} == {0.0}
+
+
+# ---- covariances ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_covariances_are_those_of_common_dates(spark, block):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((40, 8)) < 0.3, np.nan, rng.normal(size=(40, 8)) + 5)
+    x[:, 6], x[1:, 7] = np.nan, np.nan
+    rows = [(day(d), f"s{j}", None if np.isnan(x[d, j]) else float(x[d, j])) for d in range(40) for j in range(8)]
+    returns = spark.createDataFrame(rows, "date date, symbol string, ret double")
+    got = {(r.i, r.j): r.cov for r in gram.covariance(returns, block).collect()}
+    weighted = {(r.i, r.j): r.cov for r in gram.exponential_covariance(returns.where("ret is not null"), 5.0, block).collect()}
+    w = 0.5 ** (np.arange(39, -1, -1) / 5)
+    w = w / w.sum()
+    seen = set()
+    for i in range(8):
+        for j in range(8):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if not both.any():
+                continue
+            seen.add((f"s{i}", f"s{j}"))
+            want = np.cov(x[both, i], x[both, j])[0, 1] if both.sum() > 1 else None
+            assert got[f"s{i}", f"s{j}"] == (None if want is None else pytest.approx(want, abs=1e-9))
+            a, b = (x[both, k] - np.nansum(w * x[:, k]) for k in (i, j))
+            assert weighted[f"s{i}", f"s{j}"] == pytest.approx((w[both] * a * b).sum() / (1 - (w[both] ** 2).sum()), abs=1e-9)
+    assert got.keys() == weighted.keys() == seen
+    assert gram.covariance(returns.where("false"), block).collect() == []
+
+
+# ---- augmented tests -----------------------------------------------------------------------------
+
+
+def plain_augmented(s, most):
+    change = np.diff(s)
+
+    def fit(lag, first):
+        y = change[first:]
+        x = np.column_stack([np.ones(len(y)), s[first:-1], *[change[first - k : len(change) - k] for k in range(1, lag + 1)]])
+        b, *_ = np.linalg.lstsq(x, y, rcond=None)
+        left = ((y - x @ b) ** 2).sum()
+        return left, len(y), b[1] / np.sqrt(left / (len(y) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+
+    scores = [n * np.log(left / n) + 2 * (lag + 2) for lag in range(most + 1) for left, n, _ in [fit(lag, most)]]
+    lag = int(np.argmin(scores))
+    return fit(lag, lag)[2], lag
+
+
+def test_augmented_statistics_are_the_regressions(spark):
+    rng = np.random.default_rng(6)
+    spreads = np.cumsum(rng.normal(size=(200, 90)), 1) * (rng.random((200, 1)) < 0.5) + rng.normal(size=(200, 90))
+    spreads[::3] = np.cumsum(spreads[::3], 1) * 1e-3 + 7
+    t, lags = market.augmented(spreads, 6)
+    want = [plain_augmented(s, 6) for s in spreads]
+    assert np.allclose(t, [w[0] for w in want], atol=1e-6) and lags.tolist() == [w[1] for w in want] and len(set(lags)) > 3
+    closes = walks()
+    got = {(r.a, r.b): r for r in market.pair_tests(price_rows(spark, closes), lags=5).collect()}
+    for (a, b), r in got.items():
+        x, y = np.log(closes[a]), np.log(closes[b])
+        assert (r.t, r.lags) == (pytest.approx(plain_augmented(x - (x @ y) / (y @ y) * y, 5)[0], abs=1e-5), plain_augmented(x - (x @ y) / (y @ y) * y, 5)[1])
+    assert len(got) == 21
+
+
+# ---- calibration ---------------------------------------------------------------------------------
+
+
+def plain_isotonic(x, y):
+    blocks = []
+    for v in np.unique(x):
+        blocks.append([[v], list(y[x == v])])
+        while len(blocks) > 1 and np.mean(blocks[-2][1]) >= np.mean(blocks[-1][1]):
+            a, b = blocks.pop(-2), blocks.pop(-1)
+            blocks.append([a[0] + b[0], a[1] + b[1]])
+    return [(b[0][0], b[0][-1], np.mean(b[1])) for b in blocks]
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_calibration_pools_as_the_loop(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    x = np.round(rng.normal(size=600), 2)
+    y = (rng.random(600) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    rows = spark.createDataFrame([*((float(a), float(b)) for a, b in zip(x, y)), (None, 1.0), (0.1, None), (float("nan"), 1.0), (float("inf"), 0.0)], "score double, outcome double")
+    fit = calibration.fitted(rows.repartition(4), ranges=ranges)
+    want = plain_isotonic(x, y)
+    xs, ys = zip(*[(v, p) for a, b, p in want for v in ((a, b) if b > a else (a,))])
+    assert fit.samples == 600 and np.allclose(fit.scores, xs) and np.allclose(fit.rates, ys)
+    asked = spark.createDataFrame([(v, k) for k, v in enumerate([-9.0, 0.005, 9.0, None])], "score double, k int")
+    got = {r.k: r.p for r in fit.calibrated(asked).collect()}
+    assert [got[k] for k in range(3)] == pytest.approx(list(np.interp([-9.0, 0.005, 9.0], xs, ys))) and got[3] is None
+
+
+def test_calibration_needs_outcomes_of_both_kinds(spark):
+    few = spark.range(0, 99).selectExpr("cast(id as double) as score", "cast(id % 2 as double) as outcome")
+    alike = spark.range(0, 500).selectExpr("cast(id as double) as score", "1d as outcome")
+    assert calibration.fitted(few) is None and calibration.fitted(alike) is None and calibration.fitted(few.where("false")) is None
+    assert calibration.fitted(few, least=99).samples == 99
+
+
+# ---- walk-forward --------------------------------------------------------------------------------
+
+
+def test_walk_forward_trains_on_the_past_only(spark):
+    rows = [(r[0], r[1], *r[3:6], r[6]) for r in planted(dates=40, names=12)]
+    panel = boosting.rank_label(spark.createDataFrame(rows, "date date, symbol string, a double, b double, c double, forward_return double"))
+    later = panel.withColumn("target", F.when(F.col("date") >= F.lit(day(24)), -F.col("target")).otherwise(F.col("target")))
+    settings = [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 3, "maxDepth": 1}]
+    one, two = ({(r.setting, r.fold, r.date, r.symbol): r.p for r in training.walk_forward(d, ["a", "b", "c"], settings, folds=4, embargo=1).collect()} for d in (panel, later))
+    assert {k[:2] for k in one} == {(s, f) for s in (0, 1) for f in (1, 2, 3, 4)} and len(one) == 2 * 32 * 12 == len({(k[0], *k[2:]) for k in one})
+    assert all(two[k] == v for k, v in one.items() if k[2] < day(24)) and any(two[k] != v for k, v in one.items() if k[1] == 4)
+    p = training.walk_forward(panel, ["a", "b", "c"], settings, folds=2)
+    m = training.measured(p, "setting", "fold").collect()
+    own = [r for r in p.collect() if (r.setting, r.fold) == (0, 1)]
+    r = next(r for r in m if (r.setting, r.fold) == (0, 1))
+    assert r.rows == len(own) and r.mse == pytest.approx(np.mean([(x.p - x.target) ** 2 for x in own])) and r.mean_ic > 0.2 and r.t is not None
+    best = training.ranked(training.measured(p, "setting", "fold")).orderBy("place").collect()
+    assert [b.place for b in best] == [1, 2] and best[0].mean_ic >= best[1].mean_ic and best[0].folds == 2
+    assert training.walk_forward(panel.where("false"), ["a"], settings).collect() == []
