@@ -1,19 +1,19 @@
-"""Models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), calibration (M5), rank-IC boosting (M9), walk-forward training and sweeps."""
+"""Named features over the bucketed bar store (W23, A13) and models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), calibration (M5), rank-IC boosting (M9), walk-forward training and sweeps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import rounding
-from crossgrain.operators import boosting, calibration, exposures, features, market, metrics, pit, studies, training
+from crossgrain.operators import boosting, calibration, exposures, features, market, metrics, pit, planner, studies, training
 from crossgrain.plans.common import ic_sql, out, scored, scored_sql, sql
 from crossgrain.plans.features import frame
 from crossgrain.plans.grouped import M2
 from crossgrain.plans.pit import SECTORS, sectors
 from crossgrain.plans.registry import query
 from crossgrain.sources import files
-from crossgrain.sources.bars import bars, bars_sql
+from crossgrain.sources.bars import bars, bars_sql, store_bars
 
 # ---- neutralization ------------------------------------------------------------------------------
 
@@ -125,3 +125,31 @@ def m11(spark, sf):
     named = spark.createDataFrame([(k, s["maxIter"], s["maxDepth"], s["stepSize"]) for k, s in enumerate(settings)], "setting int, rounds int, depth int, rate double")
     d = training.ranked(training.measured(p, "setting", "fold")).join(F.broadcast(named), "setting")
     return d.select("place", "setting", "rounds", "depth", "rate", "folds", *(rounding(c, 6).alias(c) for c in ("mean_ic", "worst_ic", "mse")))
+
+
+# ---- features by name ----------------------------------------------------------------------------
+
+ASKED = ("sma_20", "return_5d", "atr_14", "relative_price", "excess_return_1", "reversal_rank", "value_share")
+PLANNED = f"""ra AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, lag(close) OVER w AS c1, lag(volume) OVER w AS v1, lag(close) OVER w / lag(close, 2) OVER w - 1 AS r1, lag(close) OVER w / lag(close, 5) OVER w - 1 AS r4, lag(close) OVER w / lag(close, 6) OVER w - 1 AS return_5d FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+ fe AS (SELECT *, {frame('avg($)', 'close', 20)} AS sma_20, {frame('avg($)', 'tr', 14)} AS atr_14 FROM ra),
+ pl AS (SELECT symbol, date, sma_20, return_5d, atr_14, c1 / avg(c1) OVER d AS relative_price, r1 - avg(r1) OVER d AS excess_return_1, c1 * v1 / sum(c1 * v1) OVER d AS value_share,
+  CASE WHEN r4 IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY r4 DESC NULLS LAST) + (count(*) OVER (PARTITION BY date, r4) - 1) / 2.0) / (count(r4) OVER d + 1) END AS reversal_rank FROM fe WINDOW d AS (PARTITION BY date))"""
+
+
+def bar_store(spark, sf) -> DataFrame:
+    """The weekly bars as a bucketed table in the shared folder."""
+    path = files.scratch(spark, "bar_store")
+    return store_bars(bars(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), buckets=8, path=path)
+
+
+@query("W23_planned_features", sql(bars_sql(), PLANNED, select="SELECT symbol, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in ASKED) + " FROM pl"))
+def planned_features(spark, sf):
+    return out(planner.planned(bar_store(spark, sf), ASKED))
+
+
+@query("A13_bar_store", sql(bars_sql(), "x AS (SELECT symbol, date, close, lag(close) OVER w AS before, lead(close) OVER w AS after FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date))", select="SELECT symbol, count(*) AS bars, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (WHERE close > before AND close > after) AS peaks FROM x GROUP BY symbol"))
+def a13(spark, sf):
+    """Bars, span and local peaks of each symbol, from the store: neither the window nor the aggregate shuffles."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    d = bar_store(spark, sf).withColumns({"before": F.lag("close").over(w), "after": F.lead("close").over(w)})
+    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if((F.col("close") > F.col("before")) & (F.col("close") > F.col("after"))).alias("peaks"))

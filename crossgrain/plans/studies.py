@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import across, change, full, rounding
@@ -259,27 +259,50 @@ def w23(spark, sf):
     return out(features.cross_sectional(bars(spark, sf, "month"), ["close", "volume"], made))
 
 
-def replayed(df: DataFrame, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    path = files.scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def arriving(df: DataFrame, batch: str, start, name: str) -> None:
+    """``df`` as a stream that arrives in batches by the number in ``batch``: each is written and taken up by a run of its own, from the last one's checkpoint."""
+    spark, path = df.sparkSession, files.scratch(df.sparkSession, name)
+    checkpoint, rows = files.scratch(spark, f"{name}-checkpoint"), files.written(df, name)
+    plain = rows.drop(batch)
+    for number in sorted(r[0] for r in rows.select(batch).distinct().collect()):
+        rows.where(F.col(batch) == number).drop(batch).write.mode("append").parquet(path)
+        start(spark.readStream.schema(plain.schema).parquet(path), checkpoint).awaitTermination()
+    files.discarded(rows)
+
+
+BODY = "1e-9 * greatest(abs(greatest(open, close)), 1.0)"
+#: Every third symbol has the planted faults, every other third some bars twice.
+ARRIVALS = f"""d3 AS (SELECT symbol, date, open, high, low, close, volume FROM d WHERE CAST(symbol AS INTEGER) % 3 = 0 UNION ALL SELECT symbol, date, open, high, low, close, volume FROM b WHERE CAST(symbol AS INTEGER) % 3 <> 0 UNION ALL SELECT symbol, date, open, high, low, close, volume FROM b WHERE CAST(symbol AS INTEGER) % 3 = 1 AND date_diff('day', DATE '1992-01-01', date) % 400 = 9),
+ dq AS (SELECT *, CAST(symbol AS INTEGER) * 1000000 + date_diff('day', DATE '1992-01-01', date) AS k FROM d3), da AS (SELECT *, (k + row_number() OVER (PARTITION BY symbol, date)) % 3 AS batch FROM dq),
+ vb AS (SELECT symbol, batch FROM da WHERE high < greatest(open, close) - {BODY} OR low > least(open, close) + {BODY} OR high < low - {BODY} OR coalesce(open, 0) <= 0 OR coalesce(high, 0) <= 0 OR coalesce(low, 0) <= 0 OR coalesce(close, 0) <= 0 OR volume < 0
+  UNION SELECT symbol, max(batch) FROM da GROUP BY symbol, date HAVING count(*) > 1)"""
 
 
-@query("S2_ingest_gate", sql(bars_sql("day"), DIRTY, f"va AS ({V1} UNION ALL {V2} UNION ALL {V3})", select="SELECT symbol, count(*) AS rows, symbol NOT IN (SELECT symbol FROM va) AS accepted FROM d GROUP BY symbol"))
+@query("S2_ingest_gate", sql(bars_sql("day"), DIRTY, ARRIVALS, select="SELECT symbol, CAST(batch AS INTEGER) AS batch, count(*) AS rows, vb.symbol IS NULL AS accepted FROM da LEFT JOIN vb USING (symbol, batch) GROUP BY ALL"))
 def s2(spark, sf):
-    """Daily bars with planted faults arrive as a stream; both tables it is parted into are read back."""
+    """Daily bars with planted faults arrive in three batches, the second of two equal rows in another one than the first; both tables they are parted into are read back."""
     good, bad = files.scratch(spark, "accepted"), files.scratch(spark, "quarantine")
-    stream = replayed(dirty(spark, sf).select("symbol", "date", "open", "high", "low", "close", "volume").coalesce(1), "arrivals")
-    streaming.gate(stream, good, bad, files.scratch(spark, "gate")).awaitTermination()
-    count = lambda path, ok: spark.read.schema(BAR).parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")).withColumn("accepted", F.lit(ok))
+    k = F.col("symbol").cast("int") * 1_000_000 + F.date_diff("date", F.lit("1992-01-01").cast("date"))
+    legs = ["symbol", "date", "open", "high", "low", "close", "volume"]
+    third, b = F.col("symbol").cast("int") % 3, bars(spark, sf, "day").select(legs)
+    d = dirty(spark, sf).where(third == 0).select(legs).unionByName(b.where(third != 0)).unionByName(b.where((third == 1) & (F.date_diff("date", F.lit("1992-01-01").cast("date")) % 400 == 9)))
+    d = d.withColumn("arrival", ((k + F.row_number().over(Window.partitionBy("symbol", "date").orderBy("close"))) % 3).cast("int"))
+    arriving(d, "arrival", lambda stream, at: streaming.gate(stream, good, bad, at, days=10_000), "arrivals")
+    count = lambda path, ok: spark.read.schema(f"{BAR}, batch int").parquet(path).groupBy("symbol", "batch").agg(F.count(F.lit(1)).alias("rows")).withColumn("accepted", F.lit(ok))
     return count(good, True).unionByName(count(bad, False))
 
 
 @query("S3_breaker_events", "WITH RECURSIVE " + ",".join([bars_sql("month"), CURVES, "n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY date) AS i FROM cu)", W29]) + " SELECT book_id, date, event FROM br WHERE event <> ''")
 def s3(spark, sf):
-    """The curves of all books arrive as a stream; state is kept for each book."""
+    """The curves of all books arrive in batches of two years, a quarter of the rows one batch late; state is kept for each book, and a last row without a book moves the watermark past all others."""
     path = files.scratch(spark, "events")
-    events = streaming.breaker(replayed(curves(spark, sf).select("book_id", "date", "value").coalesce(1), "curves"), halt=0.15, resume=0.05, cooldown=10)
-    events.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", files.scratch(spark, "breaker")).trigger(availableNow=True).start().awaitTermination()
+    batch = F.floor(F.year("date") / 2) + F.when(F.pmod(F.xxhash64("book_id", "date"), F.lit(4)) == 0, 1).otherwise(0)
+    d = curves(spark, sf).select("book_id", "date", "value", batch.cast("int").alias("arrival"))
+    end = d.agg(F.date_add(F.max("date"), 10_000).alias("date"), (F.max("arrival") + 1).alias("arrival")).select(F.lit("").alias("book_id"), "date", F.lit(1.0).alias("value"), "arrival")
+
+    def start(stream: DataFrame, checkpoint: str):
+        events = streaming.breaker(stream, halt=0.15, resume=0.05, cooldown=10, late="1500 days")
+        return events.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    arriving(d.unionByName(end), "arrival", start, "curves")
     return spark.read.schema(streaming.BREAKER).parquet(path).select("book_id", "date", "event")

@@ -130,3 +130,16 @@ def write_bars(bars: DataFrame, path: str, *, files: int | None = None) -> None:
     kept = bars.dropna(how="all", subset=numbers)
     kept = kept.repartition(files, "symbol") if files else kept.repartition("symbol")
     kept.sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(path)
+
+
+def store_bars(bars: DataFrame, name: str, *, buckets: int, path: str | None = None) -> DataFrame:
+    """Bars as a table bucketed by symbol and sorted by date, read again: windows and joins by symbol need no shuffle.
+
+    A row without any number is dropped; a symbol and date has one row, the caller's to see to. The table replaces one of its name;
+    with ``path`` its files lie there, else in the warehouse.
+    """
+    numbers = [c for c in ("open", "high", "low", "close", "volume") if c in bars.columns]
+    rows = bars.dropna(how="all", subset=numbers).repartition(buckets, "symbol")  # one file a bucket
+    writer = rows.write.format("parquet").mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return bars.sparkSession.table(name)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import books, boosting, calibration, exposures, gram, market, studies, training
+from crossgrain.operators import books, boosting, calibration, exposures, gram, market, planner, studies, training
+from crossgrain.sources.bars import store_bars
 
 DAY = dt.date(2024, 1, 1)
 day = lambda k: DAY + dt.timedelta(days=int(k))
@@ -352,3 +353,56 @@ def test_walk_forward_trains_on_the_past_only(spark):
     best = training.ranked(training.measured(p, "setting", "fold")).orderBy("place").collect()
     assert [b.place for b in best] == [1, 2] and best[0].mean_ic >= best[1].mean_ic and best[0].folds == 2
     assert training.walk_forward(panel.where("false"), ["a"], settings).collect() == []
+
+
+# ---- features by name ----------------------------------------------------------------------------
+
+
+def exchanges(df, column):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return sum(line.lstrip(" :+-*()0123456789").startswith("Exchange hashpartitioning(" + column) for line in final.splitlines())
+
+
+def some_bars(spark, sessions=300, symbols=6):
+    return spark.range(sessions * symbols).selectExpr(f"concat('s', id % {symbols}) as symbol", f"date_add(date'2020-01-01', cast(id div {symbols} as int)) as date", "50d + id % 7 as open", "60d + id % 5 as high", "40d as low", "50d + (id * id) % 11 as close", "100d + id % 13 as volume")
+
+
+def test_planned_features_share_their_shuffles(spark, tmp_path):
+    some_bars(spark).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    asked = ["sma_20", "rsi_14", "atr_14", "traded_value_60", *planner.SETS["relative"]]
+    d = planner.planned(bars, asked)
+    assert exchanges(d, "symbol") == 1 and exchanges(d, "date") == 1 and d.columns == ["symbol", "date", *asked]
+    store = store_bars(bars, "planned_store", buckets=4, path=str(tmp_path / "store"))
+    kept = planner.planned(store, asked)
+    assert exchanges(kept, "symbol") == 0 and exchanges(kept, "date") == 1
+    assert sorted(map(tuple, d.collect()), key=repr) == sorted(map(tuple, kept.collect()), key=repr)
+    joined = store.join(store.groupBy("symbol").agg(F.max("date").alias("date")), ["symbol", "date"])
+    assert exchanges(joined, "symbol") == 0 and joined.count() == 6
+
+
+def test_planned_features_read_from_their_warmup_on(spark):
+    bars, asked = some_bars(spark), ["sma_50", "return_21d", "excess_return_1"]
+    whole = {(r.symbol, r.date): tuple(r) for r in planner.planned(bars, asked).collect()}
+    part = planner.planned(bars, asked, start="2020-07-01", end="2020-07-20").collect()
+    assert len(part) == 20 * 6 and all(whole[r.symbol, r.date] == tuple(r) for r in part) and planner.warmup_rows(asked) == 50
+
+
+def test_cross_features_see_their_declared_past_only(spark):
+    bars = some_bars(spark)
+    last = F.lit(dt.date(2020, 10, 26))
+    other = bars.withColumn("close", F.when(F.col("date") >= last, 999.0).otherwise(F.col("close")))
+    a, b = (sorted(map(tuple, planner.planned(x, "relative").where(F.col("date") <= last).collect()), key=repr) for x in (bars, other))
+    assert a == b
+    with pytest.raises(ValueError, match="sma_21"):
+        planner.planned(bars, ["sma_21"])
+    with pytest.raises(ValueError, match="unknown feature set"):
+        planner.planned(bars, "nonsense")
+    with pytest.raises(ValueError, match="volume"):
+        planner.planned(bars.drop("volume"), ["value_share"])
+    for args, kw in ((("sma_20", ["close"]), {}), (("relative_price", ["close"]), {}), (("new", []), {}), (("new", ["close"]), {"lag": -1})):
+        with pytest.raises(ValueError):
+            planner.cross_feature(*args, **kw)
+    assert set(planner.resolved("all")) >= set(planner.SETS["default"]) | set(planner.CROSS) and "new" not in planner.CROSS
