@@ -49,7 +49,7 @@ _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 #: Elements whose content is no text, and elements that end a line; fixed values.
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
-_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
 #: The rest of a tag: attributes, in whose quotes a tag's end may stand. A ``<`` outside of quotes ends no tag: it begins one, or is text.
 _REST = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>"
 _ANY_REST = rf"(?:{_REST}|[^<>]*>)"
@@ -61,9 +61,11 @@ _PART = re.compile(rf"{_COMMENT}|(?P<head>{_HEAD})|{_DARK.replace('NAME', 'hidde
 _UNSAID = re.compile(rf"{_COMMENT}|{_DARK.replace('NAME', 'hidden')}", re.DOTALL | re.IGNORECASE)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: A tag, its attributes as one text; what is no whole tag is none, as in ``plain_text``.
+_TAG = re.compile(rf"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>{_ANY_REST})", re.DOTALL)
+_TITLE_END = re.compile(r"</title\s*>", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.IGNORECASE)
 
 
@@ -100,13 +102,31 @@ def one_line(text: str) -> str:
 
 
 def about(page: str) -> list[tuple[str, str]]:
-    """What a page says of itself: title, language, charset and its links, in order; comments and scripts say nothing."""
+    """What a page says of itself: title, language, charset and its links, in order; comments and scripts say nothing.
+
+    One pass over the tags; only what stands inside a tag is searched for attributes.
+    """
     page = _UNSAID.sub("", page)
-    title, lang, charset = _TITLE.search(page), _LANG.search(page), _CHARSET.search(page)
-    out = [("title", one_line(html.unescape(title[1])))] if title else []
+    title = lang = None
+    titled = True  # a title may still be found: its end tag stands somewhere ahead
+    links = []
+    for m in _TAG.finditer(page):
+        tag = m["tag"].lower()
+        if m["end"]:
+            continue
+        if tag == "a" and (href := _HREF.search(m["rest"])):
+            links.append(one_line(html.unescape(href[1] or href[2] or href[3] or "")))
+        elif tag == "html" and lang is None:
+            lang = _LANG.search(m["rest"])
+        elif tag == "title" and title is None and titled:
+            end = _TITLE_END.search(page, m.end())
+            titled = end is not None
+            title = page[m.end() : end.start()] if end else None
+    charset = _CHARSET.search(page)
+    out = [("title", one_line(html.unescape(title)))] if title is not None else []
     out += [("lang", lang[1])] if lang else []
     out += [("charset", charset[1])] if charset else []
-    return out + [("outlink", one_line(html.unescape(m[1] or m[2] or m[3] or ""))) for m in _LINK.finditer(page)]
+    return out + [("outlink", link) for link in links]
 
 
 def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -200,9 +220,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(key, RECORD's columns) of the records in WARC files, gzip-compressed or not; the key is the record's id.
 
     Spark's text reader streams the files, cut at the version line. A block may hold such a line itself: pieces are joined until
-    the block has its length. What a file lacks at its end is an error.
+    the block has its length. What a file lacks at its end is an error. A gzip file is read by one task from end to end. Any other
+    is read in splits, which know no records: its pieces are sent to one task, in order, which streams them too.
     """
-    pieces = spark.read.option("lineSep", _CUT).text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece"))
+    text = spark.read.option("lineSep", _CUT).text(path)
+    text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
+    zipped = F.lower("file").endswith(".gz")
+    split = text.where(~zipped).withColumn("place", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "place")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -240,7 +264,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if held:
             raise ValueError(f"{of} ends within a record")
 
-    return pieces.mapInArrow(run, f"key string, {RECORD}")
+    columns = ["file", "piece"]
+    return text.where(zipped).select(columns).mapInArrow(run, f"key string, {RECORD}").unionByName(split.select(columns).mapInArrow(run, f"key string, {RECORD}"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

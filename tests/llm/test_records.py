@@ -197,6 +197,37 @@ def test_stray_signs_quotes_and_what_comments_say():
     assert warc.about("<!-- <a href=no> --><script>'<a href=no>'</script><a href=yes>") == [("outlink", "yes")]
 
 
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<a ", "<html ", "<title>", "<a href='", '<a href="x" ', "<html lang", "</a <", "<a\t<!-", "<title", "<a b=\"", "<script ", "<!"):
+        page = piece * (300_000 // len(piece))
+        start = time.process_time()
+        warc.about(page), warc.plain_text(page)
+        assert time.process_time() - start < 2, piece
+    page = "<a " * 1_700_000
+    start = time.process_time()
+    warc.about(page)
+    assert time.process_time() - start < 3
+    assert warc.about("<title>a <b>x</b></title><title>second</title>") == [("title", "a <b>x</b>")] and warc.about("<title>never closed<a href=1>") == [("outlink", "1")]
+    assert warc.about("<html class=x><html lang=de><A HREF = 'u v'>") == [("lang", "de"), ("outlink", "u v")]
+
+
+def test_a_plain_file_of_many_splits(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    blocks = [http + f"<p>{k} WARC/1.0\r\nWARC/1.1 ".encode() + b"x WARC/1. " * (k % 7 * 150) for k in range(400)]
+    record = lambda k, b: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    for name, part in (("a.warc", range(0, 300)), ("b.warc", range(300, 400))):
+        (tmp_path / name).write_bytes(b"".join(record(k, blocks[k]) for k in part))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = {r.record_id: bytes(r.block) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {f"<urn:uuid:{k}>": b for k, b in enumerate(blocks)}
+
+
 def sha1(data):
     import base64
     import hashlib
