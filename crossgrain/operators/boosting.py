@@ -44,7 +44,7 @@ def ascent(panel: DataFrame, *, score: str = "score", label: str = "target", sca
 
 def mean_correlation(panel: DataFrame, *, score: str = "score", label: str = "target", min_names: int = metrics.MIN_NAMES) -> DataFrame:
     """(objective, dates): the mean over dates of the correlation; dates of few names or of one value on a side do not count."""
-    d = panel.groupBy("date").agg(F.corr(score, label).alias("c"), F.count(F.lit(1)).alias("n"), F.stddev_pop(score).alias("a"), F.stddev_pop(label).alias("b"))
+    d = panel.groupBy("date").agg(F.try_divide(F.covar_pop(score, label), F.stddev_pop(score) * F.stddev_pop(label)).alias("c"), F.count(F.lit(1)).alias("n"), F.stddev_pop(score).alias("a"), F.stddev_pop(label).alias("b"))
     d = d.where((F.col("n") >= min_names) & (F.col("a") > 1e-12) & (F.col("b") > 1e-12))
     return d.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("objective"), F.count(F.lit(1)).alias("dates"))
 
