@@ -1,4 +1,4 @@
-"""Named features over the bucketed bar store (W23, A13) and models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), calibration (M5), rank-IC boosting (M9), walk-forward training and sweeps."""
+"""Named features over the bucketed bar store (W23, A13) and models of the cross-section: neutralization against several exposures (M1, G15), rolling pairs (M4), calibration (M5), rank-IC boosting (M9), boosted trees and their inputs' weight (M7, M8, G38), walk-forward training and sweeps."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from crossgrain.functions.frames import rounding
 from crossgrain.operators import boosting, calibration, exposures, features, market, metrics, pit, planner, studies, training
 from crossgrain.plans.common import ic_sql, out, scored, scored_sql, sql
+from crossgrain.plans.evaluation import SUMMARY, nw_sql
 from crossgrain.plans.features import frame
 from crossgrain.plans.grouped import M2
+from crossgrain.plans.market import PRED, predictions
 from crossgrain.plans.pit import SECTORS, sectors
 from crossgrain.plans.registry import query
 from crossgrain.sources import files
@@ -127,6 +129,54 @@ def m11(spark, sf):
     return d.select("place", "setting", "rounds", "depth", "rate", "folds", *(rounding(c, 6).alias(c) for c in ("mean_ic", "worst_ic", "mse")))
 
 
+# ---- boosted trees -------------------------------------------------------------------------------
+
+
+def boosted(train: DataFrame, *, rounds: int = 10, depth: int = 3):
+    """MLlib's boosted trees of the five inputs for the ranked return; the validation block stops them."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    trees = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="p", maxIter=rounds, maxDepth=depth, validationIndicatorCol="held", seed=7)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(INPUTS), outputCol="x"), trees]).fit(train.withColumn("held", F.col("role") == "validation"))
+
+
+@query("M7_boosted_trees")
+def m7(spark, sf):
+    """Predictions of the test block. No SQL: it has no trees."""
+    d = files.written(training_panel(spark, sf), "training")
+    rows = boosted(d.where("role <> 'test'")).transform(d.where("role = 'test'"))
+    return rows.select("date", "symbol", rounding("p", 6).alias("p"), rounding("target", 6).alias("actual"))
+
+
+@query("M8_permutation_importance")
+def m8(spark, sf):
+    """What squared error and mean rank IC on the validation block lose when a feature is dealt anew within its dates, in two draws each. No SQL: it has no trees."""
+    d = files.written(training_panel(spark, sf), "training")
+    model, held = boosted(d.where("role <> 'test'"), rounds=5), d.where("role = 'validation'")
+    draws = [("", 0, held), *((c, k, studies.shuffled(held, c, 11 + 2 * k)) for c in INPUTS for k in range(2))]
+    every = None
+    for feature, draw, rows in draws:
+        one = model.transform(rows).select(F.lit(feature).alias("feature"), F.lit(draw).alias("draw"), "date", "symbol", "p", "target")
+        every = one if every is None else every.unionByName(one)
+    m = training.measured(files.written(every, "draws"), "feature", "draw").select("feature", "draw", "mse", "mean_ic")
+    plain = m.where("feature = ''").select(F.col("mse").alias("base"), F.col("mean_ic").alias("ic"))
+    d = m.where("feature <> ''").crossJoin(F.broadcast(plain))  # one row
+    return d.select("feature", "draw", rounding(F.col("mse") - F.col("base"), 9).alias("importance"), rounding(F.col("ic") - F.col("mean_ic"), 6).alias("ic_lost"))
+
+
+@query(
+    "G38_prediction_skill",
+    sql(scored_sql(), PRED, ic_sql(source="pd", score="p"), nw_sql(lags=4), "er AS (SELECT avg(pow(p - won, 2)) AS mse, avg(CASE WHEN sign(score) = sign(forward_return) THEN 1.0 ELSE 0.0 END) AS direction FROM pd)", select=f"SELECT {SUMMARY}, round(mse, 6) AS mse, round(direction, 6) AS direction FROM nw, er"),
+)
+def g38(spark, sf):
+    """Rank IC of predictions with its Newey-West t, beside their squared error and share of right signs."""
+    d = predictions(spark, sf)
+    error = d.agg(F.avg(F.pow(F.col("p") - F.col("won"), 2)).alias("mse"), F.avg((F.signum("score") == F.signum("forward_return")).cast("double")).alias("direction"))
+    return out(metrics.ic_summary(metrics.rank_ic(d, score="p"), 4).crossJoin(F.broadcast(error)))  # one row each
+
+
 # ---- features by name ----------------------------------------------------------------------------
 
 ASKED = ("sma_20", "return_5d", "atr_14", "relative_price", "excess_return_1", "reversal_rank", "value_share")

@@ -1,4 +1,4 @@
-"""Streams replayed from the given tables (S1), and models of MLlib (M5, M7)."""
+"""Streams replayed from the given tables (S1), and isotonic rates by MLlib (M5)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import rounding
-from crossgrain.operators.market import chronological_split
 from crossgrain.plans.common import scored
 from crossgrain.plans.registry import query
 from crossgrain.sources.bars import table
@@ -35,15 +34,3 @@ def m5(spark, sf):
     rows = VectorAssembler(inputCols=["score"], outputCol="x").transform(d)
     fitted = IsotonicRegression(featuresCol="x", labelCol="won", predictionCol="p").fit(rows).transform(rows)
     return fitted.select("date", "symbol", rounding("p", 6).alias("p"))
-
-
-@query("M7_boosted_trees")
-def m7(spark, sf):
-    """Boosted trees on momentum and volume with a validation block; predictions of the test block."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    d = chronological_split(scored(spark, sf)).withColumn("held", F.col("role") == "validation")
-    rows = VectorAssembler(inputCols=["score", "volume"], outputCol="x").transform(d)
-    model = GBTRegressor(featuresCol="x", labelCol="forward_return", predictionCol="p", maxIter=10, maxDepth=3, validationIndicatorCol="held", seed=7).fit(rows.where("role <> 'test'"))
-    return model.transform(rows.where("role = 'test'")).select("date", "symbol", rounding("p", 6).alias("p"), rounding("forward_return", 6).alias("actual"))

@@ -1,4 +1,4 @@
-"""Queries over trials, pairs, recommendations and models (P4, J10, J15, G24, G26, G41, G46, W39, K7, K14, M4, M8-M11), files (A7-A13), lags (W23) and streams."""
+"""Queries over trials, pairs, recommendations and models (P4, J10, J15, G24, G26, G41, G46, W39, K7, K14, M4, M9), files (A7-A13), lags (W23) and streams."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from crossgrain.plans.features import frame
 from crossgrain.plans.grouped import WINDOWS, cdf_sql, quantile_sql, windows
 from crossgrain.plans.market import top_by, top_sql
 from crossgrain.plans.pit import FACTS, FLOATS, SECTORS, facts, floats, sectors
-from crossgrain.plans.quality import DIRTY, V1, V2, V3, dirty
+from crossgrain.plans.quality import DIRTY, dirty
 from crossgrain.plans.registry import query
 from crossgrain.plans.signals import FEATURES_SQL, TYPICAL, select_sql, selected
 from crossgrain.sources import files
@@ -155,34 +155,6 @@ def m9(spark, sf):
     return out(studies.ic_gradient(scored(spark, sf)).select("date", "symbol", "correlation", "gradient"))
 
 
-def _boosted(train: DataFrame, *, iterations: int = 5, depth: int = 3):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    trees = GBTRegressor(featuresCol="x", labelCol="forward_return", predictionCol="p", maxIter=iterations, maxDepth=depth, validationIndicatorCol="held", seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=["score", "volume"], outputCol="x"), trees]).fit(train)
-
-
-def _split(spark, sf) -> DataFrame:
-    return market.chronological_split(scored(spark, sf)).withColumn("held", F.col("role") == "validation")
-
-
-@query("M8_permutation_importance")
-def m8(spark, sf):
-    """How much the squared error on the validation block grows when a feature is dealt anew within its dates, in two draws each. No SQL: it has no trees."""
-    d = _split(spark, sf)
-    model = _boosted(d.where("role <> 'test'"))
-    held = d.where("role = 'validation'")
-    error = lambda rows: model.transform(rows).agg(F.avg(F.pow(F.col("p") - F.col("forward_return"), 2)).alias("mse"))
-    plain = error(held).withColumnRenamed("mse", "base")
-    parts = [error(studies.shuffled(held, c, 11 + 2 * k)).select(F.lit(c).alias("feature"), F.lit(k).alias("draw"), "mse") for c in ("score", "volume") for k in range(2)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.crossJoin(F.broadcast(plain)).select("feature", "draw", rounding(F.col("mse") - F.col("base"), 9).alias("importance"))
-
-
 # ---- files ---------------------------------------------------------------------------------------
 
 
