@@ -15,10 +15,12 @@ Candidates that hang together form a bundle, and only texts in bundles are
 shuffled. In a small bundle a task counts the shingles that each pair has in
 common. A bundle of many texts is not compared pair by pair: the ``LEADERS`` classes
 with the most candidates are compared with all of it, in as many tasks as it has
-blocks. What links join to the largest of their groups is settled, since one link
-is enough to belong to it. The rest look for leaders among themselves as long as
-that settles half of them, and what is then left, alone, is compared block by block
-with the whole bundle. So every link is exact, none is lost, and a hot group of
+blocks, and each text keeps a mask of those it is linked to. The leaders that hang
+together by the masks of a bundle, of which there are a bounded number, show its
+group: what is linked to one of them is settled, since one link is enough to belong
+to it. A leader outside has all its links and need not be asked again. The rest look
+for leaders among themselves as long as that settles half of them, and what is then
+left, alone, is compared block by block with the whole bundle. So every link is exact, none is lost, and a hot group of
 copies costs a few linear passes.
 
 Defined cases: a null, empty or white text has the empty set, and these form one
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -158,30 +160,49 @@ def _cells(rows: DataFrame, *, share: float, width: int) -> DataFrame:
 
 
 def _led(rows: DataFrame, *, share: float, width: int) -> DataFrame:
-    """(key, other): links of rows that do not lead to those that do, of ``rows(bundle, salt, leads, key, text)``; a salt's leaders come first."""
+    """(bundle, key, mask, own, others) of ``rows(bundle, salt, lead, key, text)``: the leaders that a row without ``lead`` is linked to.
+
+    ``mask`` has a bit for each of them, by the leader's number, and ``others`` their keys; a leader's own row is ``own`` and
+    has its own bit. A salt's leaders come first; rows that no leader is like are left out.
+    """
     exact = Fraction(str(share))
     over, under = exact.numerator, exact.denominator
-    rows = rows.repartition(spread(rows.sparkSession), "bundle", "salt").sortWithinPartitions("bundle", "salt", F.desc("leads"))
+    rows = rows.repartition(spread(rows.sparkSession), "bundle", "salt").sortWithinPartitions("bundle", "salt", F.col("lead").isNull())
+    names = ["bundle", "key", "mask", "own", "others"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders = None, []
         for batch in batches:
             out = []
-            for bundle, salt, leads, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for bundle, salt, lead, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bundle, salt) != now:
                     now, leaders = (bundle, salt), []
-                own = shingles((text or "").encode(), width)
-                if leads:
-                    leaders.append((key, own))
+                text_set = shingles((text or "").encode(), width)
+                if lead is not None:
+                    leaders.append((lead, key, text_set))
                     continue
-                for other, known in leaders:
-                    common = len(np.intersect1d(own, known, assume_unique=True))
-                    if other != key and common * under >= over * (len(own) + len(known) - common):
-                        out.append((key, other))
+                mask, own, others = 0, False, []
+                for number, other, known in leaders:
+                    if other == key:
+                        mask, own = mask | 1 << number, True
+                        continue
+                    common = len(np.intersect1d(text_set, known, assume_unique=True))
+                    if common * under >= over * (len(text_set) + len(known) - common):
+                        mask |= 1 << number
+                        others.append(other)
+                if mask:
+                    out.append((bundle, key, mask, own, others))
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "other"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return rows.select("bundle", "salt", "lead", "key", "text").mapInArrow(run, "bundle long, key long, mask long, own boolean, others array<long>")
+
 
-    return rows.select("bundle", "salt", "leads", "key", "text").mapInArrow(run, "key long, other long")
+def _reached(ways: Column, start: Column) -> Column:
+    """All bits that hang together with ``start`` by the masks of ``ways``, an array of (n, mask) with at most one entry a mask."""
+    once = lambda bits: F.aggregate(ways, bits, lambda a, w: F.when(w["mask"].bitwiseAND(a) != 0, a.bitwiseOR(w["mask"])).otherwise(a))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEADERS)), start, lambda a, _: once(a))
 
 
 def degrees(members: DataFrame) -> DataFrame:
@@ -200,23 +221,31 @@ def links(texts: DataFrame, members: DataFrame, *, share: float, width: int, blo
     small = placed.where("blocks = 1").select("bundle", "key", "place").join(texts, "place")
     all_links = [written(_cells(small.select("bundle", nought.alias("low"), nought.alias("high"), F.lit(False).alias("asks"), "key", "text"), share=share, width=width), "links")]
     large = placed.where("blocks > 1")
-    left = written(large.join(degrees(large), "key").select("bundle", "key", "place", "degree", "bytes", "blocks", "block"), "large")
+    left = written(large.join(degrees(large), "key").select("bundle", "key", "place", "degree", "bytes", "blocks", "block", F.lit(False).alias("led")), "large")
     waiting = left.count()
     if waiting:
         large = written(left.join(texts, "place"), "members")
+    settled, first = F.lit(1 << LEADERS).cast("long"), True
     while waiting:
         turn = F.row_number().over(Window.partitionBy("bundle").orderBy(F.desc("degree"), "key"))
-        chosen = left.withColumn("_n", turn).where(F.col("_n") <= LEADERS).select("key")
-        leads = large.join(chosen, "key", "left_semi").select("bundle", F.explode(F.sequence(nought, F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("leads"), "key", "text")
-        all_links.append(written(_led(leads.union(large.select("bundle", F.col("block").alias("salt"), F.lit(False).alias("leads"), "key", "text")), share=share, width=width), "links"))
-        roots = connected(reduce(DataFrame.union, all_links), "key", "other")
-        rooted = large.select("bundle", "key", "degree", "bytes", "blocks").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        main = rooted.groupBy("bundle", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("bundle").agg(F.max_by("root", F.struct("_n", "root")).alias("main"))
-        left = written(rooted.join(main, "bundle").where("root <> main").drop("root", "main"), "left")
-        before, waiting = waiting, left.count()
+        chosen = left.where("not led").withColumn("_n", turn).where(F.col("_n") <= LEADERS).select("key", (F.col("_n") - 1).alias("lead"))
+        leads = large.join(chosen, "key").select("bundle", F.explode(F.sequence(nought, F.col("blocks") - 1)).alias("salt"), "lead", "key", "text")
+        rest = large.select("bundle", F.col("block").alias("salt"), F.lit(None).cast("int").alias("lead"), "key", "text")
+        led = written(_led(leads.union(rest), share=share, width=width), "links")
+        all_links.append(led.select("key", F.explode("others").alias("other")))
+        # What was settled before has one more bit, so that leaders hang together by it too.
+        known = led.join(left.select("key", F.lit(True).alias("waits")), "key", "left")
+        known = known.withColumn("mask", F.when(F.col("waits"), F.col("mask")).otherwise(F.col("mask").bitwiseOR(settled)))
+        ways = known.groupBy("bundle", "mask").agg(F.count(F.lit(1)).alias("n")).groupBy("bundle").agg(F.collect_list(F.struct("n", "mask")).alias("ways"))
+        main = ways.select("bundle", _reached(F.col("ways"), F.array_max("ways")["mask"] if first else settled).alias("main"))
+        rooted = left.join(led.select("key", "mask", "own"), "key", "left").join(main, "bundle", "left")
+        open_still = F.coalesce(F.col("mask").bitwiseAND(F.col("main")), F.lit(0)) == 0
+        left = written(rooted.where(open_still).select("bundle", "key", "degree", "bytes", "blocks", (F.col("led") | F.coalesce("own", F.lit(False))).alias("led")), "left")
+        before, waiting, first = waiting, left.where("not led").count(), False
         if 2 * waiting > before or waiting <= block_texts:
             break
     if waiting:
+        left = left.where("not led")
         asking = left.groupBy("bundle").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("askers"))
         ask = large.join(left.select("key"), "key", "left_semi").join(asking, "bundle")
         ask = ask.select("bundle", F.pmod(F.xxhash64("key", F.lit(1)), "askers").cast("int").alias("low"), F.explode(F.sequence(nought, F.col("blocks") - 1)).alias("high"), F.lit(True).alias("asks"), "key", "text")

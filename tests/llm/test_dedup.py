@@ -335,3 +335,33 @@ def test_pipeline_stage_drops_near_copies(spark, sf):
     want = plain_groups([(r.doc_id, r.text) for r in docs.collect()])
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_links_of_one_bundle_of_many_groups(spark):
+    """Leaders of several turns, groups that no leader joins, and chains whose ends are unlike: no link between groups is lost or made."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    texts = []
+    for size in [30, 12, 9, 7, 5, 3, 2, 2, *[1] * 12]:
+        own = [word() for _ in range(60)]
+        for _ in range(size):
+            texts.append(" ".join(own))
+            at = rng.randrange(60)  # a chain: each text is like the one before, less like the earlier ones
+            own = own[:at] + [word()] + own[at + 1 :]
+    sets = [set(neardup.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    rows = [(k * 7 % 101, k, t) for k, t in enumerate(texts)]
+    given = spark.createDataFrame([(k, p, 5, len(t), [p % 4, 100 + p % 9]) for k, p, t in rows], "key long, place long, bundle long, bytes int, bands array<long>")
+    docs = spark.createDataFrame([(p, t) for _, p, t in rows], "place long, text string")
+    key = {p: k for k, p, _ in rows}
+    for block_texts in (3, 20):
+        found = simhash.connected(neardup.links(docs, given, share=0.8, width=5, block_texts=block_texts), "key", "other").collect()
+        got = {r.node: r.root for r in found}
+        for p, r in enumerate(root):
+            group = [key[q] for q, s in enumerate(root) if s == r]
+            assert got.get(key[p], key[p]) == min(group)
