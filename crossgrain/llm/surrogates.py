@@ -13,19 +13,26 @@ Detected entities are replaced by keyed surrogates of their own type and format:
   and a valid check;
 - IPv4 and IPv6 addresses stay addresses, their parts of the same length;
 - US social security numbers keep their grouping;
-- names after a form of address (Mr, Mrs, Frau, Señora, г-н, ...) get names of the
-  same gender and script, word for word, with the same capitals; so does a name of
-  two words that the same text repeats without the form of address. A word's gender is that of
+- names after forms of address (Mr, Frau Dr., Señora, г-н, MRS, ...) get names of the
+  same gender and script, word for word, with the same hyphens, apostrophes and
+  capitals (a word all in capitals stays so, inner ones go); so does a name of
+  two or more words that the same text repeats without the form of address. A name has up
+  to three words (``McDonald``, ``O'Brien``, ``Anna-Lena``, the third not all in capitals) with
+  initials and particles (``von``, ``de la``) before them; particles stay, initials are turned
+  within their alphabet. Capitals that follow a name without a sign between are taken for part of it.
+  A word's gender is that of
   the forms of address it follows as a first name anywhere in the corpus; none,
   where they disagree or there are none. Other untitled names stay.
 
 An entity is its normal form (an address in lower case, a number's digits, a name's
-word in lower case), so all its mentions in all documents get the same surrogate,
+word in lower case, accents composed), so all its mentions in all documents get the same surrogate,
 whatever their format. Distinct entities get distinct surrogates: all candidates
 are compared, and an entity whose candidate is taken, by an earlier entity or as a
 real entity of the corpus, draws again; each round is a join over the entities that
 are left. From round ``WIDER`` on, draws of formats with few members are longer
-(octets of any length, more letters); a format with no room at all is an error.
+(octets and groups of any length, more letters, telephones of more digits). Cards and security numbers
+cannot grow: it is an error if after ``most_rounds`` any of them is without a surrogate, which takes
+nearly all of their 10^8 and more numbers as real entities.
 Surrogates come from SHA-256 over the key, the type, the entity and the round. The
 key is the caller's secret: who has it can tell which entity a surrogate stands for.
 
@@ -41,9 +48,12 @@ in order, whatever they are called; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import secrets
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +61,8 @@ from pyspark.sql import functions as F
 from crossgrain.llm.common import as_row, named, read_table, spread, spread_join, written
 
 #: Patterns by type. A mention is given the first type whose pattern it is whole.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{2,24}"
+_LETTER = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}"
+EMAIL = rf"(?<![{_LETTER}0-9._%+\-])[{_LETTER}0-9._%+\-]++@[{_LETTER}0-9][{_LETTER}0-9.\-]*\.[{_LETTER}]{{2,24}}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{4}:|(?:[0-9A-Fa-f]{1,4}:){2,6})(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])"
 CARD = r"(?<!\d)(?<!\d\.)(?:(?:\d{4}[ \-]?){3}\d{4}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?!\d)"
@@ -62,22 +73,44 @@ PHONE = r"(?<![\w+])(?<!\d\.)(?:\+\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,6}|(?:\(\d{
 #: Country codes of telephones by their first digits, fixed values: one or two digits, and three else.
 COUNTRY_CODE = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
-#: Forms of address by gender, fixed values; those of no gender have names of either.
+#: Forms of address by gender, fixed values; those of no gender have names of either. All of them in capitals too.
 ADDRESS = {
-    "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "г-н", "господин"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Signora", "г-жа", "госпожа"),
-    "n": ("Dr", "Prof"),
+    "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Signora", "г-жа", "госпожа"),
+    "n": ("Dr", "Dra", "Prof", "Professor", "Doctor", "Professeur", "Docteur", "Profesor"),
 }
-_TITLES = "|".join(sorted((t for ts in ADDRESS.values() for t in ts), key=len, reverse=True))
-_INITIALS = "".join(sorted({t[0] for ts in ADDRESS.values() for t in ts}))
-_WORD = r"\p{Lu}\p{Ll}+"
-NAME = rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
+#: What may follow another form of address, fixed values.
+DEGREES = ("med", "phil", "rer", "nat", "jur", "iur", "h.c", "Dipl.-Ing", "Ing")
+#: Words of a name that are no one's own, fixed values.
+PARTICLES = ("de", "del", "della", "der", "den", "des", "di", "da", "do", "dos", "du", "la", "las", "los", "le", "van", "von", "vom", "zu", "zur", "ten", "ter", "bin", "ibn", "al", "el", "y")
+_SAID = {t for ts in ADDRESS.values() for t in ts}
+_SAID |= {t.upper() for t in _SAID} | {t.capitalize() for t in _SAID}
+
+
+def _any_of(words: tuple[str, ...] | set[str]) -> str:
+    return "|".join(w.replace(".", r"\.") for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+#: The accented letters of both scripts, decomposed to composed.
+COMPOSED = {unicodedata.normalize("NFD", chr(c)): chr(c) for c in (*range(0xC0, 0x17F), *range(0x400, 0x460)) if len(unicodedata.normalize("NFD", chr(c))) == 2}
+#: The alphabets within which initials are turned.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "áàâäãåçéèêëíìîïñóòôöõúùûüý", "абвгдежзиклмнопрстуфхцчшщэюя")
+
+_TITLES = _any_of(_SAID)
+_INITIALS = "".join(sorted({t[0] for t in _SAID}))
+_CHAIN = rf"(?:{_TITLES})\.?(?:,? (?:l[ae] )?(?:(?:{_TITLES})\.?|(?:{_any_of(DEGREES)})\.)){{0,5}} "
+_END = r"(?![\p{L}\p{M}\p{N}])"
+_WORD = rf"(?!(?:{_TITLES}){_END})(?:[DLOdl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]++(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]++|-\p{{L}}[\p{{L}}\p{{M}}]++){{0,3}}"
+_LEAD = rf"(?:\p{{Lu}}\p{{M}}?\.[ \-]?|\p{{Lu}} (?=\p{{Lu}})|(?:{_any_of(PARTICLES)}) ){{0,4}}"
+_THIRD = r"(?=\p{Lu}\p{M}?[\p{Ll}'’.])"
+_BODY = rf"{_LEAD}{_WORD}(?: {_LEAD}{_WORD})?(?: {_LEAD}{_THIRD}{_WORD})?"
+NAME = rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{M}}\p{{N}}]){_CHAIN}{_BODY}{_END}"
 PATTERNS = {"email": EMAIL, "iban": IBAN, "ip6": IPV6, "card": CARD, "ssn": SSN, "ip": IPV4, "phone": PHONE, "name": NAME}
 _NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("card", "ssn", "ip", "phone"))
 #: All of them; what can only begin with a digit, a sign or a bracket is tried only there.
 ANY = rf"(?:{EMAIL})|(?:(?=[A-Z]{{2}}\d){IBAN})|(?:(?=[0-9A-Fa-f]{{1,4}}:){IPV6})|(?=[\d+(])(?:{_NUMBERS})|(?:{NAME})"
 #: A cheap sign that a text may hold any of them.
-HINT = rf"@|\d[ .\-/]?\(?\d|[0-9A-Fa-f]:|(?=[{_INITIALS}])(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"@|\d[ .\-/]?\(?\d|[0-9A-Fa-f]:|(?=[{_INITIALS}])(?:{_TITLES})(?:\.|,)?+,? "
 
 #: The round from which draws of formats with few members are longer.
 WIDER = 8
@@ -93,8 +126,20 @@ ENDINGS = {
 }
 
 
-def _titled(mention: Column) -> Column:
-    return F.regexp_extract(mention, r"^([^ .]+)", 1).isin(*(t for ts in ADDRESS.values() for t in ts)) & mention.contains(" ")
+def composed(text: Column) -> Column:
+    """Letters and their combining accents as one character, where there is one."""
+    known = F.create_map(*map(F.lit, chain.from_iterable(COMPOSED.items())))
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"\P{M}\p{M}*|\p{M}"), F.lit(0)), lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(known, c), c)).otherwise(c))
+    return F.when(text.rlike(r"\p{M}"), F.array_join(parts, "")).otherwise(text)
+
+
+def _chain(mention: Column) -> Column:
+    """The forms of address before a name, with the space after them; empty if there are none."""
+    return F.regexp_extract(mention, rf"^{_CHAIN}", 0)
+
+
+def _body(mention: Column) -> Column:
+    return F.substring(mention, F.length(_chain(mention)) + 1, F.length(mention))
 
 
 def kind_of(mention: Column) -> Column:
@@ -108,9 +153,10 @@ def kind_of(mention: Column) -> Column:
 
 
 def gender_of(mention: Column) -> Column:
-    title = F.regexp_extract(mention, r"^([^ .]+)", 1)
-    out = F.when(title.isin(*ADDRESS["m"]), "m")
-    return out.when(title.isin(*ADDRESS["f"]), "f").otherwise("n")
+    """Of the forms of address; ``n`` where none has a gender."""
+    said = F.split(F.lower(_chain(mention)), "[ .,]+")
+    of = lambda g: F.arrays_overlap(said, F.array(*(F.lit(t.lower()) for t in ADDRESS[g])))
+    return F.when(of("m"), "m").when(of("f"), "f").otherwise("n")
 
 
 def script_of(word: Column) -> Column:
@@ -119,10 +165,18 @@ def script_of(word: Column) -> Column:
 
 def words_of(kind: Column, mention: Column) -> Column:
     """(kind, word, given, entity) of what is replaced in a mention: a name's words, an address's mailbox and domain, or itself."""
-    names = F.split(F.when(_titled(mention), F.regexp_replace(mention, r"^[^ ]+ ", "")).otherwise(mention), " ")
     own = lambda k, word, given, entity: F.struct(k.alias("kind"), word.alias("word"), given.alias("given"), entity.alias("entity"))
+    mention = composed(mention)
     low, no = F.lower(mention), F.lit(False)
-    name = F.transform(names, lambda w, i: own(kind, w, (i == 0) & (F.size(names) > 1), F.lower(w)))
+    body = _body(mention)
+    parts, between = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), F.regexp_extract_all(body, F.lit(r"[^\p{L}\p{M}]+"), F.lit(0))
+
+    def one(w: Column, i: Column) -> Column:
+        elided = F.coalesce(F.try_element_at(between, i + 1).rlike("^['’]"), F.lit(False)) & (F.length(w) == 1)
+        kept = elided | w.isin(*PARTICLES)
+        return own(F.when(kept, "particle").when(F.length(w) == 1, "initial").otherwise("name"), w, (i == 0) & body.contains(" "), F.lower(w))
+
+    name = F.transform(parts, one)
     mail = F.array(own(F.lit("mailbox"), F.split_part(mention, F.lit("@"), F.lit(1)), no, low), own(F.lit("domain"), F.split_part(mention, F.lit("@"), F.lit(2)), no, F.split_part(low, F.lit("@"), F.lit(2))))
     return F.when(kind == "name", name).when(kind == "email", mail).otherwise(F.array(own(kind, mention, no, normal_form(kind, mention))))
 
@@ -186,21 +240,29 @@ def _iban(draws: Column, entity: Column) -> Column:
 
 def _alike(draws: Column, text: Column) -> Column:
     """Letters for letters, digits for digits."""
-    letters = {"abcdefghijklmnopqrstuvwxyz": "[a-z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ": "[A-Z]"}
+    latin, accented, cyrillic = ALPHABETS
+    letters = {latin: "[a-z]", latin.upper(): "[A-Z]", accented: r"\p{IsLatin}", cyrillic: r"\p{IsCyrillic}"}
 
     def one(c: Column, i: Column) -> Column:
         own = _at(draws, i) + i
         out = F.when(c.rlike("[0-9]"), (own % 10).cast("string"))
         for known, pattern in letters.items():
-            out = out.when(c.rlike(pattern), F.substring(F.lit(known), (own % 26 + 1).cast("int"), F.lit(1)))
+            out = out.when(c.rlike(pattern), F.substring(F.lit(known), (own % len(known) + 1).cast("int"), F.lit(1)))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _hex(draws: Column, entity: Column) -> Column:
-    """Hexadecimal digits for such, none of them 0."""
+def _longer(draws: Column, entity: Column, turn: Column) -> Column:
+    """Digits for digits, and more of them behind from round ``WIDER`` on."""
+    more = F.when(turn < WIDER, "").otherwise(F.repeat(F.lit("1"), F.least(turn - WIDER + 1, F.lit(8))))
+    return _digits(draws, F.concat(entity, more))
+
+
+def _hex(draws: Column, entity: Column, turn: Column) -> Column:
+    """Hexadecimal digits for such, none of them 0; groups of four from round ``WIDER`` on."""
     known = F.lit("123456789abcdef")
+    entity = F.when(turn < WIDER, entity).otherwise(F.regexp_replace(entity, "[0-9a-f]+", "ffff"))
     return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(known, ((_at(draws, i) + i) % 15 + 1).cast("int"), F.lit(1)))), "")
 
 
@@ -228,7 +290,7 @@ def _mailbox(draws: Column, entity: Column, turn: Column) -> Column:
 
 def _domain(draws: Column, entity: Column, turn: Column) -> Column:
     """The last label stays."""
-    head, last = F.regexp_extract(entity, r"^(.*)(\.[a-z]+)$", 1), F.regexp_extract(entity, r"^(.*)(\.[a-z]+)$", 2)
+    head, last = F.regexp_extract(entity, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(entity, r"^(.*)(\.[^.]+)$", 2)
     return F.concat(_alike(draws, head), _more(draws, turn), last)
 
 
@@ -254,7 +316,8 @@ def candidate(key: str, kind: Column, entity: Column, gender: Column, script: Co
 def _drawn(draws: Column, kind: Column, entity: Column, gender: Column, script: Column, turn: Column) -> Column:
     out = F.when(kind == "mailbox", _mailbox(draws, entity, turn)).when(kind == "domain", _domain(draws, entity, turn))
     out = out.when(kind == "card", _luhn(F.left(_digits(draws, entity, 1), F.length(entity) - 1))).when(kind == "iban", _iban(draws, entity))
-    out = out.when(kind == "ip", _octets(draws, entity, turn)).when(kind == "ip6", _hex(draws, entity)).when(kind == "name", _name(draws, gender, script, turn))
+    out = out.when(kind == "ip", _octets(draws, entity, turn)).when(kind == "ip6", _hex(draws, entity, turn)).when(kind == "name", _name(draws, gender, script, turn))
+    out = out.when(kind == "phone", _longer(draws, entity, turn))
     return out.otherwise(_digits(draws, entity))
 
 
@@ -283,20 +346,29 @@ def surrogates(entities: DataFrame, *, key: str, most_rounds: int = 40) -> DataF
     raise ValueError(f"no distinct surrogates left after {most_rounds} rounds for the types {sorted(r.kind for r in left.select('kind').distinct().collect())}")
 
 
-def rendered(kind: Column, word: Column, surrogate: Column) -> Column:
+def rendered(kind: Column, word: Column, entity: Column, surrogate: Column) -> Column:
     """A surrogate in the format of the word it stands for."""
     chars = F.split(word, "")
     n = F.length(F.regexp_replace(word, r"\D", ""))
-    # numbers: the surrogate's digits into the word's places, counted from the right; what is beyond stays (country codes)
-    place = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), r"\D", "")) - n + F.length(surrogate))
+    # numbers: the surrogate's digits into the word's places, counted from the right; what is beyond stays (country codes), what is left over comes last
+    place = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), r"\D", "")) - n + F.length(entity))
     digits = F.array_join(F.zip_with(chars, place, lambda c, p: F.when(c.rlike(r"\d") & (p > 0), F.substring(surrogate, p, F.lit(1))).otherwise(c)), "")
+    digits = F.concat(digits, F.when(kind == "phone", F.substring(surrogate, F.length(entity) + 1, F.length(surrogate))).otherwise(""))
     # words: the word's capitals
     own = F.when(kind == "mailbox", F.split_part(surrogate, F.lit("@"), F.lit(1))).otherwise(surrogate)
     cased = F.array_join(F.zip_with(F.split(own, ""), chars, lambda s, c: F.when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(F.coalesce(s, F.lit("")))), "")
+    written_as = F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(surrogate)).when(word.rlike(r"^\p{Ll}"), surrogate).otherwise(F.initcap(surrogate))
+    turned = F.when(F.upper(word) == word, F.upper(surrogate)).otherwise(surrogate)
     # an IBAN: its characters with the word's spaces
     at = F.transform(chars, lambda c, i: F.length(F.replace(F.array_join(F.slice(chars, F.lit(1), i + 1), ""), F.lit(" "), F.lit(""))))
     spaced = F.array_join(F.zip_with(chars, at, lambda c, p: F.when(c == " ", c).otherwise(F.substring(surrogate, p, F.lit(1)))), "")
-    return F.when(kind == "ip", surrogate).when(kind.isin("mailbox", "domain", "ip6"), cased).when(kind == "name", F.initcap(surrogate)).when(kind == "iban", spaced).otherwise(digits)
+    return F.when(kind == "ip", surrogate).when(kind.isin("mailbox", "domain", "ip6"), cased).when(kind == "name", written_as).when(kind == "initial", turned).when(kind == "particle", word).when(kind == "iban", spaced).otherwise(digits)
+
+
+def initial(key: str, entity: Column) -> Column:
+    """The letter as many places on in its alphabet as the key says, never itself; letters of no alphabet stay."""
+    places = {a: int(hashlib.sha256(f"{key}\x1finitial\x1f{a}".encode()).hexdigest(), 16) % (len(a) - 1) + 1 for a in ALPHABETS}
+    return F.translate(entity, "".join(ALPHABETS), "".join(a[n:] + a[:n] for a, n in places.items()))
 
 
 def genders(words: DataFrame) -> DataFrame:
@@ -310,10 +382,11 @@ def holds_any(text: Column) -> Column:
 
 
 def own_pattern(mentions: Column) -> Column:
-    """``ANY``, and the names of two words that a text says after a form of address."""
-    titled = rf"^(?:{_TITLES})\.? {_WORD} {_WORD}$"
-    full = F.array_distinct(F.transform(F.filter(mentions, lambda m: m.rlike(titled)), lambda m: F.regexp_replace(m, r"^[^ ]+ ", "")))
-    return F.when(F.size(full) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(ANY)
+    """``ANY``, and the names of two or more words that a text says after a form of address."""
+    full = F.array_distinct(F.transform(F.filter(mentions, lambda m: (_chain(m) != "") & _body(m).contains(" ")), _body))
+    # the longest first; dots of initials are no signs of the pattern
+    full = F.transform(F.array_sort(F.transform(full, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: F.regexp_replace(x["m"], r"\.", r"\\."))
+    return F.when(F.size(full) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))).otherwise(ANY)
 
 
 def pseudonymized(docs: DataFrame, *, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
@@ -328,11 +401,14 @@ def pseudonymized(docs: DataFrame, *, key: str, text_col: str = "text", counts_c
     words = written(words.select("digest", "at", "part", "mention", "gender", "w.*"), "words")
     named_as = genders(words)
     entities = words.select("kind", "entity").distinct().join(named_as, "entity", "left").select("kind", F.when(F.col("kind") == "name", F.col("gender")).otherwise("").alias("gender"), "entity")
-    table = surrogates(entities, key=key).select("kind", "entity", "surrogate")
-    new = spread_join(words, table, ["kind", "entity"]).withColumn("new", rendered(F.col("kind"), F.col("word"), F.col("surrogate")))
+    own = F.col("kind").isin("initial", "particle")
+    table = surrogates(entities.where(~own), key=key).select("kind", "entity", "surrogate")
+    table = table.union(entities.where(own).select("kind", "entity", F.when(F.col("kind") == "initial", initial(key, F.col("entity"))).otherwise(F.col("entity"))))
+    new = spread_join(words, table, ["kind", "entity"]).withColumn("new", rendered(F.col("kind"), F.col("word"), F.col("entity"), F.col("surrogate")))
     new = new.groupBy("digest", "at").agg(F.first("mention").alias("mention"), F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("part", "new"))).alias("parts"))
-    joined = F.when(F.col("kind").isin("mailbox", "domain"), F.array_join("parts.new", "@")).otherwise(F.array_join("parts.new", " "))
-    whole = F.when((F.col("kind") == "name") & _titled(F.col("mention")), F.concat(F.regexp_extract("mention", r"^([^ ]+ )", 1), joined)).otherwise(joined)
+    between = F.regexp_extract_all(_body(F.col("mention")), F.lit(r"[^\p{L}\p{M}]+"), F.lit(0))
+    name = F.concat(_chain(F.col("mention")), F.array_join(F.zip_with("parts.new", between, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
+    whole = F.when(F.col("kind").isin("mailbox", "domain"), F.array_join("parts.new", "@")).when(F.col("kind").isin("name", "initial", "particle"), name).otherwise(F.array_join("parts.new", ""))
     new = new.select("digest", "at", whole.alias("new")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"))
     new = written(new, "replacements")
     done = spread_join(hit, hit.select("digest").distinct().join(new, "digest", "left"), ["digest"])
