@@ -180,15 +180,15 @@ def g28(spark, sf):
     return d.select("trades", rounding("p", 6).alias("p"), rounding("mean_win", 4).alias("mean_win"), rounding("mean_loss", 4).alias("mean_loss"))
 
 
-LOTS = "lt AS (SELECT symbol, date, exit_date, greatest(exit_price - close, 0) * 300 AS gain FROM (SELECT symbol, date, close, lead(date, 14) OVER w AS exit_date, lead(close, 14) OVER w AS exit_price FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE month(date) = 1 AND date_diff('day', date, exit_date) >= 365)"
+LOTS = "lt AS (SELECT symbol, date, exit_date, greatest(exit_price - close, 0) * 300 AS gain FROM (SELECT symbol, date, close, lead(date, 60) OVER w AS exit_date, lead(close, 60) OVER w AS exit_price FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE date_diff('day', date, exit_date) >= 365)"
 
 
-@query("W22_running_exemption", sql(bars_sql("month"), LOTS, "ru AS (SELECT *, least(125000.0, sum(gain) OVER (PARTITION BY symbol ORDER BY exit_date, date ROWS UNBOUNDED PRECEDING)) AS used FROM lt)", select="SELECT symbol, date, round(gain,2) gain, round(used - coalesce(lag(used) OVER (PARTITION BY symbol ORDER BY exit_date, date), 0), 2) AS exempt FROM ru"))
+@query("W22_running_exemption", sql(bars_sql(), LOTS, "ru AS (SELECT *, least(125000.0, sum(gain) OVER (PARTITION BY symbol ORDER BY exit_date, date ROWS UNBOUNDED PRECEDING)) AS used FROM lt)", select="SELECT symbol, date, round(gain,2) gain, round(used - coalesce(lag(used) OVER (PARTITION BY symbol ORDER BY exit_date, date), 0), 2) AS exempt FROM ru"))
 def w22(spark, sf):
-    """Lots of 300, bought each January and sold 14 bars later."""
+    """A lot of 300 at every weekly bar, sold 60 bars later; those held for less than a year have no part in the exemption."""
     s = Window.partitionBy("symbol").orderBy("date")
-    d = bars(spark, sf, "month").withColumns({"exit_date": F.lead("date", 14).over(s), "exit_price": F.lead("close", 14).over(s)})
-    d = d.where((F.month("date") == 1) & (F.date_diff("exit_date", "date") >= 365)).withColumn("gain", F.greatest(F.col("exit_price") - F.col("close"), F.lit(0.0)) * 300)
+    d = bars(spark, sf).withColumns({"exit_date": F.lead("date", 60).over(s), "exit_price": F.lead("close", 60).over(s)})
+    d = d.where(F.date_diff("exit_date", "date") >= 365).withColumn("gain", F.greatest(F.col("exit_price") - F.col("close"), F.lit(0.0)) * 300)
     w = Window.partitionBy("symbol").orderBy("exit_date", "date")
     d = d.withColumn("used", F.least(F.lit(X.EXEMPTION), F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return d.select("symbol", "date", rounding("gain", 2).alias("gain"), rounding(F.col("used") - F.coalesce(F.lag("used").over(w), F.lit(0.0)), 2).alias("exempt"))

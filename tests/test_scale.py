@@ -20,3 +20,13 @@ def shifted(spark, sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["V1_price_order", "V2_positive_prices", "V3_duplicate_dates", "V4_unsorted_input", "V11_ingest_gate", "G36_quality_report", "P3_clean_rows", "S2_ingest_gate"])
 def test_large_symbols_do_not_overflow(spark, shifted, name):
     assert QUERIES[name](spark, shifted).count() > 0
+
+
+def test_exemption_has_a_lot_for_every_bar_held_a_year(spark, sf):
+    rows = {}
+    for r in bars(spark, sf).select("symbol", "date").orderBy("symbol", "date").collect():
+        rows.setdefault(r.symbol, []).append(r.date)
+    lots = {(s, a) for s, d in rows.items() for a, b in zip(d, d[60:]) if (b - a).days >= 365}
+    got = QUERIES["W22_running_exemption"](spark, sf).collect()
+    assert {(r.symbol, r.date) for r in got} == lots and len(got) == len(lots)
+    assert len({r.date.month for r in got}) == 12
