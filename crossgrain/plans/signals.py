@@ -33,8 +33,12 @@ def typical_bars(spark, sf) -> DataFrame:
 
 
 def panel(spark, sf) -> DataFrame:
-    """Features and screens of every symbol and month; the traded value counts for every seventh symbol only."""
-    b = ft.with_limit_shares(ft.with_limit_flags(ft.with_atr(typical_bars(spark, sf))))
+    return screened(typical_bars(spark, sf))
+
+
+def screened(b: DataFrame) -> DataFrame:
+    """Features and screens of every bar; the traded value counts for every seventh symbol only."""
+    b = ft.with_limit_shares(ft.with_limit_flags(ft.with_atr(b)))
     b = ft.with_traded_value(ft.with_volatility(b, 26, 52))
     b = b.withColumns({"mom": ft.momentum(26, 4), "rev": ft.change("close", 4, lag=1)})
     d = b.withColumns({"traded_value": F.when(F.col("symbol").cast("int") % 7 == 0, F.col("traded_value_60")), "atr": F.col("atr_14"), "volatility": F.col("realized_vol_26")})
@@ -62,9 +66,9 @@ def shown(d: DataFrame) -> DataFrame:
     return d.select("date", "symbol", "signal", rounding("score", 2).alias("score"), rounding("entry", 4).alias("entry"), "reward_risk", "position_scale", "reject_reason")
 
 
-@query("P6_tradability", sql(TYPICAL, FEATURES_SQL, select="SELECT date, symbol, reject_reason FROM pn"))
+@query("P6_tradability", sql(bars_sql(), FEATURES_SQL, select="SELECT date, symbol, reject_reason FROM pn"))
 def tradability(spark, sf):
-    return panel(spark, sf).select("date", "symbol", "reject_reason")
+    return screened(bars(spark, sf)).select("date", "symbol", "reject_reason")
 
 
 @query("K1_rank_and_select", sql(TYPICAL, FEATURES_SQL, select_sql("mom", True), select="SELECT signal, count(*) AS rows, round(avg(score), 4) AS mean_score, round(avg(stop),3) mean_stop, round(avg(target),3) mean_target FROM so GROUP BY signal"))

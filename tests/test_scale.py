@@ -30,3 +30,7 @@ def test_exemption_has_a_lot_for_every_bar_held_a_year(spark, sf):
     got = QUERIES["W22_running_exemption"](spark, sf).collect()
     assert {(r.symbol, r.date) for r in got} == lots and len(got) == len(lots)
     assert len({r.date.month for r in got}) == 12
+
+
+def test_tradability_screens_every_weekly_bar(spark, sf):
+    assert QUERIES["P6_tradability"](spark, sf).count() == bars(spark, sf).count()
