@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.frames import across
+from crossgrain.operators import gram
 from crossgrain.operators.metrics import bucketed
 
 
@@ -184,6 +185,14 @@ def book_risk(weights: DataFrame, cov: DataFrame) -> DataFrame:
     return d.select("volatility", "independent", F.try_divide(F.col("volatility"), F.col("independent")).alias("correlation_multiple"), F.try_divide(F.col("_weighted"), F.col("volatility")).alias("diversification"))
 
 
+def risk_of_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """``book_risk`` over the covariances of ``returns``, of which no pair is made."""
+    own = returns.groupBy("symbol").agg(F.var_samp("ret").alias("v")).join(weights, "symbol")
+    own = own.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight") * F.col("v"))).alias("independent"), F.sum(F.col("weight") * F.sqrt("v")).alias("_weighted"))
+    d = gram.book_variance(returns, weights).select(F.sqrt("variance").alias("volatility")).crossJoin(F.broadcast(own))  # one row each
+    return d.select("volatility", "independent", F.try_divide(F.col("volatility"), F.col("independent")).alias("correlation_multiple"), F.try_divide(F.col("_weighted"), F.col("volatility")).alias("diversification"))
+
+
 def shrunk(wins: Column, total: Column, strength: float = 20.0, prior: float = 0.5) -> Column:
     """A win rate drawn towards its prior."""
     return (wins + strength * prior) / (total + strength)

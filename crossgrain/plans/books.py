@@ -107,7 +107,7 @@ def g30(spark, sf):
     names = r.select("symbol").distinct()
     n = names.agg(F.count(F.lit(1)).alias("n"))
     weights = names.crossJoin(F.broadcast(n)).select("symbol", (1.0 / F.col("n")).alias("weight"))
-    return out(books.book_risk(weights, gram.covariance(r)))
+    return out(books.risk_of_returns(weights, r))
 
 
 @query("G33_single_factor_covariance", sql(bars_sql("month"), MONTHLY, FEW, "f AS (SELECT date, avg(ret) AS m FROM fr GROUP BY date), be AS (SELECT symbol, regr_slope(ret, m) AS beta, var_samp(ret) - pow(regr_slope(ret, m), 2) * var_samp(m) AS own FROM fr JOIN f USING (date) GROUP BY symbol), vf AS (SELECT var_samp(m) AS v FROM f)", select="SELECT a.symbol AS i, b.symbol AS j, round(a.beta * b.beta * v + CASE WHEN a.symbol = b.symbol THEN greatest(a.own, 0) ELSE 0 END, 6) AS cov FROM be a, be b, vf"))
@@ -117,9 +117,7 @@ def g33(spark, sf):
     slope = F.regr_slope("ret", "m")
     be = r.join(f, "date").groupBy("symbol").agg(slope.alias("beta"), (F.var_samp("ret") - slope * slope * F.var_samp("m")).alias("own"))
     v = f.agg(F.var_samp("m").alias("v"))
-    a, b = be.select(F.col("symbol").alias("i"), F.col("beta").alias("bi"), "own"), be.select(F.col("symbol").alias("j"), F.col("beta").alias("bj"))
-    d = a.crossJoin(b).crossJoin(F.broadcast(v))  # the answer has a row for each two names; the last is one row
-    return out(d.select("i", "j", (F.col("bi") * F.col("bj") * F.col("v") + F.when(F.col("i") == F.col("j"), F.greatest("own", F.lit(0.0))).otherwise(0.0)).alias("cov")))
+    return out(gram.single_factor(be.crossJoin(F.broadcast(v))))  # v is one row
 
 
 VOLS = f"vs AS (SELECT symbol, date, {frame('stddev_samp($)', 'ret', 26, 20)} AS volatility FROM (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM b))"

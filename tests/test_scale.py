@@ -1,8 +1,12 @@
 """Tables of larger keys, and whole jobs where a cut had crept in."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crossgrain.operators import books, gram
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -34,3 +38,43 @@ def test_exemption_has_a_lot_for_every_bar_held_a_year(spark, sf):
 
 def test_tradability_screens_every_weekly_bar(spark, sf):
     assert QUERIES["P6_tradability"](spark, sf).count() == bars(spark, sf).count()
+
+
+def test_many_symbols_are_copied_few_times(spark):
+    """A symbol is shuffled once for each block, so that blocks have to grow with the symbols."""
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("symbol"))
+    cells = gram._cells(rows, gram.BLOCK)
+    assert cells.count() <= 8 * rows.count()
+    assert cells.groupBy("low", "high").count().count() == 36
+
+
+def holed(spark, symbols: int, dates: int = 30):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(dates, symbols)) + 3
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, ::3] = rng.normal(size=(dates, len(range(0, symbols, 3))))  # many whole ones, which share their dates
+    x[1:, 1], x[:-1, 2] = np.nan, np.nan  # one date each, not the same
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(d), f"s{j}", float(x[d, j])) for d in range(dates) for j in range(symbols) if not np.isnan(x[d, j])]
+    return spark.createDataFrame(rows, "date date, symbol string, ret double")
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_risk_of_a_book_without_its_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(gram, "TILE", 20)
+    returns = holed(spark, 20)
+    weights = spark.createDataFrame([(f"s{j}", 0.5 + j / 7) for j in range(20)], "symbol string, weight double")
+    want = books.book_risk(weights, gram.covariance(returns, block)).first()
+    got = books.risk_of_returns(weights, returns).first()
+    assert list(got) == pytest.approx(list(want), rel=1e-9)
+    pairs = gram.covariance(returns, block).collect()
+    dates = {r.symbol: set(r.d) for r in returns.groupBy("symbol").agg(F.collect_list("date").alias("d")).collect()}
+    assert sorted((r.i, r.j) for r in pairs) == sorted((i, j) for i in dates for j in dates if dates[i] & dates[j])
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_single_factor_has_every_pair_once(spark, block):
+    be = {f"s{j}": (None if j == 3 else j / 3, None if j == 4 else j - 5.0) for j in range(12)}
+    rows = spark.createDataFrame([(s, b, o, 0.25) for s, (b, o) in be.items()], "symbol string, beta double, own double, v double")
+    got = gram.single_factor(rows, block).collect()
+    want = {(i, j): None if None in (be[i][0], be[j][0]) else be[i][0] * be[j][0] * 0.25 + (max(be[i][1] or 0, 0) if i == j else 0) for i in be for j in be}
+    assert len(got) == 144 and all(r.cov == (None if want[r.i, r.j] is None else pytest.approx(want[r.i, r.j])) for r in got)
