@@ -53,9 +53,15 @@ def breaker(curves: DataFrame, *, halt: float, resume: float, cooldown: int = 10
 
 
 def binomial_tail(wins: Column, total: Column) -> Column:
-    """The chance of ``wins`` or more of ``total`` at even odds."""
-    ways = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.log((total - k + i) / i)).otherwise(0.0))
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(wins, total), F.lit(0.0), lambda a, k: a + F.exp(ways(k) - total * F.log(F.lit(2.0)))))
+    """The chance of ``wins`` or more of ``total`` at even odds, for ``wins`` of at least half.
+
+    Each term follows from the one before, and from the middle on terms only fall: the sum is taken relative to its first term, whose
+    logarithm is the only one worked out.
+    """
+    first = F.aggregate(F.sequence(F.lit(1), F.greatest(total - wins, F.lit(1))), F.lit(0.0), lambda a, i: a + F.when(i <= total - wins, F.log((wins + i) / i)).otherwise(0.0))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * (total - k) / (k + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    return F.least(F.lit(1.0), F.exp(first - total * F.log(F.lit(2.0))) * F.aggregate(F.sequence(wins, total), start, step, lambda s: s["sum"]))
 
 
 def learned_weights(trades: DataFrame, base: dict[str, float], *, strength: float = 20.0, least: float = 5.0) -> DataFrame:

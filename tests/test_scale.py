@@ -1,12 +1,13 @@
 """Tables of larger keys, and whole jobs where a cut had crept in."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import books, gram
+from crossgrain.operators import allocation, books, gram
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -78,3 +79,13 @@ def test_single_factor_has_every_pair_once(spark, block):
     got = gram.single_factor(rows, block).collect()
     want = {(i, j): None if None in (be[i][0], be[j][0]) else be[i][0] * be[j][0] * 0.25 + (max(be[i][1] or 0, 0) if i == j else 0) for i in be for j in be}
     assert len(got) == 144 and all(r.cov == (None if want[r.i, r.j] is None else pytest.approx(want[r.i, r.j])) for r in got)
+
+
+def test_binomial_tail_of_many_trades(spark):
+    """A term was worked out from nothing, so that time grew with the square of the trades."""
+    cases = [(1, 1), (1, 2), (7, 7), (6, 10), (30, 50), (520, 1000), (100_300, 200_000), (1_000_700, 2_000_000)]
+    rows = spark.createDataFrame(cases, "wins long, total long")
+    got = {(r.wins, r.total): r.p for r in rows.select("wins", "total", allocation.binomial_tail(F.col("wins"), F.col("total")).alias("p")).collect()}
+    for wins, total in cases:
+        want = sum(math.exp(math.lgamma(total + 1) - math.lgamma(j + 1) - math.lgamma(total - j + 1) - total * math.log(2)) for j in range(wins, total + 1))
+        assert got[wins, total] == pytest.approx(min(1.0, want), rel=1e-6)
