@@ -115,7 +115,7 @@ def rolling_pair_scores(prices: DataFrame, *, formation: int = 252, refresh: int
     number of pairs it tested (all, where ``level`` is None). Dates before the first fold and symbols of no pair have no row.
     """
     formed, applied = formation_folds(prices, formation, refresh)
-    tests = market.pair_tests(formed)
+    tests = market.pair_tests(formed, nearest=most if level is None else None)
     fold = Window.partitionBy("fold")
     d = tests.withColumn("_tested", F.count(F.lit(1)).over(fold)).where("t is not null and spread_std > 0")
     if level is not None:

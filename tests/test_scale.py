@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import allocation, books, gram
+from crossgrain.operators import allocation, books, gram, market, studies
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -89,3 +89,20 @@ def test_binomial_tail_of_many_trades(spark):
     for wins, total in cases:
         want = sum(math.exp(math.lgamma(total + 1) - math.lgamma(j + 1) - math.lgamma(total - j + 1) - total * math.log(2)) for j in range(wins, total + 1))
         assert got[wins, total] == pytest.approx(min(1.0, want), rel=1e-6)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_nearest_pairs_are_those_of_all_tests(spark, block, monkeypatch):
+    monkeypatch.setattr(market, "TILE", 30)
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(40, 20)).cumsum(0) / 10
+    p[:, 7] = p[:, 5]  # a spread that does not move, and pairs of equal statistics
+    rows = [(f"s{j}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(p[d, j]))) for d in range(40) for j in range(20)]
+    prices = spark.createDataFrame(rows, "symbol string, date date, close double")
+    every = market.pair_tests(prices, block)
+    assert every.count() == 190 == every.select("a", "b").distinct().count() and every.where("a >= b").count() == 0
+    want = [(r.a, r.b) for r in studies.nearest_pairs(every, 9).collect()]
+    few = market.pair_tests(prices, block, nearest=9)
+    assert few.count() <= 9 * 15 and [(r.a, r.b) for r in studies.nearest_pairs(few, 9).collect()] == want
+    known = {(r.a, r.b): (r.t, r.p_value) for r in every.collect()}
+    assert all((r.t, r.p_value) == pytest.approx(known[r.a, r.b]) for r in few.collect())
