@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import allocation, books, gram, market, studies
+from crossgrain.operators import allocation, books, gram, grouped, market, studies
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -106,3 +106,42 @@ def test_nearest_pairs_are_those_of_all_tests(spark, block, monkeypatch):
     assert few.count() <= 9 * 15 and [(r.a, r.b) for r in studies.nearest_pairs(few, 9).collect()] == want
     known = {(r.a, r.b): (r.t, r.p_value) for r in every.collect()}
     assert all((r.t, r.p_value) == pytest.approx(known[r.a, r.b]) for r in few.collect())
+
+
+def held(spark, names: int, rows: int = 12):
+    """Two dates: one of many names, some of them the same but for the name, and one of a single name."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(names, rows)) * rng.uniform(0.5, 2, (names, 1)) + rng.normal(size=rows)
+    x[names // 2 : names // 2 + 5] = x[:5]
+    data = [(1, f"s{k}", x[k].tolist()) for k in range(names)] + [(2, "s0", x[0].tolist())]
+    return x, spark.createDataFrame(data, "date int, symbol string, returns array<double>")
+
+
+def test_book_of_a_date_needs_no_pairs(spark, monkeypatch):
+    """All pairs of a book were made, joined and summed for what sums over names give."""
+    monkeypatch.setattr(grouped, "moments_of_pairs", None, raising=False)
+    x, windows = held(spark, 60)
+    got = {r.date: r for r in grouped.book_volatility(windows).collect()}
+    want = {r.date: r for r in studies.book_risks(grouped.shrunk_covariance(windows)).collect()}
+    assert {d: r.names for d, r in got.items()} == {1: 60, 2: 1} and all(got[d].volatility == pytest.approx(want[d].volatility) for d in (1, 2))
+    cov = np.zeros((60, 60))
+    for row in grouped.shrunk_covariance(windows).where("date = 1").collect():
+        i, j = int(row.i[1:]), int(row.j[1:])
+        cov[i, j] = cov[j, i] = row["cov"]
+    order = sorted(range(60), key=lambda k: f"s{k}")
+    weights = {r.symbol: r.weight for r in grouped.hierarchical_book(windows).where("date = 1").collect()}
+    assert [weights[f"s{k}"] for k in order] == pytest.approx(grouped.hierarchical_weights(cov[np.ix_(order, order)]))
+
+
+def test_shrunk_pairs_in_blocks_and_tiles(spark, monkeypatch):
+    x, windows = held(spark, 40)
+    want = {(r.date, r.i, r.j): (r["cov"], r.share) for r in grouped.shrunk_covariance(windows).collect()}
+    assert len(want) == 40 * 41 // 2 + 1 and all(i <= j for _, i, j in want) and 0 < want[1, "s0", "s1"][1] < 1
+    cells = grouped._covariances  # tasks run in processes of their own
+    monkeypatch.setattr(grouped, "BLOCK", 7)
+    got = grouped.shrunk_covariance(windows).collect()
+    assert len(got) == len(want) and {(r.date, r.i, r.j): (r["cov"], r.share) for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+    monkeypatch.setattr(grouped, "TILE", 30)
+    d = grouped.centred(windows).join(grouped.best_share(grouped.centred(windows)), "date").where("date = 1").withColumns({"low": F.lit(0), "high": F.lit(0), "own": F.lit(0)})
+    parts = list(cells(iter(d.toArrow().to_batches())))
+    assert len(parts) == 40 and sum(p.num_rows for p in parts) == 40 * 39 // 2
