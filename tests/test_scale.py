@@ -145,3 +145,10 @@ def test_shrunk_pairs_in_blocks_and_tiles(spark, monkeypatch):
     d = grouped.centred(windows).join(grouped.best_share(grouped.centred(windows)), "date").where("date = 1").withColumns({"low": F.lit(0), "high": F.lit(0), "own": F.lit(0)})
     parts = list(cells(iter(d.toArrow().to_batches())))
     assert len(parts) == 40 and sum(p.num_rows for p in parts) == 40 * 39 // 2
+
+
+def test_composite_names_each_window_once(spark):
+    """A rank was written out wherever the normal quantile names it, and the windows were carried along in as many columns."""
+    rows = spark.createDataFrame([(1, "a", 0.5, 2.0), (1, "b", None, 3.0), (1, "c", 0.7, 3.0)], "date int, symbol string, x double, y double")
+    plan = grouped.probit_composite(rows, {"x": 2.0, "y": 1.0})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rank(") <= 4 and len(plan) < 60_000
