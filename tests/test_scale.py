@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import allocation, books, gram, grouped, market, studies
+from crossgrain.operators import allocation, books, gram, grouped, market, metrics, studies
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -152,3 +152,14 @@ def test_composite_names_each_window_once(spark):
     rows = spark.createDataFrame([(1, "a", 0.5, 2.0), (1, "b", None, 3.0), (1, "c", 0.7, 3.0)], "date int, symbol string, x double, y double")
     plan = grouped.probit_composite(rows, {"x": 2.0, "y": 1.0})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rank(") <= 4 and len(plan) < 60_000
+
+
+@pytest.mark.parametrize("slices", [1, 8, 1 << 16])
+def test_quantiles_of_rank_errors_in_slices(spark, slices):
+    """One task gathered every distinct error of a bucket, and one those of all."""
+    rng = np.random.default_rng(9)
+    data = [(int(k % 3), float(np.round(e, 2) if k % 2 else e)) for k, e in enumerate(rng.uniform(-1, 1, 400))] + [(4, 0.25)] + [(5, -0.5)] * 40
+    rows = spark.createDataFrame(data, "bucket long, e double")
+    got = {(r.bucket, r.q): r.value for r in metrics.spread_quantiles(rows, [0.05, 0.5, 0.95], slices).collect()}
+    want = {(b, q): np.quantile([e for g, e in data if b in (None, g)], q) for b in (None, 0, 1, 2, 4, 5) for q in (0.05, 0.5, 0.95)}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
