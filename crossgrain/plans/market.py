@@ -241,4 +241,5 @@ def flow_states(spark, sf):
 @query("M3_pair_tests")
 def m3(spark, sf):
     """All pairs of symbols with whole histories; lagged differences by AIC. No SQL: J10 has it for tests without lags."""
-    return out(market.selected_pairs(market.pair_tests(bars(spark, sf, "month"), lags=None)))
+    b = bars(spark, sf, "month")
+    return out(market.selected_pairs(market.pair_tests(b, lags=None), tested=market.tested_pairs(b)))

@@ -163,3 +163,25 @@ def test_quantiles_of_rank_errors_in_slices(spark, slices):
     got = {(r.bucket, r.q): r.value for r in metrics.spread_quantiles(rows, [0.05, 0.5, 0.95], slices).collect()}
     want = {(b, q): np.quantile([e for g, e in data if b in (None, g)], q) for b in (None, 0, 1, 2, 4, 5) for q in (0.05, 0.5, 0.95)}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_lagged_tests_take_one_elimination_a_pair(spark, monkeypatch):
+    """Each lag's regression of each pair was solved by a pseudo-inverse of its own, and all pairs were tested three times."""
+    rng = np.random.default_rng(13)
+    spreads = rng.normal(size=(60, 84)).cumsum(1)
+    spreads[30:] = rng.normal(size=(30, 84)) + 5
+    want = market._solved(spreads, 11)
+    tests = market.pair_tests(spark.createDataFrame([(f"s{j}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(spreads[j, d] / 10))) for j in range(12) for d in range(84 - (j == 3))], "symbol string, date date, close double"), lags=None)
+    assert tests.count() == 55
+    monkeypatch.setattr(market, "_solved", lambda rows, most: (np.full(len(rows), np.nan), np.full(len(rows), -1)))
+    t, lags = market.augmented(spreads, 11)
+    assert t == pytest.approx(want[0], rel=1e-9) and (lags == want[1]).all() and len(set(lags)) > 3
+    assert (market.augmented(np.tile([2.0], (3, 84)), 11)[1] == -1).all()  # what is not determined goes the plain way
+
+
+def test_selection_is_told_the_number_of_pairs(spark, sf):
+    b = bars(spark, sf, "month")
+    tests = market.pair_tests(b)
+    assert market.tested_pairs(b).first().pairs == tests.count() > 0
+    known = spark.createDataFrame([(1,)], "pairs long")  # as if one pair had been tested: the level is wider
+    assert market.selected_pairs(tests, tested=market.tested_pairs(b)).where("selected").count() == market.selected_pairs(tests).where("selected").count() <= market.selected_pairs(tests, tested=known).where("selected").count()
