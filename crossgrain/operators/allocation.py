@@ -14,8 +14,9 @@ def capped(weights: DataFrame, cap: float) -> DataFrame:
     Those cut are the largest: as many as it takes for the next to stay within the cap once it has its part. That is where cutting again
     and again ends.
     """
-    w, down = across("date"), Window.partitionBy("date").orderBy(F.desc("weight"), "symbol")
-    d = weights.withColumns({"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(down) - 1, "_rest": F.sum("weight").over(down.rowsBetween(0, Window.unboundedFollowing))})
+    w, up = across("date"), Window.partitionBy("date").orderBy("weight", F.desc("symbol"))  # a frame to the end would be summed anew for each row
+    n = F.count(F.lit(1)).over(w)
+    d = weights.withColumns({"_n": n, "_k": n - F.row_number().over(up), "_rest": F.sum("weight").over(up.rowsBetween(Window.unboundedPreceding, 0))})
     scale = F.try_divide(1 - F.col("_k") * cap, F.col("_rest"))
     d = d.withColumn("_fit", F.when(F.col("weight") * scale <= cap * (1 + 1e-12), F.struct(F.col("_k"), scale.alias("scale"))))
     d = d.withColumn("_at", F.min("_fit").over(w))

@@ -185,3 +185,12 @@ def test_selection_is_told_the_number_of_pairs(spark, sf):
     assert market.tested_pairs(b).first().pairs == tests.count() > 0
     known = spark.createDataFrame([(1,)], "pairs long")  # as if one pair had been tested: the level is wider
     assert market.selected_pairs(tests, tested=market.tested_pairs(b)).where("selected").count() == market.selected_pairs(tests).where("selected").count() <= market.selected_pairs(tests, tested=known).where("selected").count()
+
+
+def test_caps_are_found_by_running_sums(spark):
+    """A frame from each row to its date's end was summed anew for each row: the square of a date's names."""
+    weights = spark.range(40).select(F.lit(1).alias("date"), F.col("id").cast("string").alias("symbol"), ((F.col("id") % 7 + 1) / 157.0).alias("weight"))
+    d = allocation.capped(weights, 0.04)
+    assert "unboundedfollowing$()" not in d._jdf.queryExecution().optimizedPlan().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    got = [r.weight for r in d.collect()]
+    assert max(got) == pytest.approx(0.04) and sum(got) == pytest.approx(1)
