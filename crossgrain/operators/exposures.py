@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.functions.frames import across
 from crossgrain.operators.metrics import MIN_NAMES
+from crossgrain.sources import files
 
 #: A residual that varies less than this share of what the score did is rounding noise, and set to 0; fixed value.
 COLLAPSE = 1e-8
@@ -47,15 +47,14 @@ def neutralized(panel: DataFrame, exposures: Sequence[str], *, score: str = "sco
     """
     names = list(exposures)
     rows = panel.dropna(subset=[score, *names])
-    w = across("date")
-    k = F.lit(len(names))
-    if group:
-        k = k + F.size(F.collect_set(F.coalesce(F.col(group).cast("string"), F.lit("\0"))).over(w))
-    infinite = F.max(F.exists(F.array(*[F.col(c).cast("double") for c in names]), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).over(w) if names else F.lit(0)
-    rows = rows.withColumns({"_k": k, "_n": F.count(F.lit(1)).over(w), "_infinite": infinite}).where((F.col("_infinite") == 0) & (F.col("_n") >= F.greatest(F.lit(min_names), F.col("_k") + 2)))
-    g = across("date", group) if group else w
-    centred = {f"_e{i}": F.col(c) - F.avg(c).over(g) for i, c in enumerate(names)}
-    rows = rows.withColumns({"_y": F.col(score) - F.avg(score).over(g), "_spread": F.stddev_pop(score).over(w), **centred})
+    rows = files.written(rows.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")), "exposed")  # read once for each of the sums below
+    infinite = F.max(F.exists(F.array(*[F.col(c).cast("double") for c in names]), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")) if names else F.max(F.lit(0))
+    means = {"_m": F.avg(score), **{f"_m{i}": F.avg(c) for i, c in enumerate(names)}}
+    groups = files.written(rows.groupBy("date", "_g").agg(F.count(F.lit(1)).alias("_n"), infinite.alias("_infinite"), *[v.alias(c) for c, v in means.items()]), "groups")
+    k = F.lit(len(names)) + (F.count(F.lit(1)) if group else F.lit(0))
+    fit = groups.groupBy("date").agg(k.alias("_k"), F.sum("_n").alias("_n"), F.max("_infinite").alias("_infinite")).where((F.col("_infinite") == 0) & (F.col("_n") >= F.greatest(F.lit(min_names), F.col("_k") + 2))).select("date")
+    rows = rows.join(groups.join(F.broadcast(fit), "date").select("date", "_g", *means), ["date", "_g"])  # a row a date and group
+    rows = rows.withColumns({"_y": F.col(score) - F.col("_m"), **{f"_e{i}": F.col(c) - F.col(f"_m{i}") for i, c in enumerate(names)}})
     if names:
         pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
         sums = [F.sum(F.col(f"_e{i}") * F.col(f"_e{j}")).alias(f"p{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"_e{i}") * F.col("_y")).alias(f"q{i}") for i in range(len(names))]
@@ -70,6 +69,7 @@ def neutralized(panel: DataFrame, exposures: Sequence[str], *, score: str = "sco
                 yield pa.record_batch([batch.column(0), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["date", "_b"])
 
         fits = rows.groupBy("date").agg(*sums).mapInArrow(run, "date date, _b array<double>")  # one row a date
-        rows = rows.join(fits, "date").withColumn("_y", F.col("_y") - sum((F.col("_b")[i] * F.col(f"_e{i}") for i in range(len(names))), F.lit(0.0)))
-    left = F.sqrt(F.avg(F.col("_y") * F.col("_y")).over(w))
-    return rows.withColumn("residual", F.when((F.col("_spread") > 0) & (left <= COLLAPSE * F.col("_spread")), 0.0).otherwise(F.col("_y"))).select(*panel.columns, "residual")
+        rows = rows.join(F.broadcast(files.written(fits, "fits")), "date").withColumn("_y", F.col("_y") - sum((F.col("_b")[i] * F.col(f"_e{i}") for i in range(len(names))), F.lit(0.0)))
+    whole = rows.groupBy("date").agg(F.stddev_pop(score).alias("_spread"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("_left"))
+    rows = rows.join(F.broadcast(whole), "date")  # a row a date
+    return rows.withColumn("residual", F.when((F.col("_spread") > 0) & (F.col("_left") <= COLLAPSE * F.col("_spread")), 0.0).otherwise(F.col("_y"))).select(*panel.columns, "residual")
