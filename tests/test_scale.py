@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.operators import allocation, books, gram, grouped, market, metrics, studies
+from crossgrain.operators import allocation, books, boosting, exposures, gram, grouped, market, metrics, studies
 from crossgrain.plans import registry
 from crossgrain.sources.bars import bars
 
@@ -194,3 +194,51 @@ def test_caps_are_found_by_running_sums(spark):
     assert "unboundedfollowing$()" not in d._jdf.queryExecution().optimizedPlan().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
     got = [r.weight for r in d.collect()]
     assert max(got) == pytest.approx(0.04) and sum(got) == pytest.approx(1)
+
+
+def test_exposures_are_fitted_without_ordering_the_panel(spark):
+    """Windows over dates and groups put the whole panel in order, three times."""
+    rng = np.random.default_rng(17)
+    rows = [(d, f"s{k}", f"g{k % 3}", *map(float, rng.normal(size=3))) for d in range(3) for k in range(30)]
+    panel = spark.createDataFrame(rows, "date int, symbol string, sector string, score double, x double, z double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("date")))
+    d = exposures.neutralized(panel, ["x", "z"], group="sector")
+    assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.date, r.symbol): r.residual for r in d.collect()}
+    assert len(got) == 90
+    for date in {k[0] for k in got}:
+        own = [r for r in panel.collect() if r.date == date]
+        a = np.array([[r.x, r.z, *(r.sector == g for g in ("g0", "g1", "g2"))] for r in own], float)
+        y = np.array([r.score for r in own])
+        assert [got[date, r.symbol] for r in own] == pytest.approx(y - a @ np.linalg.lstsq(a, y, rcond=None)[0], abs=1e-9)
+
+
+def test_market_of_the_bars_is_that_of_the_grid(spark, sf):
+    """The grid was made twice, once for the market alone."""
+    b = bars(spark, sf, "week")
+    got = market.with_market(b)
+    want = {r.date: r.m for r in got.where("r is not null").groupBy("date").agg(F.avg("r").alias("m")).collect()}
+    assert {r.date: r.m for r in got.select("date", "m").distinct().collect() if r.m is not None} == {k: pytest.approx(v) for k, v in want.items()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Cross") + got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner\n") <= 1
+
+
+def test_correlations_from_placed_labels(spark):
+    """Labels were ranked anew for each setting and each round, and every row's score put in order."""
+    rng = np.random.default_rng(19)
+    rows = [(k, d, f"s{i}", float(np.round(s, 1)) if d else 1.0, float(np.round(y, 1))) for k in range(2) for d in range(4) for i, (s, y) in enumerate(rng.normal(size=(4 if d == 3 else 25, 2)))]
+    d = spark.createDataFrame(rows, "k int, date int, symbol string, score double, label double")
+    d = metrics.placed(d.where("k = 0"), "label").unionByName(metrics.placed(d.where("k = 1"), "label"))
+    want = {(r.k, r.date): (r.ic, r.names) for r in metrics.rank_ic(d, "k", "date", label="label").collect()}
+    got = {(r.k, r.date): (r.ic, r.names) for r in metrics.place_ic(d, "k", "date").collect()}
+    assert len(want) == 4 and got == {k: pytest.approx(v) for k, v in want.items()}
+    both = {r.date: (r.ic_score, r.ic_label) for r in metrics.rank_ics(d.where("k = 0"), ("score", "label"), label="label").collect()}
+    assert both == {dt_: (pytest.approx(want[0, dt_][0]), pytest.approx(1.0)) for dt_ in (1, 2)}
+
+
+def test_gradients_put_no_rows_in_order(spark):
+    rows = [(d, f"s{i}", float(i % 4) * d, float((i * 7) % 10)) for d in range(2) for i in range(10)]
+    d = spark.createDataFrame(rows, "date int, symbol string, score double, target double")
+    got = boosting.ascent(d)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r.date, r.symbol): r.gradient for r in studies.ic_gradient(d, label="target").collect()}
+    assert all(r.gradient == pytest.approx(want[r.date, r.symbol]) for r in got.collect() if r.date == 1)
+    assert all(want[0, f"s{i}"] is None for i in range(10)) and all(r.gradient == pytest.approx((r.target - 4.5) / 82.5**0.5) for r in got.collect() if r.date == 0)
