@@ -26,7 +26,8 @@ def dirty(spark, sf) -> DataFrame:
         "symbol", "date", "open", F.when(at(97, 3), F.col("low") * 0.5).otherwise(F.col("high")).alias("high"), F.when(at(89, 4), F.col("high") * 2).otherwise(F.col("low")).alias("low"),
         F.when(at(101, 5), -F.col("close")).when(~at(103, 6), F.col("close")).alias("close"), F.when(at(107, 7), -F.col("volume")).otherwise(F.col("volume")).alias("volume"), F.when(at(113, 8), F.col("seq") - 30).otherwise(F.col("seq")).alias("seq"),
     )
-    return b.unionByName(b.where(at(109, 9)))
+    twice = F.when(at(109, 9), 2).otherwise(1)  # by copies of the row, so that the trades are read once
+    return b.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), twice))).drop("_copy")
 
 
 def violation_sql(source: str, where: str, check: str, severity: str, detail: str, count: str = "count(*)") -> str:
