@@ -12,12 +12,20 @@ from crossgrain.functions.frames import own
 STRUCTURAL, ADVISORY = "structural", "advisory"
 
 
-def _violations(rows: DataFrame, check: str, severity: str, detail: str, count: Column | None = None) -> DataFrame:
-    """A row per symbol with the first three dates as examples; the dates are ordered, not gathered without bound."""
-    first = Window.partitionBy("symbol").orderBy("date")
-    d = rows.withColumn("_n", F.row_number().over(first))
-    out = d.groupBy("symbol").agg((count if count is not None else F.count(F.lit(1))).alias("count"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.col("date").cast("string")))).alias("examples"))
-    return out.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "symbol", F.col("count").cast("long").alias("count"), F.lit(detail).alias("detail"), "examples")
+def _violations(rows: DataFrame, check: str | Column, severity: str, detail: str | Column, count: Column | None = None) -> DataFrame:
+    """A row per symbol (and check, where that is a column) with the first three dates as examples; the dates are ordered, not gathered without bound."""
+    named = rows.withColumns({"_check": F.lit(check), "_detail": F.lit(detail)})
+    first = Window.partitionBy("symbol", "_check").orderBy("date")
+    d = named.withColumn("_n", F.row_number().over(first))
+    out = d.groupBy("symbol", "_check", "_detail").agg((count if count is not None else F.count(F.lit(1))).alias("count"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.col("date").cast("string")))).alias("examples"))
+    return out.select(F.col("_check").alias("check"), F.lit(severity).alias("severity"), "symbol", F.col("count").cast("long").alias("count"), F.col("_detail").alias("detail"), "examples")
+
+
+def _all_violations(bars: DataFrame, severity: str, cases: dict[str, tuple[Column, str]]) -> DataFrame:
+    """The violations of several checks {name: (what is wrong, detail)} of single rows, in one pass."""
+    hits = F.array(*[F.when(wrong, F.struct(F.lit(k).alias("check"), F.lit(detail).alias("detail"))) for k, (wrong, detail) in cases.items()])
+    rows = bars.select("symbol", "date", F.explode(F.array_compact(hits)).alias("_hit"))
+    return _violations(rows, F.col("_hit.check"), severity, F.col("_hit.detail"))
 
 
 def price_order(bars: DataFrame) -> DataFrame:
@@ -25,13 +33,13 @@ def price_order(bars: DataFrame) -> DataFrame:
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     slack = 1e-9 * F.greatest(F.abs(top), F.lit(1.0))
     cases = {"high_below_body": F.col("high") < top - slack, "low_above_body": F.col("low") > bottom + slack, "high_below_low": F.col("high") < F.col("low") - slack}
-    return reduce(DataFrame.unionByName, [_violations(bars.where(c), k, STRUCTURAL, "order of prices") for k, c in cases.items()])
+    return _all_violations(bars, STRUCTURAL, {k: (c, "order of prices") for k, c in cases.items()})
 
 
 def positive_prices(bars: DataFrame) -> DataFrame:
     """Prices that are missing or not positive, per leg; negative volumes."""
-    legs = [_violations(bars.where(F.coalesce(F.col(c), F.lit(0.0)) <= 0), f"non_positive_{c}", STRUCTURAL, c) for c in ("open", "high", "low", "close")]
-    return reduce(DataFrame.unionByName, [*legs, _violations(bars.where("volume < 0"), "negative_volume", STRUCTURAL, "volume")])
+    legs = {f"non_positive_{c}": (F.coalesce(F.col(c), F.lit(0.0)) <= 0, c) for c in ("open", "high", "low", "close")}
+    return _all_violations(bars, STRUCTURAL, legs | {"negative_volume": (F.col("volume") < 0, "volume")})
 
 
 def duplicate_dates(bars: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
 
 
-@pytest.mark.parametrize("name", ["P3_clean_rows"])
+@pytest.mark.parametrize("name", ["P3_clean_rows", "V1_price_order", "V2_positive_prices"])
 def test_checks_read_the_trades_once(spark, sf, name):
     """The bars were made once more for the rows that are there twice, and the checks of single rows each read them anew."""
     assert scans(QUERIES[name](spark, sf)) == 1
