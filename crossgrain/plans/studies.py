@@ -232,14 +232,19 @@ def w23(spark, sf):
 
 
 def arriving(df: DataFrame, batch: str, start, name: str) -> None:
-    """``df`` as a stream that arrives in batches by the number in ``batch``: each is written and taken up by a run of its own, from the last one's checkpoint."""
+    """``df`` as a stream that arrives in batches by the number in ``batch``: each is written and taken up by a run of its own, from the last one's checkpoint.
+
+    A batch waits in a folder of its own, which goes as it arrives: no row lies on disk twice but those arriving.
+    """
     spark, path = df.sparkSession, files.scratch(df.sparkSession, name)
-    checkpoint, rows = files.scratch(spark, f"{name}-checkpoint"), files.written(df, name)
-    plain = rows.drop(batch)
-    for number in sorted(r[0] for r in rows.select(batch).distinct().collect()):
-        rows.where(F.col(batch) == number).drop(batch).write.mode("append").parquet(path)
-        start(spark.readStream.schema(plain.schema).parquet(path), checkpoint).awaitTermination()
-    files.discarded(rows)
+    checkpoint, waiting = files.scratch(spark, f"{name}-checkpoint"), files.scratch(spark, f"{name}-waiting")
+    df.write.partitionBy(batch).parquet(waiting)
+    plain = df.drop(batch).schema
+    for number in sorted(r[0] for r in spark.read.schema(df.schema).parquet(waiting).select(batch).distinct().collect()):
+        rows = spark.read.schema(plain).parquet(f"{waiting}/{batch}={number}")
+        rows.write.mode("append").parquet(path)
+        files.discarded(rows)
+        start(spark.readStream.schema(plain).parquet(path), checkpoint).awaitTermination()
 
 
 BODY = "1e-9 * greatest(abs(greatest(open, close)), 1.0)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.operators import allocation, books, boosting, exposures, gram, grouped, market, metrics, studies
 from crossgrain.plans import registry
+from crossgrain.plans import studies as studies_queries
 from crossgrain.sources.bars import bars
 
 QUERIES = registry.queries()
@@ -51,6 +52,26 @@ def test_checks_read_the_trades_once(spark, sf, name):
     assert scans(QUERIES[name](spark, sf)) == 1
 
 
+def test_a_batch_waits_until_it_arrives_and_no_longer(spark, tmp_path, monkeypatch):
+    """All batches lay on disk once more until the last one had arrived."""
+    monkeypatch.setattr(studies_queries.files, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(12).select("id", (F.col("id") % 3 - 1).cast("int").alias("arrival"))
+    seen = []
+
+    class Run:
+        def __init__(self, stream, checkpoint):
+            self.stream = stream
+
+        def awaitTermination(self):
+            here = {r.id for r in spark.read.schema("id long").parquet(str(tmp_path / "x")).collect()}
+            left = {r.id for r in spark.read.schema("id long, arrival int").parquet(str(tmp_path / "x-waiting")).collect()}
+            seen.append((here, left, self.stream.columns))
+
+    studies_queries.arriving(rows, "arrival", Run, "x")
+    part = lambda *numbers: {k for k in range(12) if k % 3 - 1 in numbers}
+    assert seen == [(part(-1), part(0, 1), ["id"]), (part(-1, 0), part(1), ["id"]), (part(-1, 0, 1), set(), ["id"])]
+
+
 def test_exemption_has_a_lot_for_every_bar_held_a_year(spark, sf):
     rows = {}
     for r in bars(spark, sf).select("symbol", "date").orderBy("symbol", "date").collect():
