@@ -311,3 +311,40 @@ def test_gradients_put_no_rows_in_order(spark):
     want = {(r.date, r.symbol): r.gradient for r in studies.ic_gradient(d, label="target").collect()}
     assert all(r.gradient == pytest.approx(want[r.date, r.symbol]) for r in got.collect() if r.date == 1)
     assert all(want[0, f"s{i}"] is None for i in range(10)) and all(r.gradient == pytest.approx((r.target - 4.5) / 82.5**0.5) for r in got.collect() if r.date == 0)
+
+
+def test_pairs_that_cannot_be_nearest_are_not_tested(spark):
+    """Every pair's statistic was worked out in 64 bits to keep a few; now sums of 32 bits tell which may be among them, and none is lost."""
+    rng = np.random.default_rng(23)
+    x = 7 + rng.normal(size=(300, 40)) * rng.uniform(0.01, 2, (300, 1))
+    x[150:160] = x[:10] + rng.normal(size=(10, 40)) * 1e-5  # spreads of which 32 bits know nothing
+    panel = market._Panel(x)
+    a, b = np.arange(150), np.arange(150, 300)
+    t = panel.tested(a, b, np.ones((150, 150), bool))[1]
+    for cut in np.quantile(t, [0.001, 0.01, 0.5]):
+        found = set(zip(*panel.below(a, b, float(cut))))
+        assert found >= set(zip(*np.nonzero(t <= cut))) and len(found) <= (t <= cut + 0.01).sum() + 150
+    assert panel.alone(np.arange(150), np.arange(150, 300))[1] == pytest.approx(np.diag(t))
+
+
+def test_cells_of_pairs_are_not_put_together_by_size(spark, sf):
+    tests = market.pair_tests(bars(spark, sf, "month"), nearest=9)
+    assert tests.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+@pytest.mark.parametrize("nearest", [None, 40])
+def test_spreads_of_equal_prices_do_not_move(spark, nearest):
+    """Sums of products left a rounding error, of which a deviation and a statistic were made, even one among the nearest."""
+    x = 7 + np.random.default_rng(29).normal(size=(9, 60)) / 4
+    rows = [(f"s{j}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(x[j % 9, d]))) for j in range(72) for d in range(60)]
+    tests = market.pair_tests(spark.createDataFrame(rows, "symbol string, date date, close double"), nearest=nearest).collect()
+    same = [r for r in tests if int(r.a[1:]) % 9 == int(r.b[1:]) % 9]
+    assert len(tests) == (72 * 71 // 2 if nearest is None else 40) and len(same) == (9 * 28 if nearest is None else 0)
+    assert all((r.hedge, r.t, r.spread_mean, r.spread_std) == (1, None, 0, 0) for r in same)
+
+
+def test_pairs_of_equal_prices_lie_side_by_side(spark, tmp_path):
+    x = np.repeat(7 + np.random.default_rng(31).normal(size=(60, 40)) / 4, 8, 0)
+    rows = [(f"s{(j * 77) % 480}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(x[j, d]))) for j in range(480) for d in range(40)]
+    tests = market.pair_tests(spark.createDataFrame(rows, "symbol string, date date, close double")).drop("p_value", "lags")
+    assert written_bytes(tests, tmp_path / "alike") < 8
