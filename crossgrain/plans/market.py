@@ -242,4 +242,5 @@ def flow_states(spark, sf):
 def m3(spark, sf):
     """All pairs of symbols with whole histories; lagged differences by AIC. No SQL: J10 has it for tests without lags."""
     b = bars(spark, sf, "month")
-    return out(market.selected_pairs(market.pair_tests(b, lags=None), tested=market.tested_pairs(b)))
+    nearest = market.pair_tests(b, lags=None, nearest=50, digits=None)
+    return out(market.selected_pairs(market.pair_tests(b, lags=None), tested=market.tested_pairs(b), nearest=nearest))

@@ -348,3 +348,25 @@ def test_pairs_of_equal_prices_lie_side_by_side(spark, tmp_path):
     rows = [(f"s{(j * 77) % 480}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(x[j, d]))) for j in range(480) for d in range(40)]
     tests = market.pair_tests(spark.createDataFrame(rows, "symbol string, date date, close double")).drop("p_value", "lags")
     assert written_bytes(tests, tmp_path / "alike") < 8
+
+
+def test_lagged_tests_of_a_tile_are_those_of_its_spreads(spark, sf):
+    """Each spread was made, and the products of its changes summed, twice for each pair: once to select, once to answer."""
+    rng = np.random.default_rng(37)
+    x = 7 + rng.normal(size=(60, 84)) / 4
+    x[::4] = 7 + rng.normal(size=(15, 84)).cumsum(1) / 20
+    x[40:44], x[44:48] = x[:4], x[:4] + rng.normal(size=(4, 84)) * 1e-5
+    panel, a, b = market._Panel(x), np.arange(30), np.arange(30, 60)
+    up = rng.random((30, 30)) < 0.5
+    found = panel.tested(a, b, up)
+    t, lags = panel.lagged(a, b, up, found, 11)
+    own, other = np.where(up, a[:, None], b).ravel(), np.where(up, b, a[:, None]).ravel()
+    want = market.augmented(x[own] - found[0].ravel()[:, None] * x[other], 11)
+    moves = (found[3] > 0).ravel()
+    assert moves.sum() == 896 and np.isnan(t.ravel()[~moves]).all() and len(set(want[1])) > 5
+    assert t.ravel()[moves] == pytest.approx(want[0][moves], rel=1e-6) and (lags.ravel() == want[1])[moves].all()
+    prices = bars(spark, sf, "month")
+    tests, few = market.pair_tests(prices, lags=3), market.pair_tests(prices, lags=3, nearest=7, digits=None)
+    pick = lambda d: {(r.a, r.b) for r in d.where("selected").collect()}
+    assert len(pick(market.selected_pairs(tests, most=7, tested=market.tested_pairs(prices)))) == 7
+    assert pick(market.selected_pairs(tests, most=7, tested=market.tested_pairs(prices), nearest=few)) == pick(market.selected_pairs(tests, most=7))
