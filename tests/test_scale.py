@@ -344,10 +344,10 @@ def test_spreads_of_equal_prices_do_not_move(spark, nearest):
 
 
 def test_pairs_of_equal_prices_lie_side_by_side(spark, tmp_path):
-    x = np.repeat(7 + np.random.default_rng(31).normal(size=(60, 40)) / 4, 8, 0)
+    x = np.repeat(7 + np.random.default_rng(31).normal(size=(30, 40)) / 4, 16, 0)
     rows = [(f"s{(j * 77) % 480}", dt.date(2020, 1, 1) + dt.timedelta(d), float(np.exp(x[j, d]))) for j in range(480) for d in range(40)]
     tests = market.pair_tests(spark.createDataFrame(rows, "symbol string, date date, close double")).drop("p_value", "lags")
-    assert written_bytes(tests, tmp_path / "alike") < 8
+    assert written_bytes(tests, tmp_path / "alike") < 5
 
 
 def test_lagged_tests_of_a_tile_are_those_of_its_spreads(spark, sf):
