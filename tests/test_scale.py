@@ -370,3 +370,8 @@ def test_lagged_tests_of_a_tile_are_those_of_its_spreads(spark, sf):
     pick = lambda d: {(r.a, r.b) for r in d.where("selected").collect()}
     assert len(pick(market.selected_pairs(tests, most=7, tested=market.tested_pairs(prices)))) == 7
     assert pick(market.selected_pairs(tests, most=7, tested=market.tested_pairs(prices), nearest=few)) == pick(market.selected_pairs(tests, most=7))
+
+
+def test_rolling_pairs_make_the_bars_once(spark, sf):
+    """The bars were made anew from the trades for the folds, their dates and both legs."""
+    assert "l_shipdate" not in QUERIES["M4_rolling_cheapness"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
